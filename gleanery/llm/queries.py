@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import near_duplicates, textform
+from gleanery.llm import near_duplicates, radix_percentiles, term_weights, textform
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,50 @@ def p3_consistent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = textform.consistent_texts(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.lit("documents").alias("table_name"), F.col("id").cast("string").alias("id"), "form")
     chunks = textform.consistent_texts(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text").select(F.lit("chunks").alias("table_name"), "id", "form")
     return documents.unionByName(chunks)
+
+
+# ---- problem 5
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = term_weights.term_weights(table(spark, sf_dir, "chunks"), "chunk_id", "text", min_tf=3, max_df=6)
+    return weights.select(F.col("id").alias("chunk_id"), "term")
+
+
+@query
+def p5_term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term of every chunk with its weight."""
+    weights = term_weights.term_weights(table(spark, sf_dir, "chunks"), "chunk_id", "text")
+    return weights.select(F.col("id").alias("chunk_id"), "term", "tf", "df", F.round("weight", 6).alias("weight"))
+
+
+# ---- problem 6
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = radix_percentiles.measurements(table(spark, sf_dir, "trace_spans"), "duration_ms", "span_id", "span_name", "started_at", "duration_ms")
+    answers = table(spark, sf_dir, "answers").select("trace_id", "model_name", "answered_at", F.col("token_usage.output_tokens").alias("output_tokens"))
+    return spans.unionByName(radix_percentiles.measurements(answers, "output_tokens", "trace_id", "model_name", "answered_at", "output_tokens"))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "quantile_marks").select("metric", "group_name", F.col("quantile_pct").cast("int").alias("quantile_pct"), "mark_value")
+    exact = radix_percentiles.select_percentiles(measured(spark, sf_dir), marks)
+    return exact.join(marks, ["metric", "group_name", "quantile_pct"]).filter("value > mark_value").select("metric", "group_name", "quantile_pct", "day_utc")
+
+
+@query
+def p6_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median, 90th, 95th and 99th percentile of every group and day, exact."""
+    rows = measured(spark, sf_dir)
+    groups = rows.select("metric", "group_name").distinct()
+    wanted = groups.withColumn("quantile_pct", F.explode(F.array(*map(F.lit, (50, 90, 95, 99)))))
+    return radix_percentiles.select_percentiles(rows, wanted)
+
+
+@query
+def p6_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summaries to which further days can be added."""
+    return radix_percentiles.histograms(measured(spark, sf_dir))
