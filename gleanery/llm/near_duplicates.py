@@ -55,30 +55,30 @@ def symbols(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-def table_keys(signature: np.ndarray) -> np.ndarray:
-    """One key for each (group, mask): equal where all symbols that the mask keeps are equal."""
-    groups = signature.reshape(GROUPS, GROUP).astype(np.uint64)
-    keys = np.zeros((GROUPS, len(MASKS)), dtype=np.uint64)
+def table_keys(signatures: np.ndarray) -> np.ndarray:
+    """A row of keys for each signature, one for each (group, mask): equal where all symbols that the mask keeps are."""
+    groups = signatures.reshape(-1, GROUPS, GROUP).astype(np.uint64)
+    keys = np.zeros((len(groups), GROUPS, len(MASKS)), dtype=np.uint64)
     for m, mask in enumerate(MASKS):
-        for column in groups[:, mask].T:
-            keys[:, m] = mix(keys[:, m] * np.uint64(0x9E3779B97F4A7C15) + column + np.uint64(1))
-    tables = np.arange(GROUPS * len(MASKS), dtype=np.uint64).reshape(keys.shape)
-    return mix(keys ^ (tables << np.uint64(56))).reshape(-1)
+        for k in np.flatnonzero(mask):
+            keys[:, :, m] = mix(keys[:, :, m] * np.uint64(0x9E3779B97F4A7C15) + groups[:, :, k] + np.uint64(1))
+    tables = np.arange(GROUPS * len(MASKS), dtype=np.uint64).reshape(keys.shape[1:])
+    return mix(keys ^ (tables << np.uint64(56))).reshape(len(groups), -1)
 
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                kept, classes, sizes, keys = [], [], [], []
+                kept, classes, sizes, signatures = [], [], [], []
                 for k, text in enumerate(batch.column(2).to_pylist()):
                     runs = shingle_set(text, size)
                     if len(runs):
                         kept.append(k)
                         classes.append(xxhash.xxh3_64_intdigest(runs.tobytes()))
                         sizes.append(len(runs))
-                        keys.append(table_keys(symbols(runs)))
-                flat = np.concatenate(keys).view(np.int64) if keys else np.empty(0, dtype=np.int64)
+                        signatures.append(symbols(runs))
+                flat = table_keys(np.array(signatures, dtype=np.uint32).reshape(-1, SYMBOLS)).reshape(-1).view(np.int64)
                 offsets = np.arange(len(kept) + 1, dtype=np.int32) * (GROUPS * len(MASKS))
                 kept = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays(
