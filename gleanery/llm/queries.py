@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import near_duplicates, radix_percentiles, term_weights, textform
+from gleanery.llm import contamination, near_duplicates, packing, radix_percentiles, splitting, term_weights, textform, truncation
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,74 @@ def p6_day_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summaries to which further days can be added."""
     return radix_percentiles.histograms(measured(spark, sf_dir))
+
+
+# ---- problem 2
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(splitting.pieces(splitting.latest(table(spark, sf_dir, "filings"))))
+
+
+@query
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all items."""
+    return splitting.pieces(splitting.latest(table(spark, sf_dir, "filings")))
+
+
+# ---- problem 7
+
+
+@query
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document, or of every part of a document above the capacity."""
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def p7_fill_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unused space and balance."""
+    return packing.fill_report(packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")))
+
+
+# ---- problem 8
+
+
+def leaked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "passage")
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked(spark, sf_dir).select(F.col("id").alias("doc_id"), "item_id")
+
+
+@query
+def p8_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which items leaked, how far."""
+    return contamination.item_report(leaked(spark, sf_dir))
+
+
+@query
+def p8_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, those with passages without them."""
+    return contamination.cleaned(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "passage").withColumnRenamed("id", "doc_id")
+
+
+# ---- problem 9
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).filter("truncated").select(F.col("id").alias("doc_id"))
+
+
+@query
+def p9_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of truncated rows of each source."""
+    return truncation.source_report(judged(spark, sf_dir))

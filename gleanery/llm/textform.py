@@ -203,7 +203,8 @@ def _read_lines(text: str) -> str:
             if script is not None:
                 own[script] += 1
             if script != LATIN or not token.isascii():
-                tokens.append((m.start(), m.end(), skeleton))
+                # names of tags, entities and commands are Latin wherever they stand
+                tokens.append((m.start(), m.end(), skeleton, LATIN if line[m.start() - 1 : m.start()] in tuple("</&\\;") else None))
         whole.update(own)
         found.append((own, tokens))
     order = lambda votes: max((LATIN, CYRILLIC, GREEK), key=lambda s: (votes[s], -s))
@@ -213,8 +214,8 @@ def _read_lines(text: str) -> str:
             continue
         around = order(own) if own else default
         line, parts, at = lines[k], [], 0
-        for start, end, skeleton in tokens:
-            parts += [line[at:start], read_token(skeleton, around)]
+        for start, end, skeleton, script in tokens:
+            parts += [line[at:start], read_token(skeleton, around if script is None else script)]
             at = end
         lines[k] = "".join([*parts, line[at:]])
     return "\n".join(lines)
