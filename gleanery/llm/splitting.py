@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
 #: Ends of paragraphs and sentences (with the blanks behind them), and lines of tables and lists.
-_BREAK = re.compile(r"\n[ ]*\n\s*|(?<=[.!?])[\"')\]”’]*\s+|(?<=[;:])\n|\n(?=[^\n]* \| )|\n(?=\s*[•*\-])|\n(?=Item \d)")
+_BREAK = re.compile(r"\n[ ]*\n\s*|(?<=[.!?])[\"')\]”’]*\s+|(?<=[;:])\n|(?<=;)\s+(?=[A-ZÀ-Þ])|\n(?=[^\n]* \| )|\n(?=\s*[•*\-])|\n(?=Item \d)")
 _FAR = np.int64(1) << np.int64(40)
 
 
@@ -59,9 +59,12 @@ def all_pieces(items: list[np.ndarray], limit: int, overlap: int) -> tuple[np.nd
     local = np.concatenate(items)
     place = local + owner * _FAR  # the items side by side, too far apart for a piece to span two
     last = first + counts - 1
-    # the join: every boundary to the end of its piece, and that end to the start of the next one
+    # the join: every boundary to the end of its piece, and that end to the start of the next one, which is near
+    # enough to it to overlap and to the boundary behind it to get further
     end = np.minimum(np.searchsorted(place, place + limit, "right") - 1, last[owner])
-    follow = np.maximum(np.searchsorted(place, place[end] - overlap, "left"), np.arange(len(place)) + 1)
+    behind = place[np.minimum(end + 1, last[owner])]
+    follow = np.searchsorted(place, np.maximum(place[end] - overlap, behind - limit), "left")
+    follow = np.maximum(follow, np.arange(len(place)) + 1)
     done = end == last[owner]
     tables = [np.where(done, last[owner], np.minimum(follow, end))]
     left = np.where(np.arange(len(place)) == last[owner], 0, 1)  # pieces from a boundary on, within 2^k steps
