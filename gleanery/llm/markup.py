@@ -24,6 +24,7 @@ _TEX_POINTER = re.compile(r"~?\\(?:ref|eqref|cite|citep|citet|label|index|pagere
 _TEX_ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}|\\documentclass(?:\[[^\]]*\])?\{[^{}]*\}|\\usepackage(?:\[[^\]]*\])?\{[^{}]*\}")
 _TEX_ARGUMENT = re.compile(r"\\[a-zA-Z]+\*?\{([^{}]*)\}")
 _TEX_MATH = re.compile(r"(?<!\\)\$\\[a-zA-Z]+\$")
+_TEX_TIE = re.compile(r"(?<=\w)~(?=\s)")
 _TEX_ESCAPE = re.compile(r"\\([%$&#_{}])")
 
 
@@ -53,6 +54,7 @@ def plain_words(text: str) -> str:
             text = REFERENCE.sub("", text)
         text = TAG.sub(_tag, HIDDEN.sub("\n", text))
     if "\\" in text or "~" in text:
+        text = _TEX_TIE.sub("", text)
         text = _TEX_ESCAPE.sub(r"\1", _TEX_ARGUMENT.sub(r"\1", _TEX_ENVIRONMENT.sub("\n", _TEX_MATH.sub("", _TEX_POINTER.sub("", text)))))
     if "[" in text:
         text = _MD_LINK.sub(r"\1", _WIKI_LINK.sub(r"\1", text))

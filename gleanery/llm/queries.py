@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import contamination, near_duplicates, packing, radix_percentiles, splitting, term_weights, textform, truncation
+from gleanery.llm import contamination, markup_blocks, near_duplicates, packing, radix_percentiles, splitting, term_weights, textform, truncation
 from gleanery.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,21 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of truncated rows of each source."""
     return truncation.source_report(judged(spark, sf_dir))
+
+
+# ---- problem 4
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = markup_blocks.marked_records(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
+    filings = markup_blocks.marked_records(table(spark, sf_dir, "filings"), "doc_id", "text", "doc_tables").withColumn("table_name", F.lit("filings"))
+    return documents.unionByName(filings).filter("n_marked > 0").select("table_name", F.col("id").alias("record_id")).distinct()
+
+
+@query
+def p4_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of every document and filing."""
+    documents = markup_blocks.clean_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
+    filings = markup_blocks.clean_texts(splitting.latest(table(spark, sf_dir, "filings")), "doc_id", "text").withColumn("table_name", F.lit("filings"))
+    return documents.unionByName(filings).select("table_name", F.col("id").alias("record_id"), "clean", "n_marked")
