@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: What Python's str.strip and \\s take for white space, for use inside a character class.
-WS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
+WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN = "[a-z0-9]+(?:[.][0-9]+)?"
 BUDGET_TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]"
 CONTENT_TOKEN = "[a-z0-9]+(?:[.,][0-9]+)*"
@@ -107,7 +107,7 @@ def claims(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: strip(F.translate(p, "\x01", "."))), lambda p: p != "")
 
 
-INVISIBLE = r"[​-‏‪-‮⁠-⁤﻿]"
+INVISIBLE = r"[\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 
 
 def drop_invisible(text: Column) -> Column:

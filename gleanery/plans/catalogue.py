@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from gleanery.plans import search, texts
+from gleanery.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "search", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that entry() runs."""
-    raise NotImplementedError
+    return QUERIES["bm25_topk"](spark, sf_dir)
