@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import search, texts
+from gleanery.plans import evaluate, relational, search, serve, texts
 from gleanery.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "search", "texts"]
+__all__ = ["ORACLES", "QUERIES", "evaluate", "flagship", "relational", "search", "serve", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

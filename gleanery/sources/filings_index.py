@@ -1,0 +1,122 @@
+"""Recorded fetches, filing lists, JSON data sets, and index files with their embedder's identity."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+SUBMISSIONS = "name string, filings struct<recent: struct<form: array<string>, accessionNumber: array<string>, filingDate: array<string>, reportDate: array<string>, primaryDocument: array<string>>>"
+
+
+def archive_url(cik: Column, accession: Column, document: Column) -> Column:
+    """Where a filing's document lies in the public archive; the dashes of the accession go."""
+    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), cik.cast("string"), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), document)
+
+
+def list_filings(submissions: DataFrame, form_types: tuple[str, ...] = ("10-K",), limit: int | None = None) -> DataFrame:
+    """One row per filing of the wanted forms, in the order of the source, at most ``limit`` a company.
+
+    ``submissions`` has cik and body, a JSON record of parallel arrays. What an array lacks at its end is "". A body
+    that is no JSON is an error.
+    """
+    parsed = submissions.select("cik", F.from_json("body", SUBMISSIONS, {"mode": "FAILFAST"}).alias("s")).select("cik", F.col("s.name").alias("company"), F.col("s.filings.recent").alias("r"))
+    zipped = F.arrays_zip(*(F.coalesce(F.col(f"r.{c}"), F.array().cast("array<string>")).alias(c) for c in ("form", "accessionNumber", "filingDate", "reportDate", "primaryDocument")))
+    each = parsed.select("cik", "company", F.posexplode(F.filter(zipped, lambda f: F.upper(f["form"]).isin(*(t.upper() for t in form_types)))).alias("pos", "f"))
+    text = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(""))
+    out = each.select("cik", "company", "pos", F.col("f.form").alias("form_type"), text("accessionNumber").alias("accession"), text("filingDate").alias("filing_date"), text("reportDate").alias("report_date"), text("primaryDocument").alias("primary_document"))
+    year = F.coalesce(F.expr("try_cast(substring(coalesce(nullif(report_date, ''), filing_date), 1, 4) as int)"), F.lit(0))
+    if limit is not None:
+        kept = F.sum(F.lit(1)).over(Window.partitionBy("cik").orderBy("pos"))
+        out = out.withColumn("n", kept).filter(F.col("n") <= limit).drop("n")
+    return out.withColumn("fiscal_year", year).drop("pos")
+
+
+def recorded(spark: SparkSession, folder: str) -> DataFrame:
+    """(url, body) of recorded responses: files ``name.url`` beside ``name.body``."""
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)\.(url|body)$", 1).alias("stem"), F.regexp_extract("path", r"\.(url|body)$", 1).alias("kind"), "content")
+    urls = files.filter("kind = 'url'").select("stem", F.trim(F.decode("content", "UTF-8")).alias("url"))
+    return urls.join(files.filter("kind = 'body'").select("stem", F.col("content").alias("body")), "stem").select("url", "body")
+
+
+def fetch(wanted: DataFrame, responses: DataFrame, strict: bool = True) -> DataFrame:
+    """(url, body) of the wanted urls from recorded responses; an unknown url is an error when strict, else NULL."""
+    joined = wanted.select("url").join(responses, "url", "left")
+    if not strict:
+        return joined
+    return joined.withColumn("body", F.when(F.col("body").isNotNull(), F.col("body")).otherwise(F.raise_error(F.concat(F.lit("no recorded response for "), F.col("url"))).cast("binary")))
+
+
+def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of JSON lines with their line number; blank lines and // comments are skipped.
+
+    ``problem`` holds the text of a line that is no valid record. One file is one split, so line numbers are exact.
+    """
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    kept = lines.filter(~F.trim("line").startswith("//") & (F.trim("line") != ""))
+    parsed = kept.select((F.col("pos") + 1).alias("line_no"), F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    return parsed.select("line_no", "r.*").withColumnRenamed("_corrupt_record", "problem")
+
+
+def require_records(records: DataFrame) -> DataFrame:
+    """The records, or an error that names the first bad lines; an empty data set is an error too."""
+    bad = [r.line_no for r in records.filter("problem is not null").select("line_no").orderBy("line_no").limit(5).collect()]
+    if bad:
+        raise ValueError(f"invalid records on lines {bad}")
+    if records.isEmpty():
+        raise ValueError("the data set is empty")
+    return records.drop("problem")
+
+
+def dataset_lines(rows: DataFrame, key: str) -> DataFrame:
+    """(key, line, digest): each row as JSON with sorted keys."""
+    line = F.to_json(F.struct(*sorted(rows.columns)))
+    return rows.select(key, line.alias("line"), F.sha2(line, 256).alias("digest"))
+
+
+def write_index(index: DataFrame, path: str, embedder: dict) -> None:
+    """An index of chunks and vectors; the identity of its embedder is kept as metadata of the vector column."""
+    index.withMetadata("vector", {"embedder": json.dumps(embedder, sort_keys=True)}).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, embedder: dict) -> DataFrame:
+    """The index, if it was made by the same embedder; else an error, before anything is planned."""
+    index = spark.read.parquet(path)
+    stored = index.schema["vector"].metadata.get("embedder")
+    if stored != json.dumps(embedder, sort_keys=True):
+        raise ValueError(f"the index was made by {stored}, not by {json.dumps(embedder, sort_keys=True)}")
+    return index
+
+
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Documents as JSON records."""
+    documents.write.mode("overwrite").json(path)
+
+
+def read_documents(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Documents with a given schema; keys it does not name are ignored."""
+    return spark.read.schema(schema).json(path)
+
+
+def ingest(listed: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
+    """Filings of a list that are not stored yet, or all of them."""
+    return listed if force else listed.join(stored.select("accession"), "accession", "left_anti")
+
+
+def baseline(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored baseline run, None where there is none."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return spark.read.parquet(path) if exists else None
+
+
+def promote(run: DataFrame, path: str) -> None:
+    """Make a run the baseline."""
+    run.write.mode("overwrite").parquet(path)
+
+
+def latest_wins(puts: DataFrame, key: str, payload: str, time: str) -> DataFrame:
+    """The last payload of each key of a response store."""
+    return puts.groupBy(key).agg(F.max_by(payload, time).alias(payload), F.max(time).alias(time))
+
