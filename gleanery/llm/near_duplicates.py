@@ -63,7 +63,7 @@ def table_keys(signatures: np.ndarray) -> np.ndarray:
         for k in np.flatnonzero(mask):
             keys[:, :, m] = mix(keys[:, :, m] * np.uint64(0x9E3779B97F4A7C15) + groups[:, :, k] + np.uint64(1))
     tables = np.arange(GROUPS * len(MASKS), dtype=np.uint64).reshape(keys.shape[1:])
-    return mix(keys ^ (tables << np.uint64(56))).reshape(len(groups), -1)
+    return mix(keys ^ (tables << np.uint64(56))).reshape(len(groups), GROUPS * len(MASKS))
 
 
 def _signatures(size: int):

@@ -1,8 +1,8 @@
 """Problem 2: cutting oversized items at natural boundaries, with overlap.
 
 Method: pointer doubling. The natural boundaries of an item (ends of sections, tables, paragraphs, lines of tables and
-sentences) are its possible cuts; a stretch without any for longer than the limit gets cuts at blanks, or at the limit
-where there is none. Every boundary is joined to its farthest legal successor: the piece that starts there ends at the
+sentences) are its possible cuts; a stretch without any for longer than the limit gets one at least every half of the
+overlap, at blanks where there are any. Every boundary is joined to its farthest legal successor: the piece that starts there ends at the
 last boundary within LIMIT, and the next piece starts at the first boundary within OVERLAP of that end. Squaring the
 successor table again and again gives the number of pieces from every boundary and then all cuts of all items of a
 batch at once, in as many steps as the number of pieces has bits.
@@ -34,16 +34,11 @@ def boundaries(text: str, marks: list[int], limit: int, overlap: int) -> np.ndar
     cuts = sorted(c for c in cuts if c <= n)
     out = [0]
     for c in cuts[1:]:
-        while c - out[-1] > limit:
-            at = out[-1] + limit
-            blank = text.rfind(" ", at - overlap, at)
-            end = blank + 1 if blank >= 0 else at
-            back = text.rfind(" ", max(out[-1], end - overlap), max(out[-1], end - overlap // 2)) + 1 if overlap else 0
-            if back > out[-1]:
-                out.append(back)
-            elif overlap and end - overlap > out[-1]:
-                out.append(end - overlap)
-            out.append(end)
+        if c - out[-1] > limit:
+            step = max(1, overlap // 2)
+            while c - out[-1] > step:
+                at = out[-1] + step
+                out.append(max(text.rfind(" ", out[-1] + 1, at) + 1, 0) or at)
         out.append(c)
     return np.array(out, dtype=np.int64)
 

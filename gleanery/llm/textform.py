@@ -91,8 +91,11 @@ SAMPLES = {
     GREEK: "η εταιρεία και οι θυγατρικές της ανακοίνωσαν έσοδα για το έτος που έληξε τα κέρδη αυξήθηκαν λόγω των τιμών "
     "ενώ το κόστος των υλικών μειώθηκε σύμφωνα με τις σημειώσεις των οικονομικών καταστάσεων ο όμιλος",
 }
-SWITCH = -9.0  # a change of script inside a token
-CONTEXT = 5.0  # for a reading in the script of the surroundings
+# A change of script inside a token costs more than any n-gram score can win, and a letter in the script of the
+# surroundings wins more than its n-grams can cost: a token that can be read in one script always is, so that texts
+# in Latin letters alone are their own form. The n-grams choose among the readings that these two leave.
+SWITCH = -1000.0
+CONTEXT = 15.0
 
 
 class _CharTable(dict):
@@ -169,7 +172,7 @@ def read_token(skeleton: str, around: int) -> str:
         here = {}
         for script, c in options:
             low = c.lower()
-            bonus = CONTEXT / len(letters) if script == around else 0.0
+            bonus = CONTEXT if script == around else 0.0
             score, path = max(
                 (
                     s + (grams[script].get((prev, low), -6.0) if script is not None and before in (None, script) else 0.0 if script is None or before is None else SWITCH - 6.0),
