@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions.text import strip
+
 SUBMISSIONS = "name string, filings struct<recent: struct<form: array<string>, accessionNumber: array<string>, filingDate: array<string>, reportDate: array<string>, primaryDocument: array<string>>>"
 
 
@@ -36,7 +38,7 @@ def list_filings(submissions: DataFrame, form_types: tuple[str, ...] = ("10-K",)
 def recorded(spark: SparkSession, folder: str) -> DataFrame:
     """(url, body) of recorded responses: files ``name.url`` beside ``name.body``."""
     files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)\.(url|body)$", 1).alias("stem"), F.regexp_extract("path", r"\.(url|body)$", 1).alias("kind"), "content")
-    urls = files.filter("kind = 'url'").select("stem", F.trim(F.decode("content", "UTF-8")).alias("url"))
+    urls = files.filter("kind = 'url'").select("stem", strip(F.decode("content", "UTF-8")).alias("url"))
     return urls.join(files.filter("kind = 'body'").select("stem", F.col("content").alias("body")), "stem").select("url", "body")
 
 

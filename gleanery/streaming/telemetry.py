@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleanery.operators.serving import BREAKER_FAILURES, BREAKER_RECOVERY
 
@@ -28,52 +28,54 @@ def hourly(spans: DataFrame, late: str = "14 days") -> DataFrame:
     return made.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "span_name", "n", "n_errors", "total_ms")
 
 
-class _Breaker(StatefulProcessor):
-    """One circuit breaker for each component, over outcomes in the order of their time within a batch."""
-
-    def __init__(self, failures: int, recovery: float):
-        self.failures, self.recovery = failures, recovery
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("breaker", "state string, failures int, opened double, trips int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, failures, opened, trips = self.state.get() if self.state.exists() else ("closed", 0, 0.0, 0)
-        out = []
-        for r in pd.concat(list(rows)).sort_values(["at", "tie"]).itertuples():
-            if state == "open" and r.at - opened >= self.recovery:
-                state = "half_open"
-            if r.failed:
-                failures += 1
-                if failures >= self.failures or state == "half_open":
-                    trips += state != "open"
-                    state, opened = "open", r.at
-            else:
-                state, failures = "closed", 0
-            out.append((key[0], int(r.tie), state, failures, trips))
-        self.state.update((state, failures, float(opened), trips))
-        yield pd.DataFrame(out, columns=["component", "tie", "state", "failures", "trips"])
-
-    def close(self) -> None:
-        pass
+BREAKER = "component string, tie bigint, state string, failures int, trips int"
+BREAKER_STATE = "state string, failures int, opened double, trips int"
 
 
-BREAKER = "component string, tie bigint, state string, failures int, trips int"
+def step(state: tuple[str, int, float, int], at: float, failed: bool, failures: int, recovery: float) -> tuple[str, int, float, int]:
+    """The breaker's state (name, failures in a row, time of opening, trips) after one outcome."""
+    name, row, opened, trips = state
+    if not failed:
+        return "closed", 0, opened, trips
+    probing = name == "open" and at - opened >= recovery
+    row += 1
+    if row >= failures or probing:
+        return "open", row, at, trips + (name != "open" or probing)
+    return name, row, opened, trips
 
 
 def breaker(outcomes: DataFrame, failures: int = BREAKER_FAILURES, recovery: float = BREAKER_RECOVERY) -> DataFrame:
     """(component, tie, state, failures, trips) after every outcome (component, at in seconds, tie, failed).
 
     A success closes; ``failures`` in a row open; after ``recovery`` seconds one probe is let through, and if it fails
-    the breaker opens again at once.
+    the breaker opens again at once. Outcomes are taken in the order of their time within a micro-batch, so the size
+    of a micro-batch bounds what a task holds.
     """
     if failures < 1 or recovery <= 0:
         raise ValueError("failures must be at least 1 and recovery positive")
-    return outcomes.groupBy("component").transformWithStateInPandas(_Breaker(failures, recovery), outputStructType=BREAKER, outputMode="Append", timeMode="None")
 
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        state = kept.get if kept.exists else ("closed", 0, 0.0, 0)
+        rows = pd.concat(list(batches)).sort_values(["at", "tie"])
+        out = []
+        for at, tie, failed in zip(rows["at"], rows["tie"], rows["failed"]):
+            state = step(state, float(at), bool(failed), failures, recovery)
+            out.append((key[0], int(tie), state[0], state[1], state[3]))
+        kept.update(state)
+        yield pd.DataFrame(out, columns=["component", "tie", "state", "failures", "trips"])
+
+    return outcomes.groupBy("component").applyInPandasWithState(follow, BREAKER, BREAKER_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Everything that has arrived so far, through tables in a shared folder: the last state of a complete stream, all
+    rows of an appending one. Each micro-batch overwrites its own table, so a batch that runs again changes nothing.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{'last' if mode == 'complete' else number}")
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Everything that has arrived, as a table in memory; for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
