@@ -10,8 +10,10 @@ pair within Hamming distance RADIUS = 2 * GROUPS - 1 is certain to meet; beyond
 with the distance (at similarity 0.7: 0.9999).
 
 Scale: records of equal run sets are one class and take part once, so a hot group of copies costs one representative.
-Only keys and class numbers are shuffled to find candidates; run sets are read a second time, for the classes in a
-candidate pair alone, and the similarity of each candidate is computed exactly.
+Only keys and class numbers are shuffled to find candidates. Run sets are read a second time, for the classes in a
+candidate pair alone: their ids, hashed to at most BUCKETS numbers, are broadcast to drop most other texts before the
+shuffle, and the similarity of each candidate is computed exactly. The name of a table is part of the hash of a class
+and of its keys, so records of different tables never meet.
 
 Defined results: null texts and texts without letters or digits belong to no class and no pair; a text of fewer words
 than a run is one run; a repeated id counts once.
@@ -34,6 +36,7 @@ GROUP = 6  # symbols in a group: two for each non-zero vector of F_2^2
 GROUPS = 12
 SYMBOLS = GROUP * GROUPS
 RADIUS = 2 * GROUPS - 1
+BUCKETS = 1 << 20
 #: The vectors of F_2^2 at the positions of a group, and the masks: one row for each v, true where <vector, v> = 1.
 VECTORS = [(0, 1), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1)]
 MASKS = np.array([[(v[0] * a + v[1] * b) % 2 == 1 for a, b in VECTORS] for v in ((0, 1), (1, 0), (1, 1))])
@@ -70,15 +73,16 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                kept, classes, sizes, signatures = [], [], [], []
-                for k, text in enumerate(batch.column(2).to_pylist()):
+                kept, classes, sizes, signatures, tables = [], [], [], [], []
+                for k, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
                     runs = shingle_set(text, size)
                     if len(runs):
                         kept.append(k)
-                        classes.append(xxhash.xxh3_64_intdigest(runs.tobytes()))
+                        tables.append(xxhash.xxh3_64_intdigest(name))
+                        classes.append(xxhash.xxh3_64_intdigest(runs.tobytes(), seed=tables[-1]))
                         sizes.append(len(runs))
                         signatures.append(symbols(runs))
-                flat = table_keys(np.array(signatures, dtype=np.uint32).reshape(-1, SYMBOLS)).reshape(-1).view(np.int64)
+                keys = table_keys(np.array(signatures, dtype=np.uint32).reshape(-1, SYMBOLS)) ^ np.array(tables, dtype=np.uint64)[:, None]
                 offsets = np.arange(len(kept) + 1, dtype=np.int32) * (GROUPS * len(MASKS))
                 kept = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -87,7 +91,7 @@ def _signatures(size: int):
                         batch.column(1).take(kept),
                         pa.array(np.array(classes, dtype=np.uint64).view(np.int64)),
                         pa.array(np.array(sizes, dtype=np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.reshape(-1).view(np.int64))),
                     ],
                     names=["table_name", "id", "class_id", "n_runs", "keys"],
                 )
@@ -98,8 +102,8 @@ def _signatures(size: int):
 def _run_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, size).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["table_name", "class_id", "runs"])
+            sets = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class_id", "runs"])
 
     return run
 
@@ -108,13 +112,13 @@ def _compare(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shares = []
-            for a, b in zip(batch.column(3), batch.column(4)):
+            for a, b in zip(batch.column(2), batch.column(3)):
                 a, b = np.frombuffer(a.as_py(), dtype=np.uint64), np.frombuffer(b.as_py(), dtype=np.uint64)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 shares.append(both / (len(a) + len(b) - both))
             shares = np.array(shares, dtype=np.float64)
             near = pa.array(np.flatnonzero(shares >= threshold))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(near) for c in range(3)), pa.array(shares).take(near)], names=["table_name", "class_a", "class_b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(near), batch.column(1).take(near), pa.array(shares).take(near)], names=["class_a", "class_b", "similarity"])
 
     return run
 
@@ -122,50 +126,50 @@ def _compare(threshold: float):
 class NearDuplicates:
     """Near-duplicate records of one or several tables.
 
-    ``records`` has table_name, id (string) and text; pairs are sought within a table_name. ``members`` (table_name,
-    id, class_id) gives the class of equal run sets of every record; ``links`` (table_name, class_a, class_b,
-    similarity) the pairs of different classes whose similarity reaches the threshold.
+    ``records`` has table_name, id and text; pairs are sought within a table_name. ``members`` (table_name, id,
+    class_id) gives the class of equal run sets of every record; ``links`` (class_a, class_b, similarity) the pairs of
+    different classes whose similarity reaches the threshold.
     """
 
     def __init__(self, records: DataFrame, threshold: float = 0.8, run_size: int = 5):
-        rows = records.select("table_name", F.col("id").cast("string").alias("id"), "text").filter("id is not null and text is not null")
+        rows = records.select("table_name", F.col("id").cast("string").alias("id"), "text").filter("table_name is not null and id is not null and text is not null")
         signed = rows.mapInArrow(_signatures(run_size), "table_name string, id string, class_id long, n_runs int, keys array<long>")
         signed = checkpointed(signed)
         self.members = signed.groupBy("table_name", "id").agg(F.min("class_id").alias("class_id"))
         # one record stands for its class
-        classes = signed.groupBy("table_name", "class_id").agg(F.min_by(F.struct("id", "n_runs", "keys"), "id").alias("r")).select("table_name", "class_id", "r.*")
-        keyed = classes.select("table_name", "class_id", "n_runs", F.explode("keys").alias("key"))
-        left = keyed.select("table_name", "key", F.col("class_id").alias("class_a"), F.col("n_runs").alias("n_a"))
-        right = keyed.select("table_name", "key", F.col("class_id").alias("class_b"), F.col("n_runs").alias("n_b"))
+        classes = signed.groupBy("class_id").agg(F.min_by(F.struct("n_runs", "keys"), F.struct("table_name", "id")).alias("r")).select("class_id", "r.*")
+        keyed = classes.select("class_id", "n_runs", F.explode("keys").alias("key"))
+        left = keyed.select("key", F.col("class_id").alias("class_a"), F.col("n_runs").alias("n_a"))
+        right = keyed.select("key", F.col("class_id").alias("class_b"), F.col("n_runs").alias("n_b"))
         candidates = (
-            left.join(right, ["table_name", "key"])
+            left.join(right, "key")
             .filter((F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")))
-            .select("table_name", "class_a", "class_b")
+            .select("class_a", "class_b")
             .distinct()
         )
         self.candidates = candidates = checkpointed(candidates)
-        wanted = candidates.select("table_name", F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
-        standing = classes.select("table_name", "class_id", "id").join(wanted, ["table_name", "class_id"])
-        texts = rows.join(standing, ["table_name", "id"]).select("table_name", "class_id", "text")
-        sets = texts.mapInArrow(_run_sets(run_size), "table_name string, class_id long, runs binary").dropDuplicates(["table_name", "class_id"])
-        pairs = candidates.join(sets.withColumnsRenamed({"class_id": "class_a", "runs": "runs_a"}), ["table_name", "class_a"]).join(
-            sets.withColumnsRenamed({"class_id": "class_b", "runs": "runs_b"}), ["table_name", "class_b"]
-        )
-        self.links = pairs.select("table_name", "class_a", "class_b", "runs_a", "runs_b").mapInArrow(_compare(threshold), "table_name string, class_a long, class_b long, similarity double")
+        wanted = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+        standing = signed.select("class_id", "table_name", "id").join(wanted, "class_id").groupBy("class_id").agg(F.min(F.struct("table_name", "id")).alias("r")).select("class_id", "r.*")
+        standing = checkpointed(standing)
+        bucket = F.pmod(F.xxhash64("table_name", "id"), F.lit(BUCKETS))
+        near = rows.withColumn("bucket", bucket).join(F.broadcast(standing.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
+        texts = near.join(standing, ["table_name", "id"]).select("class_id", "text")
+        sets = texts.mapInArrow(_run_sets(run_size), "class_id long, runs binary").dropDuplicates(["class_id"])
+        pairs = candidates.join(sets.withColumnsRenamed({"class_id": "class_a", "runs": "runs_a"}), "class_a").join(sets.withColumnsRenamed({"class_id": "class_b", "runs": "runs_b"}), "class_b")
+        self.links = pairs.select("class_a", "class_b", "runs_a", "runs_b").mapInArrow(_compare(threshold), "class_a long, class_b long, similarity double")
 
     def record_classes(self) -> DataFrame:
         """One row per record: its class, the number of records in the class and of linked other classes."""
-        ends = self.links.select("table_name", F.explode(F.array("class_a", "class_b")).alias("class_id"))
-        links = ends.groupBy("table_name", "class_id").agg(F.count("*").alias("n_links"))
-        copies = self.members.groupBy("table_name", "class_id").agg(F.count("*").alias("n_copies"))
-        return self.members.join(copies.join(links, ["table_name", "class_id"], "left").na.fill(0, ["n_links"]), ["table_name", "class_id"])
+        ends = self.links.select(F.explode(F.array("class_a", "class_b")).alias("class_id"))
+        links = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+        copies = self.members.groupBy("class_id").agg(F.count("*").alias("n_copies"))
+        return self.members.join(copies.join(links, "class_id", "left").na.fill(0, ["n_links"]), "class_id")
 
     def record_pairs(self) -> DataFrame:
         """(table_name, id_a, id_b): every pair of records, of one class or of linked classes; the smaller id first."""
         a = self.members.select("table_name", F.col("id").alias("id_1"), F.col("class_id").alias("class_a"))
-        b = self.members.select("table_name", F.col("id").alias("id_2"), F.col("class_id").alias("class_b"))
-        copied = self.members.groupBy("table_name", "class_id").agg(F.count("*").alias("n")).filter("n > 1").select("table_name", F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
-        linked = self.links.select("table_name", "class_a", "class_b").unionByName(copied)
-        pairs = linked.join(a, ["table_name", "class_a"]).join(b, ["table_name", "class_b"])
-        pairs = pairs.filter("class_a <> class_b or id_1 < id_2")
+        b = self.members.select(F.col("id").alias("id_2"), F.col("class_id").alias("class_b"))
+        copied = self.members.groupBy("class_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b"))
+        linked = self.links.select("class_a", "class_b").unionByName(copied)
+        pairs = linked.join(a, "class_a").join(b, "class_b").filter("class_a <> class_b or id_1 < id_2")
         return pairs.select("table_name", F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))
