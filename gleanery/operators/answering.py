@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import context, refusal, retrieval, security
+from gleanery.session import checkpointed
 
 SENTENCES, SUPPORT = 3, 0.6
 # Patterns of questions that lean on what was said before, and of framing that claims nothing.
@@ -91,16 +92,16 @@ def grounded(queries: DataFrame, corpus: DataFrame, where: Column | None = None,
     queries take no further part.
     """
     asked = queries.select("query_id", rewrite(F.col("query"), F.col("history")).alias("query"))
-    hits = retrieval.top_k(retrieval.bm25(corpus, asked, where), k)
+    hits = checkpointed(retrieval.bm25_search(corpus, asked, k, where))
     clean = corpus.select("chunk_id", security.sanitise(F.col("text")).alias("text"))
     signals = asked.join(refusal.confidence(hits), "query_id", "left")
-    decided = refusal.refused(signals, signal, threshold).select("query_id", "query", "n_hits", signal, "refused")
+    decided = checkpointed(refusal.refused(signals, signal, threshold).select("query_id", "query", "n_hits", signal, "refused"))
     open_hits = hits.join(decided.filter(~F.col("refused")).select("query_id"), "query_id", "left_semi")
-    shown = context.assemble(open_hits, clean)
+    shown = checkpointed(context.assemble(open_hits, clean))
     first = shown.select("query_id", F.posexplode("kept").alias("place", "h")).select("query_id", F.col("h.chunk_id").alias("chunk_id"), (F.col("place") + 1).alias("rank"))
-    made = extractive(first, asked, clean)
+    made = checkpointed(extractive(first, asked, clean))
     cited = made.join(shown.select("query_id", F.transform("kept", lambda h: h["chunk_id"]).alias("cited")), "query_id").select("query_id", "answer", "cited")
-    verdicts = verify(cited, "query_id", clean)
+    verdicts = checkpointed(verify(cited, "query_id", clean))
     grounds = verdicts.groupBy("query_id").agg(F.avg(F.col("supported").cast("double")).alias("groundedness"))
     answered = annotate(made.select("query_id", "answer"), verdicts, "query_id").join(grounds, "query_id", "left")
     retrieved = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"]).alias("retrieved"))

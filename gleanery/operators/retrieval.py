@@ -6,9 +6,12 @@ the score, rounded to nine places so that the order of summation does not matter
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,13 +51,15 @@ def bm25(corpus: DataFrame, queries: DataFrame, where: Column | None = None) ->
     Postings of terms that no query has are dropped before anything is joined or counted.
     """
     asked = queries.select("query_id", F.explode(T.retrieval_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = small(asked.select("term").distinct())
+    vocabulary = asked.select("term").distinct()
+    bounded = vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # the bound of the frequencies too
+    hint = F.broadcast if bounded else (lambda df: df)
     tokens = corpus.withColumn("tokens", T.retrieval_tokens(F.col("text"))).withColumn("length", F.size("tokens"))
     totals = tokens.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("average_length"))
     candidate = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    exploded = tokens.select("chunk_id", "length", candidate.alias("candidate"), F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+    exploded = tokens.select("chunk_id", "length", candidate.alias("candidate"), F.explode("tokens").alias("term")).join(hint(vocabulary), "term", "left_semi")
     postings = exploded.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("candidate").alias("candidate"))
-    frequencies = small(postings.groupBy("term").agg(F.count("*").alias("df")))
+    frequencies = hint(postings.groupBy("term").agg(F.count("*").alias("df")))
     ratio = F.when(F.col("average_length") > 0, F.col("length") / F.col("average_length")).otherwise(1.0)
     idf = F.log(1 + (F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * ratio))
@@ -63,6 +68,126 @@ def bm25(corpus: DataFrame, queries: DataFrame, where: Column | None = None) ->
     return scored.filter("score > 0")
 
 
+def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
+    """Rows of a stated set of queries, in blocks of about ``block``."""
+    n = max(1, -(-queries.count() // block))
+    for number in range(n):
+        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number).collect() if n > 1 else queries.collect()
+
+
+def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | None = None, filters: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """(query_id, chunk_id, rank, score): the k best chunks of every query, as top_k(bm25(...)) gives them.
+
+    The postings join of a common term with every query that has it grows with both sides. Here the queries are a
+    stated set, taken in blocks of ``block``: a first pass counts the frequencies of their terms, summed in each task
+    before the shuffle; a second adds the weights of each term to a queries x chunks matrix, batch by batch, and only
+    the k best of a batch leave the task.
+
+    ``filters`` (query_id, company, fiscal_year) limits each query to the chunks of its metadata, as filtered() does:
+    a query that no chunk with a positive score matches gets its unfiltered ranking.
+    """
+    context = corpus.sparkSession.sparkContext
+    kinds = corpus.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    candidate = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    described = [F.lower("company").alias("company"), F.col("fiscal_year").cast("string").alias("year")] if filters is not None else [F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("year")]
+    rows = corpus.select("chunk_id", "text", candidate.alias("candidate"), *described)
+    asked = queries.select("query_id", T.retrieval_tokens(F.col("query")).alias("terms"))
+    if filters is not None:
+        asked = asked.join(filters.select("query_id", F.lower("company").alias("company"), F.col("fiscal_year").cast("string").alias("year")), "query_id", "left")
+    n_chunks, average, found = None, None, None
+    for part in _query_blocks(asked, block):
+        if not part:
+            continue
+        ids, query_terms = [r.query_id for r in part], [Counter(r.terms or ()) for r in part]
+        known = {t: j for j, t in enumerate(sorted({t for c in query_terms for t in c}))}
+        vocabulary = context.broadcast(known)
+
+        def count(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
+            places, totals, n, length = vocabulary.value, Counter(), 0, 0
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    tokens = _tokens(text)
+                    n, length = n + 1, length + len(tokens)
+                    totals.update({places[t] for t in tokens if t in places})
+            yield pa.RecordBatch.from_pydict({"place": pa.array([-2, -1, *totals], pa.int32()), "n": pa.array([length, n, *totals.values()], pa.int64())})
+
+        counted = {r.place: r.n for r in corpus.select("text").mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}  # a row for each term of the block
+        if n_chunks is None:
+            n_chunks = counted.get(-1, 0)
+            average = counted.get(-2, 0) / n_chunks if n_chunks else 0.0
+        idf = np.zeros(len(known))
+        for j, df in counted.items():
+            if j >= 0:
+                idf[j] = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
+        having: list[list] = [[] for _ in known]
+        for i, c in enumerate(query_terms):
+            for t, n in c.items():
+                having[known[t]].append((i, n))
+        having = [(np.array([i for i, _ in h]), np.array([n for _, n in h], dtype=float)) for h in having]
+        names = ([r.company for r in part], [r.year for r in part]) if filters is not None else None
+        shared = context.broadcast((ids, having, idf, average, names))
+
+        def score(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary, shared=shared) -> Iterator[pa.RecordBatch]:
+            places = vocabulary.value
+            ids, having, idf, average, names = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):  # bounds the matrix
+                    batch = whole.slice(at, 512)
+                    n = batch.num_rows
+                    postings: dict[int, tuple[list, list]] = {}
+                    lengths = np.zeros(n)
+                    for c, text in enumerate(batch.column(1).to_pylist()):
+                        tokens = _tokens(text)
+                        lengths[c] = len(tokens)
+                        for j, tf in Counter([places[t] for t in tokens if t in places]).items():
+                            chunks, tfs = postings.setdefault(j, ([], []))
+                            chunks.append(c)
+                            tfs.append(tf)
+                    damping = K1 * (1 - B + B * (lengths / average if average else 1.0))
+                    scores = np.zeros((len(ids), n))
+                    for j, (chunks, tfs) in postings.items():
+                        chunks, tfs = np.array(chunks), np.array(tfs, dtype=float)
+                        own, times = having[j]
+                        scores[own[:, None], chunks] += np.outer(times, idf[j] * tfs * (K1 + 1) / (tfs + damping[chunks]))
+                    scores *= np.array(batch.column(2).to_pylist(), dtype=bool)
+                    chunk_ids = batch.column(0).to_pylist()
+                    order = np.array(sorted(range(n), key=chunk_ids.__getitem__))
+                    masks = [np.ones(scores.shape, dtype=bool)]
+                    if names is not None:
+                        fits = masks[0]
+                        for wanted, actual in zip(names, (batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                            w, a = np.array(wanted, dtype=object)[:, None], np.array(actual, dtype=object)[None, :]
+                            fits = fits & ((w == None) | (a == None) | (w == a))  # noqa: E711
+                        masks = [fits, ~fits]
+                    for fit, mask in enumerate(masks):
+                        own = np.where(mask, scores, 0.0)[:, order]
+                        keep = np.argsort(-np.round(own, 9), axis=1, kind="stable")[:, :k]
+                        best = np.take_along_axis(own, keep, axis=1)
+                        i, j = np.nonzero(best > 0)
+                        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[x] for x in i], pa_type(kinds[1])), "chunk_id": batch.column(0).take(pa.array(order[keep[i, j]])), "score": pa.array(best[i, j]), "fits": pa.array(np.full(len(i), fit == 0))})
+
+        scored = rows.mapInArrow(score, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
+        found = scored if found is None else found.unionByName(scored)
+    if found is None:
+        return top_k(rows.limit(0).select(F.lit(None).cast(kinds[1]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")), k)
+    if filters is not None:
+        best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "fits").orderBy(F.round("score", 9).desc(), "chunk_id"))).filter(F.col("place") <= k)
+        found = best.withColumn("any_fit", F.max("fits").over(Window.partitionBy("query_id"))).filter(F.col("fits") | ~F.col("any_fit"))
+    return top_k(found.select("query_id", "chunk_id", "score"), k)
+
+
+def pa_type(name: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
+
+
+_TOKEN = re.compile(T.TOKEN)
+_STOP = frozenset(T.STOPWORDS)
+
+
+def _tokens(text: str | None) -> list[str]:
+    return [t for t in _TOKEN.findall(text.lower()) if t not in _STOP] if text else []
+
+
 def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """Exhaustive cosine search: (query_id, chunk_id, rank, score).
 
@@ -70,15 +195,10 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
     and are taken in blocks of ``block``; each block is one broadcast matrix, each batch of the index one product with
     it, and only the k best of a batch leave the task.
     """
-    dim = index.schema["vector"].dataType
-    del dim
     kinds = index.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     context = index.sparkSession.sparkContext
-    n = queries.count()
-    numbered = queries.select("query_id", "vector").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // block)))))
     best = None
-    for number in range(max(1, -(-n // block))):
-        rows = numbered.filter(F.col("block") == number).select("query_id", "vector").collect()
+    for rows in _query_blocks(queries.select("query_id", "vector"), block):
         shared = context.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], dtype=np.float64)))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -91,10 +211,10 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
                 part = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
                 if part.shape[1] != matrix.shape[1]:
                     raise ValueError(f"index of dimension {part.shape[1]}, queries of {matrix.shape[1]}")
-                scores = np.round(matrix @ part.T, 9)
+                scores = matrix @ part.T
                 names = batch.column(0).to_pylist()
                 order = np.array(sorted(range(len(names)), key=names.__getitem__))
-                keep = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                keep = order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
                 take = keep.reshape(-1)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -130,23 +250,28 @@ def reciprocal_rank_fusion(*rankings: DataFrame, weights: tuple[float, ...] | No
 
 def lexical_rerank(hits: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score): coverage of the query's distinct terms, rarity counted among the query's candidates,
-    and a bonus for terms that stand close together."""
-    asked = queries.select("query_id", F.array_distinct(T.retrieval_tokens(F.col("query"))).alias("terms"))
-    passages = hits.select("query_id", "chunk_id").join(corpus.select("chunk_id", "text"), "chunk_id").join(asked, "query_id")
-    passages = passages.select("query_id", "chunk_id", "terms", T.retrieval_tokens(F.col("text")).alias("tokens"))
-    whole = Window.partitionBy("query_id")
-    passages = passages.withColumn("n", F.count("*").over(whole))
-    matched = passages.withColumn("matched", F.array_intersect("terms", "tokens"))
-    frequencies = matched.select("query_id", F.explode("matched").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df"))
-    wanted = asked.select("query_id", F.explode("terms").alias("term")).join(matched.select("query_id", "n").distinct(), "query_id")
-    rarity = wanted.join(frequencies, ["query_id", "term"], "left").select("query_id", "term", F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0)))).alias("idf"))
-    totals = rarity.groupBy("query_id").agg(F.sum("idf").alias("total"))
-    covered = matched.select("query_id", "chunk_id", F.explode("matched").alias("term")).join(rarity, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum("idf").alias("covered"))
-    places = F.filter(F.transform(F.col("tokens"), lambda t, i: F.when(F.array_contains(F.col("matched"), t), i)), lambda i: i.isNotNull())
-    spread = F.array_max("places") - F.array_min("places")
-    near = F.when(F.size("places") > 1, F.greatest(F.lit(0.0), 1 - spread / PROXIMITY_WINDOW) * PROXIMITY_BONUS).otherwise(0.0)
-    scored = matched.withColumn("places", places).select("query_id", "chunk_id", near.alias("near")).join(covered, ["query_id", "chunk_id"], "left").join(totals, "query_id", "left")
-    return scored.select("query_id", "chunk_id", F.when(F.col("covered").isNull(), 0.0).otherwise(F.round(F.col("covered") / F.col("total") + F.col("near"), 6)).alias("score"))
+    and a bonus for terms that stand close together. A group is the candidates of one query, at most the depth.
+    """
+    passages = hits.select("query_id", "chunk_id").join(corpus.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    kinds = hits.schema["query_id"].dataType.simpleString(), hits.schema["chunk_id"].dataType.simpleString()
+
+    def score(group: pd.DataFrame) -> pd.DataFrame:
+        terms = list(dict.fromkeys(_tokens(group["query"].iloc[0])))
+        tokens = [_tokens(t) for t in group["text"]]
+        present = [set(t) for t in tokens]
+        idf = {t: np.log(1 + len(group) / (1 + sum(t in p for p in present))) for t in terms}
+        total, out = sum(idf.values()), []
+        for own, has in zip(tokens, present):
+            matched = [t for t in terms if t in has]
+            if not matched:
+                out.append(0.0)
+                continue
+            places = [k for k, t in enumerate(own) if t in idf]
+            near = max(0.0, 1 - (places[-1] - places[0]) / PROXIMITY_WINDOW) * PROXIMITY_BONUS if len(places) > 1 else 0.0
+            out.append(round(sum(idf[t] for t in matched) / total + near, 6))
+        return pd.DataFrame({"query_id": group["query_id"], "chunk_id": group["chunk_id"], "score": out})
+
+    return passages.groupBy("query_id").applyInPandas(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
 
 
 SUFFIX = r"(?i)\b(inc|corp|corporation|co|ltd|llc|plc|company)\b\.?"

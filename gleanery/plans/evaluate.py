@@ -9,6 +9,7 @@ from gleanery.operators import evaluation as E
 from gleanery.operators import retrieval as R
 from gleanery.plans.registry import ANSWERS_SQL, CHUNKS_SQL, answers, chunks, query, questions
 from gleanery.plans.search import BM25_SQL, HYBRID_SQL, bucket_hits, hits, ranked_sql
+from gleanery.session import checkpointed
 
 SPAN_QRELS_SQL = f"""spans as (select question_id, g.doc_id as doc_id, g.char_start as g_start, g.char_end as g_end, g.weight as weight from (select question_id, unnest(gold_spans) as g from questions)),
 span_qrels as (select question_id, chunk_id, max(case when share >= 0.9 then case when weight >= 1.0 then 2 else 1 end when share >= 0.25 then 1 else 0 end) as relevance from (
@@ -25,7 +26,7 @@ def eval_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.relevance(questions(spark, sf_dir), chunks(spark, sf_dir))
+    return checkpointed(E.relevance(questions(spark, sf_dir), chunks(spark, sf_dir)))
 
 
 @query(
@@ -64,12 +65,12 @@ LEXICAL_SQL = f"{BM25_SQL}, {QRELS_SQL}, {ranked_sql('bm', 'scored', 20)}, {scor
 
 
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.retrieval_metrics(hits(spark, sf_dir, 20), qrels(spark, sf_dir), questions(spark, sf_dir))
+    return checkpointed(E.retrieval_metrics(hits(spark, sf_dir, 20), qrels(spark, sf_dir), questions(spark, sf_dir)))
 
 
 def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = R.top_k(R.reciprocal_rank_fusion(hits(spark, sf_dir, R.FETCH_DEPTH), bucket_hits(spark, sf_dir, R.FETCH_DEPTH)), 20)
-    return E.retrieval_metrics(fused, qrels(spark, sf_dir), questions(spark, sf_dir))
+    return checkpointed(E.retrieval_metrics(fused, qrels(spark, sf_dir), questions(spark, sf_dir)))
 
 
 @query(f"with {LEXICAL_SQL} select question_id, cast(k as integer) as k, round(recall, 6) as recall, round(answer_recall, 6) as answer_recall, round(\"precision\", 6) as \"precision\", cast(hit_rate as double) as hit_rate, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg from sc")

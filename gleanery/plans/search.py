@@ -11,7 +11,7 @@ from gleanery.operators import answering, context, refusal
 from gleanery.operators import retrieval as R
 from gleanery.plans.registry import ANSWERS_SQL, CHUNKS_SQL, answers, chunks, query, questions
 from gleanery.plans.texts import PLAIN_TOKENS_SQL, protect_sql, strip_sql, tokens_sql
-from gleanery.session import table
+from gleanery.session import checkpointed, table
 
 # ---- retrieval
 
@@ -34,7 +34,8 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return R.top_k(R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)), k)
+    """Lexical hits; small, and read several times by what builds on them."""
+    return checkpointed(R.bm25_search(chunks(spark, sf_dir), asked(spark, sf_dir), k))
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -47,13 +48,19 @@ SHOWN_SQL = "select query_id, chunk_id, cast(rank as integer) as rank, round(sco
 @query(f"with {BM25_SQL}, {ranked_sql('best', 'scored', 10)} {SHOWN_SQL} best")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best chunks of every question."""
-    return shown(hits(spark, sf_dir, 10))
+    return shown(R.bm25_search(chunks(spark, sf_dir), asked(spark, sf_dir), 10))
+
+
+@query(f"with {BM25_SQL}, {ranked_sql('best', 'scored', 3)} {SHOWN_SQL} best")
+def bm25_postings_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking by the join of query terms with postings."""
+    return shown(R.top_k(R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir)), 3))
 
 
 @query(f"with {BM25_SQL}, kept as (select s.* from scored s join ch using (chunk_id) where form_type = '10-K'), {ranked_sql('best', 'kept', 10)} {SHOWN_SQL} best")
 def bm25_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same among annual reports only: the filter limits candidates, not statistics."""
-    return shown(R.top_k(R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), where=F.col("form_type") == "10-K"), 10))
+    return shown(R.bm25_search(chunks(spark, sf_dir), asked(spark, sf_dir), 10, where=F.col("form_type") == "10-K"))
 
 
 @query(f"with {BM25_SQL} select term, cast(df as bigint) as df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs, stats")
@@ -93,7 +100,7 @@ def bm25_metadata_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters read from the question; without a match the unfiltered ranking."""
     corpus = chunks(spark, sf_dir)
     filters = R.extract_filters(asked(spark, sf_dir), R.company_aliases(corpus))
-    return shown(R.filtered(R.bm25(corpus, asked(spark, sf_dir)), filters, corpus, 10))
+    return shown(R.bm25_search(corpus, asked(spark, sf_dir), 10, filters=filters))
 
 
 DENSE_SQL = """pairs as (select q.vec_id as query_id, e.vec_id as chunk_id, e.label as label, round(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))), 9) as score
@@ -141,7 +148,7 @@ fused as (select query_id, chunk_id, sum(1.0 / (60 + rank)) as score from (selec
 
 def bucket_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     index = V.bucket_vectors(chunks(spark, sf_dir), "chunk_id", "text")
-    return R.top_k(R.dense_sparse(index, V.bucket_vectors(asked(spark, sf_dir), "query_id", "query")), k)
+    return checkpointed(R.top_k(R.dense_sparse(index, V.bucket_vectors(asked(spark, sf_dir), "query_id", "query")), k))
 
 
 @query(f"with {HYBRID_SQL} select query_id, chunk_id, cast(rank as integer) as rank, round(score, 4) as score from near where rank <= 10")

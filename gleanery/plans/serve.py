@@ -42,7 +42,7 @@ def security_acl_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def security_acl_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an analyst may retrieve: the access list is checked before anything is scored."""
     may = S.allowed(roles(), F.array(F.lit("analyst")))
-    return shown(R.top_k(R.bm25(chunks(spark, sf_dir), asked(spark, sf_dir), where=may), 5))
+    return shown(R.bm25_search(chunks(spark, sf_dir), asked(spark, sf_dir), 5, where=may))
 
 
 @query(
@@ -53,7 +53,7 @@ def security_leak_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restricted chunks among what a stranger retrieves: none may be."""
     corpus = chunks(spark, sf_dir)
     stranger = F.array().cast("array<string>")
-    found = R.top_k(R.bm25(corpus, asked(spark, sf_dir), where=S.allowed(roles(), stranger)), 5)
+    found = R.bm25_search(corpus, asked(spark, sf_dir), 5, where=S.allowed(roles(), stranger))
     checked = found.join(corpus.select("chunk_id", S.allowed(roles(), stranger).alias("may")), "chunk_id")
     return checked.agg(F.lit("anonymous").alias("principal"), F.count("*").alias("n_hits"), F.count_if(~F.col("may")).alias("n_leaked"))
 

@@ -66,6 +66,19 @@ def test_bm25(spark):
     assert scores["2", "c1"] == pytest.approx(2 * once)
 
 
+def test_search_is_the_cut_join(spark, sf_dir):
+    from gleanery.plans import registry
+    from gleanery.plans.search import asked as stated
+
+    every, queries = registry.chunks(spark, sf_dir), stated(spark, sf_dir)
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    want = key(R.top_k(R.bm25(every, queries), 7))
+    assert key(R.bm25_search(every, queries, 7)) == want == key(R.bm25_search(every, queries, 7, block=3))
+    assert R.bm25_search(every, queries.limit(0), 7).collect() == [] == R.bm25_search(every.limit(0), queries, 7).collect()
+    filters = R.extract_filters(queries, R.company_aliases(every))
+    assert key(R.bm25_search(every, queries, 5, filters=filters)) == key(R.filtered(R.bm25(every, queries), filters, every, 5))
+
+
 def test_filter_leaves_the_statistics(spark):
     full = {r.chunk_id: r.score for r in R.bm25(corpus(spark), asked(spark, "banana")).collect()}
     kept = {r.chunk_id: r.score for r in R.bm25(corpus(spark), asked(spark, "banana"), where=F.col("chunk_id") == "c2").collect()}
