@@ -72,3 +72,9 @@ def bucket_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = 64) ->
     buckets = terms.groupBy("id", (code % dim).cast("int").alias("bucket")).agg(F.sum(signed).alias("w"))
     norms = buckets.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return buckets.join(norms, "id").filter("norm > 0").select("id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def bucket_arrays(sparse: DataFrame, dim: int = 64) -> DataFrame:
+    """(id, vector): the sparse unit vectors as arrays."""
+    entries = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+    return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0))).alias("vector"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 
+_TOKEN = re.compile(T.TOKEN)
 MAX_TOKENS, DUPLICATE, SHINGLE = 4000, 0.8, 4
 
 
@@ -17,42 +21,50 @@ def presentation_order(hits: DataFrame) -> DataFrame:
     return hits.withColumn("position", F.when(r % 2 == 1, (r + 1) / 2).otherwise(n - r / 2 + 1).cast("int"))
 
 
+ASSEMBLED = (
+    "query_id {0}, kept array<struct<rank:int,chunk_id:string,score:double,text:string,cost:int>>, dropped_duplicate array<struct<dropped:string,kept:string,similarity:double>>, "
+    "dropped_budget array<string>, tokens_used int, utilisation double"
+)
+
+
+def _runs(tokens: list[str], size: int) -> set:
+    if len(tokens) < size:
+        return {tuple(tokens)} if tokens else set()
+    return {tuple(tokens[k : k + size]) for k in range(len(tokens) - size + 1)}
+
+
+def _similarity(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
 def assemble(hits: DataFrame, corpus: DataFrame, max_tokens: int = MAX_TOKENS, duplicate: float = DUPLICATE, reorder: bool = True) -> DataFrame:
     """One row per query: kept passages in presentation order, dropped duplicates and passages over the budget.
 
     A hit is dropped when its shingles reach the Jaccard ``duplicate`` with a hit kept before it; one that does not fit
-    the budget is skipped, later ones may still fit, and the first is always kept. Both are folds over the at most k
-    hits of a query, in built-in functions.
+    the budget is skipped, later ones may still fit, and the first is always kept. Each hit depends on the ones before
+    it, so the at most k hits of a query are one group.
     """
-    tokens = T.plain_tokens(F.col("text"))
-    passages = hits.join(corpus.select("chunk_id", "text"), "chunk_id").select(
-        "query_id", F.struct(F.col("rank"), F.col("chunk_id"), F.col("score"), F.col("text"), F.size(tokens).alias("cost"), T.shingles(tokens, SHINGLE).alias("shingles")).alias("h")
-    )
-    ranked = passages.groupBy("query_id").agg(F.array_sort(F.collect_list("h")).alias("hits"))
-    nothing = F.filter("hits", lambda h: F.lit(False))
-    pairs = F.array().cast("array<struct<dropped:string,kept:string>>")
-
-    def keep(state, h):
-        same = F.filter(state["kept"], lambda k: T.jaccard(k["shingles"], h["shingles"]) >= duplicate)
-        dropped = F.struct(h["chunk_id"].alias("dropped"), F.try_element_at(same, F.lit(1))["chunk_id"].alias("kept"))
-        fresh = F.size(same) == 0
-        return F.struct(F.when(fresh, F.concat(state["kept"], F.array(h))).otherwise(state["kept"]).alias("kept"), F.when(fresh, state["dropped"]).otherwise(F.concat(state["dropped"], F.array(dropped))).alias("dropped"))
-
-    unique = ranked.select("query_id", F.aggregate("hits", F.struct(nothing.alias("kept"), pairs.alias("dropped")), keep).alias("d"), "hits")
-
-    def spend(state, h):
-        fits = (state["used"] + h["cost"] <= max_tokens) | (F.size(state["kept"]) == 0)
-        return F.struct(
-            F.when(fits, F.concat(state["kept"], F.array(h))).otherwise(state["kept"]).alias("kept"),
-            F.when(fits, state["over"]).otherwise(F.concat(state["over"], F.array(h["chunk_id"]))).alias("over"),
-            F.when(fits, state["used"] + h["cost"]).otherwise(state["used"]).alias("used"),
-        )
-
-    start = F.struct(nothing.alias("kept"), F.array().cast("array<string>").alias("over"), F.lit(0).alias("used"))
-    spent = unique.select("query_id", F.col("d.dropped").alias("dropped_duplicate"), F.aggregate("d.kept", start, spend).alias("b"))
-    kept = F.col("b.kept")
-    if reorder:
-        front = F.filter(kept, lambda h, k: k % 2 == 0)
-        back = F.reverse(F.filter(kept, lambda h, k: k % 2 == 1))
-        kept = F.concat(front, back)
-    return spent.select("query_id", kept.alias("kept"), "dropped_duplicate", F.col("b.over").alias("dropped_budget"), F.col("b.used").alias("tokens_used"), (F.col("b.used") / max_tokens).alias("utilisation"))
+    passages = hits.join(corpus.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "rank", "score", "text")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        unique, dropped = [], []
+        for hit in group.sort_values("rank").itertuples():
+            tokens = _TOKEN.findall((hit.text or "").lower())
+            runs = _runs(tokens, SHINGLE)
+            near = next(((k["chunk_id"], s) for k, own in unique if (s := _similarity(runs, own)) >= duplicate), None)
+            if near:
+                dropped.append({"dropped": hit.chunk_id, "kept": near[0], "similarity": near[1]})
+            else:
+                unique.append(({"rank": int(hit.rank), "chunk_id": hit.chunk_id, "score": float(hit.score), "text": hit.text, "cost": len(tokens)}, runs))
+        kept, over, used = [], [], 0
+        for hit, _ in unique:
+            if used + hit["cost"] > max_tokens and kept:
+                over.append(hit["chunk_id"])
+            else:
+                kept.append(hit)
+                used += hit["cost"]
+        if reorder:
+            kept = kept[::2] + kept[1::2][::-1]
+        return pd.DataFrame([(group["query_id"].iloc[0], kept, dropped, over, used, used / max_tokens)], columns=["query_id", "kept", "dropped_duplicate", "dropped_budget", "tokens_used", "utilisation"])
+
+    return passages.groupBy("query_id").applyInPandas(fold, ASSEMBLED.format(hits.schema["query_id"].dataType.simpleString()))

@@ -229,13 +229,6 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
     return top_k(best, k)
 
 
-def dense_sparse(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) from sparse unit vectors (id, bucket, weight) of both sides, joined on the bucket."""
-    a = queries.select(F.col("id").alias("query_id"), "bucket", F.col("weight").alias("wq"))
-    b = index.select(F.col("id").alias("chunk_id"), "bucket", F.col("weight").alias("wc"))
-    return small(a).join(b, "bucket").groupBy("query_id", "chunk_id").agg(F.sum(F.col("wq") * F.col("wc")).alias("score"))
-
-
 def reciprocal_rank_fusion(*rankings: DataFrame, weights: tuple[float, ...] | None = None, k: int = RRF_K) -> DataFrame:
     """(query_id, chunk_id, score): sum of weight / (k + rank) over the rankings."""
     weights = weights or (1.0,) * len(rankings)
