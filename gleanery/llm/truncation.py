@@ -12,7 +12,9 @@ ellipsis, "(more", "[truncated", closing tags, page lines) is taken off first. T
 * no_terminator    - running text that does not end a sentence, or a list entry that ends in a word or sign that needs
                      another one.
 
-Other list entries, table rows, headings, code, formulas, page lines and signatures need no terminator. A missing terminator
+Other list entries, table rows, headings, code, formulas, page lines and signatures need no terminator. A last line that
+looks like a heading without being marked as one is taken for a heading if at least HEADING_ROWS texts have the same
+line, figures aside, above other text. A missing terminator
 is held against the source's baseline: where more than half of a source's running texts end without one it says
 nothing, unless the text has a length at which the source cuts (at least LIMIT_ROWS of its texts, and most of those of
 this length, end without one); at such a length list entries, rows and headings without a terminator count as cut too.
@@ -35,6 +37,7 @@ from gleanery.llm.textform import consistent_form
 from gleanery.session import checkpointed
 
 LIMIT_ROWS = 5
+HEADING_ROWS = 2
 SURE = ("broken_character", "marker", "open_markup", "open_bracket", "open_quote", "open_number")
 
 _MARKER = re.compile(r"\s*(?:…|(?<!\.)\.\.\.|[(\[<]?(?:more|truncated|cut off|continued|continues|read more|see more|snip)[)\]>]?|\[\+?\d+ (?:more )?char(?:acter)?s\]?)\s*$", re.I)
@@ -51,6 +54,7 @@ _DANGLING = frozenset(
 _TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|```|\$\$|\\\[|\\\]|\\(?:begin|end)\{[A-Za-z*]*\}|\n[ ]*\n|[(){}\[\]“”„«»]|(?<!\w)\"|\"(?!\w)", re.S
 )
+_CODE_ENVIRONMENTS = frozenset(("verbatim", "lstlisting", "equation", "equation*", "align", "align*", "math", "displaymath"))
 _CODE_TAGS = frozenset(("pre", "code", "syntaxhighlight", "source", "math", "script", "style"))
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 _TERMINATED = re.compile(r"[.!?。？！](?:[)\]}\"'”’»*_~`]|\s)*$")
@@ -64,6 +68,8 @@ _CODE_LINE = re.compile(r"(?:[{};]|\)|:)\s*$|^\s*[\w.]+\s*=\s*\S+$|^\s{4,}\S")
 
 
 def _title_case(line: str) -> bool:
+    if ":" in line:
+        return False
     words = re.findall(r"[^\W\d_]+", line)
     return 0 < len(words) <= 8 and len(line) <= 60 and all(w[0].isupper() or len(w) <= 3 or w.lower() == "fiscal" for w in words) and not line.rstrip().endswith((",", ";", "$", "€"))
 
@@ -91,7 +97,9 @@ def automaton(text: str) -> tuple[list[str], list[str]]:
         elif c == "`" or c == "$":
             structures.remove(t) if t in structures else structures.append(t)
         elif c == "\\":
-            name = t[1:].replace("end", "begin").replace("]", "[")
+            name = t[t.index("{") + 1 : -1] if "{" in t else "["
+            if name != "[" and name not in _CODE_ENVIRONMENTS:
+                continue
             if t.startswith("\\begin") or t == "\\[":
                 structures.append(name)
             elif name in structures:
@@ -110,7 +118,8 @@ def automaton(text: str) -> tuple[list[str], list[str]]:
 
 
 def ending(text: str | None) -> str:
-    """How a text ends: a reason of the list above, "whole", or "part" for an entry, row or heading without terminator."""
+    """How a text ends: a reason of the list above, "whole", "part" for an entry, row or marked heading without
+    terminator, or "heading" for a line that looks like one."""
     if not text:
         return "whole"
     text = consistent_form(text).rstrip()
@@ -157,17 +166,34 @@ def _body(text: str) -> str:
         if _OPEN_AMOUNT.search(plain):
             return "open_number"
         return "no_terminator" if is_list and (plain[-1] in ",;(-" or plain.rsplit(None, 1)[-1].lower() in _DANGLING) else "part"
-    if _HEADING.match(line) or (_title_case(plain) and ("\n\n" in text[-len(line) - 3 :] or line == text)):
+    if _HEADING.match(line):
         return "part"
+    if _title_case(plain) and "\n\n" in text[-len(line) - 3 :]:
+        return "heading"
     return "no_terminator"
 
 
+def heading_key(line: str) -> str:
+    return re.sub(r"\d+", "0", plain_words(line).strip().lower())
+
+
+def headings(text: str | None) -> list[str]:
+    """Keys of the lines of a text that look like headings and stand above other text."""
+    if not text:
+        return []
+    blocks = re.split(r"\n[ ]*\n", consistent_form(text))
+    return sorted({heading_key(b) for b in blocks[:-1] if len(b) <= 60 and "\n" not in b and _title_case(b)})
+
+
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).to_pylist()
-        reasons = pa.array([ending(t) for t in texts], pa.string())
-        lengths = pa.array([len(t or "") for t in texts], pa.int32())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), reasons, lengths], names=["id", "source", "reason", "length"])
+        reasons = [ending(t) for t in texts]
+        last = [heading_key(t.rstrip().rsplit("\n", 1)[-1]) if r == "heading" else None for t, r in zip(texts, reasons)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(reasons, pa.string()), pa.array([len(t or "") for t in texts], pa.int32()), pa.array(last, pa.string()), pa.array([headings(t) for t in texts], pa.list_(pa.string()))],
+            names=["id", "source", "reason", "length", "last_line", "headings"],
+        )
 
 
 BROADCAST_ROWS = 100_000
@@ -183,7 +209,12 @@ def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Dat
     """(id, source, reason, length, truncated): one row per row of ``df``."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = checkpointed(rows.mapInArrow(_endings, f"id {kind}, source string, reason string, length int"))
+    rows = checkpointed(rows.mapInArrow(_endings, f"id {kind}, source string, reason string, length int, last_line string, headings array<string>"))
+    known = rows.select(F.explode("headings").alias("last_line")).groupBy("last_line").agg(F.count("*").alias("n")).filter(F.col("n") >= HEADING_ROWS)
+    looks = rows.filter("reason = 'heading'").select("last_line").distinct()
+    known = _small(looks.join(known, "last_line").select("last_line", F.lit(True).alias("known")))
+    reason = F.when(F.col("reason") != "heading", F.col("reason")).when(F.col("known"), "part").otherwise("no_terminator")
+    rows = rows.join(known, "last_line", "left").select("id", "source", reason.alias("reason"), "length")
     prose = F.col("reason").isin("whole", "no_terminator")
     unended = F.col("reason").isin("no_terminator", "part")
     baseline = _small(rows.groupBy("source").agg(F.try_divide(F.count_if(F.col("reason") == "no_terminator"), F.count_if(prose)).alias("unended_share")))

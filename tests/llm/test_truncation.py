@@ -16,7 +16,8 @@ PROSE = "Revenue rose to $5,123 million as prices were higher. Costs fell by 3.5
         PROSE + "\n\n* denotes unaudited figures",
         "Intro.\n\n• Costs fell 3.5%\n• Revenue rose to $5,123 million",
         "Intro.\n\nFeed cost | $5,123 | 4,200",
-        PROSE + "\n\nMarket Risk",
+        PROSE + "\n\n## Market Risk",
+        "\\begin{document}\n" + PROSE + "\n\\end{document}",
         PROSE + "\n\n```\nx = 3\n```",
         PROSE + "\n\n$$\nr^2 \\leq 0.7\n$$",
         "<p>" + PROSE + "</p>\n</body></html>",
@@ -54,6 +55,8 @@ def test_whole(text):
         (PROSE + " It (as before", "open_bracket"),
         (PROSE + " He said “we", "open_quote"),
         ("<p>" + PROSE + "</p>\n\n<p>The board</p>\n</body></html>", "no_terminator"),
+        ("\\begin{document}\n" + PROSE + " The board of dir", "no_terminator"),
+        (PROSE + "\n\nA. Person, Finance: Or", "no_terminator"),
         (PROSE + " The board of\n\n- END -", "no_terminator"),
     ],
 )
@@ -78,6 +81,11 @@ def test_limit_of_a_source(spark):
     assert {r.id for r in judged(spark, rows).filter("truncated").collect()} == set(range(6))
 
 
+def test_known_headings_are_whole(spark):
+    rows = [(k, f"Market Risk, fiscal {2000 + k}\n\n{PROSE}", "s") for k in range(4)] + [(10, PROSE + "\n\nMarket Risk, fiscal 2031", "s"), (11, PROSE + "\n\nHeadcount in the Precision Cast", "s")]
+    assert {r.id for r in judged(spark, rows).filter("truncated").collect()} == {11}
+
+
 def test_report(spark):
     rows = [(k, PROSE, "s") for k in range(3)] + [(9, PROSE + " It rose…", "s")]
     (r,) = T.source_report(judged(spark, rows)).collect()
