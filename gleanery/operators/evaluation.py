@@ -175,9 +175,14 @@ def kappa(labels: DataFrame, categories: tuple[int, ...], weighting: str = "quad
     return totals.join(expected, "metric").select("metric", (value if k > 1 else F.lit(None).cast("double")).alias("kappa"), (F.col("agree") / F.col("total")).alias("raw_agreement"), F.col("total").alias("n"))
 
 
+# The names of the bands and the agreement a judge must reach.
+BANDS = ((0.20, "poor"), (0.40, "fair"), (0.60, "moderate"), (0.80, "substantial"))
+KAPPA_GATE = 0.60
+
+
 def kappa_band(value: Column) -> Column:
-    bands = F.when(value < 0, "poor")
-    for limit, name in ((0.2, "slight"), (0.4, "fair"), (0.6, "moderate"), (0.8, "substantial")):
+    bands = F.when(value < 0, "worse than chance")
+    for limit, name in BANDS:
         bands = bands.when(value <= limit, name)
     return F.when(value.isNull(), "undefined").otherwise(bands.otherwise("almost perfect"))
 

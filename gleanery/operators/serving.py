@@ -95,3 +95,47 @@ def prometheus(metrics: DataFrame, prefix: str = "gleanery") -> DataFrame:
     """One row: the text exposition of (name, kind, value) rows."""
     line = F.format_string(f"# TYPE {prefix}_%s %s\n{prefix}_%s %s", F.translate("name", ".", "_"), F.col("kind"), F.translate("name", ".", "_"), F.col("value").cast("string"))
     return metrics.select("name", line.alias("line")).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "line"))), lambda r: r["line"]), "\n"), F.lit("\n")).alias("exposition"))
+
+
+def degrade(primary: Column, fallback: Column, healthy: Column, required: bool = False) -> tuple[Column, Column]:
+    """(value, degraded): the primary while its breaker is closed and it gave something, else the fallback; a required
+    stage without either is an error."""
+    value = F.when(healthy & primary.isNotNull(), primary).otherwise(fallback)
+    if required:
+        value = F.coalesce(value, F.raise_error(F.lit("a required stage is unavailable")).cast("string"))
+    return value, ~(healthy & primary.isNotNull())
+
+
+def cache_key(question: Column, history: Column, roles: Column) -> Column:
+    """What must be equal for two requests to share an answer: question, history and the sorted roles."""
+    said = F.array_join(F.transform(F.coalesce(history, F.array().cast("array<struct<question:string,answer:string>>")), lambda h: F.concat_ws("\0", h["question"], h["answer"])), "\0")
+    return F.concat_ws("\0", question, said, F.array_join(F.array_sort(F.array_distinct(F.coalesce(roles, F.array().cast("array<string>")))), "\0"))
+
+
+def invalid_requests(requests: DataFrame) -> DataFrame:
+    """(request_id, problems) of requests outside the limits of the service."""
+    rules = {
+        "question length": ~F.coalesce(F.length("question"), F.lit(0)).between(1, 2000),
+        "history length": F.coalesce(F.size("history"), F.lit(0)) > 20,
+        "top_k": ~F.coalesce("top_k", F.lit(5)).between(1, 50),
+        "roles": F.coalesce(F.size("roles"), F.lit(0)) > 20,
+    }
+    found = F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))
+    return requests.select("request_id", found.alias("problems")).filter(F.size("problems") > 0)
+
+
+def serve(requests: DataFrame, entries: DataFrame, answer, now: float) -> tuple[DataFrame, DataFrame]:
+    """(responses, entries to add) of a batch of requests (request_id, question, history, roles).
+
+    Requests of an equal key share an answer; a key that the cache (key, answer, error, created_at) knows and that has
+    not expired is not computed again; ``answer`` maps (key, question, history) to (key, answer, error). Answers with
+    an error are not kept. A stream calls this in foreachBatch.
+    """
+    keyed = requests.withColumn("key", cache_key(F.col("question"), F.col("history"), F.col("roles")))
+    live = entries.filter(F.lit(now) - F.col("created_at") <= CACHE_TTL).groupBy("key").agg(F.max_by(F.struct("answer", "error"), "created_at").alias("hit"))
+    known = keyed.join(live, "key", "left")
+    missing = known.filter("hit is null").groupBy("key").agg(F.first(F.struct("question", "history")).alias("r")).select("key", "r.question", "r.history")
+    made = answer(missing).select("key", F.struct("answer", "error").alias("made"))
+    responses = known.join(made, "key", "left").select("request_id", F.col("hit").isNotNull().alias("cache_hit"), F.coalesce("hit", "made").alias("r")).select("request_id", "cache_hit", "r.answer", "r.error")
+    fresh = made.filter("made.error is null").select("key", "made.answer", "made.error", F.lit(now).alias("created_at"))
+    return responses, fresh
