@@ -112,14 +112,25 @@ def draw(replicate: Column, place: Column, n: Column, salt: str) -> Column:
     return code % n
 
 
+def numbered(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """Rows numbered from 0 within their group, by two hex digits of the key's MD5, then by the key.
+
+    Counted within those 256 buckets and moved up by what comes before, so no task ranks a whole group.
+    """
+    bucketed = rows.withColumn("bucket", F.substring(F.md5(key), 1, 2))
+    before = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bucketed.groupBy(group, "bucket").agg(F.count("*").alias("n")).select(group, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(group, "bucket").orderBy(key)
+    return bucketed.withColumn("local", F.row_number().over(within) - 1).join(offsets, [group, "bucket"]).withColumn(name, F.col("local") + F.col("offset")).drop("bucket", "local", "offset")
+
+
 def bootstrap_means(values: DataFrame, resamples: int, salt: str) -> DataFrame:
     """(metric, replicate, mean) of resamples with replacement of ``values`` (metric, question_id, value), NULLs dropped."""
-    defined = values.filter("value is not null")
-    numbered = defined.withColumn("place", F.row_number().over(Window.partitionBy("metric").orderBy("question_id")) - 1)
-    counts = numbered.groupBy("metric").agg(F.count("*").alias("n"))
-    places = numbered.select("metric", "place").join(counts, "metric").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = places.select("metric", "replicate", draw(F.col("replicate"), F.col("place"), F.col("n"), salt).alias("place"))
-    return drawn.join(numbered.select("metric", "place", "value"), ["metric", "place"]).groupBy("metric", "replicate").agg(F.avg("value").alias("mean"))
+    places = numbered(values.filter("value is not null"), "metric", "question_id", "place").select("metric", "place", "value")
+    counts = places.groupBy("metric").agg(F.count("*").alias("n"))
+    draws = places.select("metric", "place").join(counts, "metric").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = draws.select("metric", "replicate", draw(F.col("replicate"), F.col("place"), F.col("n"), salt).alias("place"))
+    return drawn.join(places, ["metric", "place"]).groupBy("metric", "replicate").agg(F.avg("value").alias("mean"))
 
 
 def bootstrap_interval(values: DataFrame, resamples: int = 10_000, confidence: float = 0.95, salt: str = "20260906") -> DataFrame:

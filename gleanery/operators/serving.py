@@ -30,26 +30,26 @@ def latest(spans: DataFrame, key: str, time: str, unique: str, n: int = LATENCY_
 def failure_runs(events: DataFrame, component: str, time: str, unique: str, failed: Column, threshold: int = BREAKER_FAILURES) -> DataFrame:
     """(component, n, n_failed, longest_run, n_runs_at_threshold): runs of failures between successes.
 
-    Runs are found within days and joined over their borders, so no task holds a whole component.
+    Runs are found within hours and joined over their borders, so no task holds a whole component.
     """
-    rows = events.select(F.col(component).alias("component"), F.to_date(F.col(time)).alias("day"), F.col(time).alias("at"), F.col(unique).alias("tie"), failed.cast("int").alias("failed"))
-    within = Window.partitionBy("component", "day").orderBy("at", "tie")
+    rows = events.select(F.col(component).alias("component"), F.date_trunc("hour", F.col(time)).alias("period"), F.col(time).alias("at"), F.col(unique).alias("tie"), failed.cast("int").alias("failed"))
+    within = Window.partitionBy("component", "period").orderBy("at", "tie")
     islands = rows.withColumn("island", F.sum(1 - F.col("failed")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = islands.groupBy("component", "day", "island").agg(F.sum("failed").alias("run"), F.count("*").alias("n"))
-    # island 0 touches the start of the day, the last island its end; they may be one
-    days = runs.groupBy("component", "day").agg(F.array_sort(F.collect_list(F.when((F.col("run") > 0) | (F.col("island") == 0), F.struct("island", "run")))).alias("runs"), F.max("island").alias("last"), F.sum("n").alias("n"), F.sum("run").alias("n_failed"))
-    # a run goes on into a day whose first island it touches: number the chains of such days
-    touching = runs.join(days.select("component", "day", "last"), ["component", "day"])
-    order = Window.partitionBy("component").orderBy("day")
-    ends = touching.groupBy("component", "day").agg(F.sum(F.when(F.col("island") == 0, F.col("run")).otherwise(0)).alias("head"), F.sum(F.when(F.col("island") == F.col("last"), F.col("run")).otherwise(0)).alias("tail"), F.max("last").alias("last"))
+    runs = islands.groupBy("component", "period", "island").agg(F.sum("failed").alias("run"), F.count("*").alias("n"))
+    # island 0 touches the start of the hour, the last island its end; they may be one
+    periods = runs.groupBy("component", "period").agg(F.max("island").alias("last"), F.sum("n").alias("n"), F.sum("run").alias("n_failed"))
+    # a run goes on into an hour whose first island it touches: number the chains of such hours
+    touching = runs.join(periods.select("component", "period", "last"), ["component", "period"])
+    order = Window.partitionBy("component").orderBy("period")
+    ends = touching.groupBy("component", "period").agg(F.sum(F.when(F.col("island") == 0, F.col("run")).otherwise(0)).alias("head"), F.sum(F.when(F.col("island") == F.col("last"), F.col("run")).otherwise(0)).alias("tail"), F.max("last").alias("last"))
     breaks = ends.withColumn("chain", F.sum(F.when(F.col("last") > 0, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # the tail of a day and the heads of the days up to and including the next day with a success form one run
+    # the tail of an hour and the heads of the hours up to and including the next one with a success form one run
     tails = breaks.select("component", F.col("chain"), F.col("tail").alias("run"))
     heads = breaks.filter("last > 0").select("component", (F.col("chain") - 1).alias("chain"), F.col("head").alias("run"))
     across = tails.unionByName(heads).groupBy("component", "chain").agg(F.sum("run").alias("run")).select("component", "run")
     inner = touching.filter((F.col("island") > 0) & (F.col("island") < F.col("last"))).select("component", "run")
     every = inner.unionByName(across).groupBy("component").agg(F.max("run").alias("longest_run"), F.count_if(F.col("run") >= threshold).alias("n_runs_at_threshold"))
-    totals = days.groupBy("component").agg(F.sum("n").alias("n"), F.sum("n_failed").alias("n_failed"))
+    totals = periods.groupBy("component").agg(F.sum("n").alias("n"), F.sum("n_failed").alias("n_failed"))
     return totals.join(every, "component")
 
 
@@ -68,8 +68,7 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, now: float, version: st
 def cache_put(entries: DataFrame, new: DataFrame, capacity: int = CACHE_CAPACITY) -> DataFrame:
     """Entries after adding new ones without an error; those with fewest hits, then the oldest, make room."""
     union = entries.unionByName(new.filter("error is null").select(*entries.columns))
-    keep = Window.orderBy(F.col("hits").desc(), F.col("created_at").desc())
-    return union.withColumn("place", F.row_number().over(keep)).filter(F.col("place") <= capacity).drop("place")
+    return union.orderBy(F.col("hits").desc(), F.col("created_at").desc()).limit(capacity)
 
 
 def cache_invalidate(entries: DataFrame, key: str, changed: DataFrame) -> DataFrame:

@@ -96,7 +96,7 @@ def eval_slice_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boot_sql(name: str, source: str, resamples: int) -> str:
-    return f"""{name}_n as (select metric, question_id, val, row_number() over (partition by metric order by question_id) - 1 as place, count(*) over (partition by metric) as n from {source} where val is not null),
+    return f"""{name}_n as (select metric, question_id, val, row_number() over (partition by metric order by substr(md5(question_id), 1, 2), question_id) - 1 as place, count(*) over (partition by metric) as n from {source} where val is not null),
 {name}_d as (select metric, r, cast('0x' || substr(md5('20260906:' || r || ':' || place), 1, 8) as bigint) % n as place from {name}_n, range({resamples}) t(r)),
 {name}_m as (select d.metric, d.r, avg(v.val) as mean from {name}_d d join {name}_n v on v.metric = d.metric and v.place = d.place group by d.metric, d.r),
 {name} as (select metric, quantile_cont(mean, 0.025) as ci_low, quantile_cont(mean, 0.975) as ci_high from {name}_m group by metric)"""
