@@ -57,3 +57,21 @@ def expected(actual: DataFrame, stated: DataFrame) -> DataFrame:
     """(name, stated, actual, ok): figures derived again against the stated ones within their tolerance."""
     joined = stated.join(actual, "name", "left")
     return joined.select("name", "stated", "actual", F.coalesce(F.abs(F.col("actual") - F.col("stated")) <= F.col("tolerance"), F.lit(False)).alias("ok"))
+
+
+def load_runs(spark, folders: list[str]) -> tuple[DataFrame | None, list[str]]:
+    """(scores of the runs stored in the folders, folders that hold no run)."""
+    runs, bad = None, []
+    for step, folder in enumerate(folders):
+        try:
+            part = spark.read.parquet(folder).select(F.lit(step).alias("step"), F.lit(folder).alias("label"), "question_id", "metric", "value")
+        except Exception:  # noqa: BLE001 - whatever is wrong with a stored run, the others are still of use
+            bad.append(folder)
+            continue
+        runs = part if runs is None else runs.unionByName(part)
+    return runs, bad
+
+
+def ladder_of(runs: DataFrame) -> DataFrame:
+    """ladder() of stored runs."""
+    return ladder(runs.groupBy("step", "label", "metric").agg(F.avg("value").alias("mean")))
