@@ -203,26 +203,23 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                vectors = batch.column(1)
-                flat = vectors.values if hasattr(vectors, "values") else vectors.flatten()
-                part = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
-                if part.shape[1] != matrix.shape[1]:
-                    raise ValueError(f"index of dimension {part.shape[1]}, queries of {matrix.shape[1]}")
-                scores = matrix @ part.T
-                names = batch.column(0).to_pylist()
-                order = np.array(sorted(range(len(names)), key=names.__getitem__))
-                keep = order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
-                take = keep.reshape(-1)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": [i for i in ids for _ in range(keep.shape[1])],
-                        "chunk_id": batch.column(0).take(pa.array(take)),
-                        "score": pa.array(np.take_along_axis(scores, keep, axis=1).reshape(-1)),
-                    }
-                )
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(ids) else 0, 512):  # bounds the matrix
+                    batch = whole.slice(at, 512)
+                    part = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                    if part.shape[1] != matrix.shape[1]:
+                        raise ValueError(f"index of dimension {part.shape[1]}, queries of {matrix.shape[1]}")
+                    scores = matrix @ part.T
+                    names = batch.column(0).to_pylist()
+                    order = np.array(sorted(range(len(names)), key=names.__getitem__))
+                    keep = order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "query_id": pa.array([i for i in ids for _ in range(keep.shape[1])], pa_type(kinds[1])),
+                            "chunk_id": batch.column(0).take(pa.array(keep.reshape(-1))),
+                            "score": pa.array(np.take_along_axis(scores, keep, axis=1).reshape(-1)),
+                        }
+                    )
 
         found = index.select("chunk_id", "vector").filter("vector is not null").mapInArrow(search, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
         best = found if best is None else best.unionByName(found)
