@@ -126,7 +126,7 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document, or of every part of a document above the capacity."""
-    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")).withColumnsRenamed({"id": "doc_id", "window_id": "container_id", "window_offset": "container_offset"})
 
 
 @query
