@@ -32,7 +32,16 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="gleanery-code-")) / "gleanery.zip"
+    # in the folder that the cluster shares, if the driver can write there; else the driver serves its own copy
+    shared = (context.getConf().get("spark.checkpoint.dir") or "").removeprefix("file://").removeprefix("file:")
+    try:
+        if not shared.startswith("/"):
+            raise OSError("no file system")
+        folder = Path(shared) / f"code-{uuid.uuid4().hex}"
+        folder.mkdir(parents=True)
+    except OSError:
+        folder = Path(tempfile.mkdtemp(prefix="gleanery-code-"))
+    archive = folder / "gleanery.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
