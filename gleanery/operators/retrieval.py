@@ -283,11 +283,12 @@ def company_aliases(corpus: DataFrame) -> DataFrame:
 def extract_filters(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """(query_id, company, fiscal_year): null where the query names none or more than one.
 
-    Aliases are looked up by the words of the query: an alias of n words can only be a run of its letters, so its first
-    word is a substring of a word of the query. Candidates come from an equi-join on the alias's first four letters.
+    An alias is looked for anywhere in the query. Candidates come from an equi-join of the query's runs of up to three
+    letters with the first three letters of the alias.
     """
     lowered = queries.select("query_id", F.lower("query").alias("q"), T.years(F.col("query")).alias("years"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("q") - 2, F.lit(1))), lambda i: F.substr(F.col("q"), i, F.lit(3))))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("q"), F.lit(1))), lambda i: F.substr(F.col("q"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
     candidates = lowered.select("query_id", "q", F.explode(grams).alias("gram")).join(small(aliases.withColumn("gram", F.substring("alias", 1, 3))), "gram")
     named = candidates.filter(F.col("q").contains(F.col("alias"))).groupBy("query_id").agg(F.collect_set("company").alias("companies"))
     joined = lowered.join(named, "query_id", "left")

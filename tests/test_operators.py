@@ -130,6 +130,12 @@ def test_filters_and_fallback(spark):
     assert {r.chunk_id for r in R.filtered(R.bm25(none, asked(spark, "apple in 2050")), R.extract_filters(asked(spark, "apple in 2050"), R.company_aliases(none)), none, 5).collect()} == {"c1", "c2"}
 
 
+def test_short_aliases(spark):
+    meta = spark.createDataFrame([("c1", "3M"), ("c2", "Q")], "chunk_id string, company string")
+    got = R.extract_filters(asked(spark, "profit of 3M", "nothing", None), R.company_aliases(meta)).collect()
+    assert {r.query_id: r.company for r in got} == {"0": "3M", "1": None, "2": None}
+
+
 def documents(spark, text, sections=None, tables=None):
     schema = "doc_id string, text string, sections array<struct<section_name:string,section_order:int,char_start:int,char_end:int>>, doc_tables array<struct<grid:array<array<string>>,caption:string,char_start:int,char_end:int>>"
     return spark.createDataFrame([("d", text, sections, tables)], schema)
