@@ -7,7 +7,7 @@ one for each non-zero v of F_2^2, keeps the positions whose vector has an odd pr
 position some v is orthogonal to its vector, so some mask of the group leaves it out: two records that differ in at
 most one symbol of any group agree under one of its masks and meet in that table. By the pigeonhole principle every
 pair within Hamming distance RADIUS = 2 * GROUPS - 1 is certain to meet; beyond it pairs meet with a chance that falls
-with the distance (at similarity 0.7: 0.9999).
+with the distance (at similarity 0.7: 0.9997).
 
 Scale: records of equal run sets are one class and take part once, so a hot group of copies costs one representative.
 Only keys and class numbers are shuffled to find candidates. Run sets are read a second time, for the classes in a
