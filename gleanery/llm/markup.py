@@ -15,7 +15,7 @@ REFERENCE = re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>.*?</ref>", re.S | re.I)
 _WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]*)\]\]")
 _WIKI_BOX = re.compile(r"\{\{Infobox[^{}]*\}\}", re.I)
 _WIKI_TEMPLATE = re.compile(r"\{\{([^{}|\n]*)((?:\|[^{}\n]*)?)\}\}")
-_WIKI_QUOTES = re.compile(r"'{2,5}(?=\S)|(?<=\S)'{2,5}")
+_WIKI_QUOTES = re.compile(r"'{2,5}+(?=\S)|(?<=\S)'{2,5}+")
 _MD_LINK = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
 _MD_STRONG = re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1")
 _MD_EMPHASIS = re.compile(r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])")

@@ -8,10 +8,11 @@ every leaf a kind (paragraph, heading, list, table, code, formula, frame) and a
 chance is above DOUBT is then checked for an actual mark.
 
 clean() uses the kinds: headings, lists, tables, code and formulas are written in one plain notation, frames are
-dropped, marks inside lines are taken out.
+dropped, marks inside lines are taken out. Cells of tables are leaves too; clean_cell() writes each in the same
+notation, but never drops one, since its place in the grid is its kind.
 
 Defined results: null and blank texts have no leaves and no markup; null cells and rows of a table are empty; a text
-without markup is returned as it is.
+or cell without markup is returned as it is, and so are null tables, rows and cells.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanery.llm import block_model
 from gleanery.llm.markup import ENTITY, REFERENCE, TAG, plain_words, unescape
@@ -314,6 +316,28 @@ def clean(lines: list[str], kinds: np.ndarray, marked: np.ndarray) -> str:
     return "".join(text)
 
 
+_MATH = re.compile(r"</?math>|\\\[|\\\]|\$\$|&lt;/?math&gt;")
+_TITLE_SIGNS = re.compile(r"^\#{1,6} (?=\S)|^={2,6}(?=[^=]+={2,6}\s*$)|(?<=[^=])={2,6}\s*$|^(?:={3,}|-{3,})\s*$")
+_KIND = {kind: k for k, kind in enumerate(block_model.KINDS)}
+
+
+def clean_cell(lines: list[str], kinds: np.ndarray, marked: np.ndarray) -> str | None:
+    """Clean text of a table cell; None where its lines have no mark of their own.
+
+    A line alone in its cell is part of a table whatever kind it looks like, or a formula. Lines of a longer cell may
+    be lists or code as well; headings and frames are only so in a text.
+    """
+    own = [has_mark(lines, k) for k in range(len(lines))]
+    if not any(own):
+        return None
+    inside = ("list", "code") if len(lines) > 1 else ()
+    forms = [int(kinds[k]) if block_model.KINDS[kinds[k]] in inside else _KIND["formula" if _MATH.search(line) else "table"] for k, line in enumerate(lines)]
+    plain = [_TITLE_SIGNS.sub("", line).strip() if mark and form == _KIND["table"] else line for line, mark, form in zip(lines, own, forms)]
+    kept = [k for k, line in enumerate(plain) if line]
+    text = clean([plain[k] for k in kept], np.array([forms[k] for k in kept], dtype=int), np.array([marked[k] for k in kept], dtype=bool))
+    return text if _KIND["code"] in forms else "\n".join(" ".join(line.split()) for line in text.split("\n"))
+
+
 # ---- operators
 
 
@@ -347,17 +371,54 @@ def marked_records(df: DataFrame, id_col: str, text_col: str, tables_col: str |
     return df.select(*columns).mapInArrow(run, "id string, n_leaves int, n_marked int")
 
 
-def clean_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, clean, n_marked): the clean text of every record; a record without markup keeps its text."""
+def _clean_tables(tables: list | None, kinds: np.ndarray, flags: np.ndarray) -> list | None:
+    """The tables of a record with clean cells; kinds and flags are those of the leaves of all its cells in order."""
+    out, at = [], 0
+    for table in tables or []:
+        grid = []
+        for row in (table or {}).get("grid") or []:
+            cells = []
+            for cell in row or []:
+                lines = leaves(cell)
+                own = slice(at, at := at + len(lines))
+                text = clean_cell(lines, kinds[own], flags[own]) if flags[own].any() else None
+                cells.append(cell if text is None else text)
+            grid.append(cells if row is not None else None)
+        out.append(table | {"grid": grid} if table and table["grid"] is not None else table)
+    return out if tables is not None else None
+
+
+def clean_texts(df: DataFrame, id_col: str, text_col: str, tables_col: str | None = None) -> DataFrame:
+    """(id, clean, n_marked): the clean text of every record; a record without markup keeps its text.
+
+    With ``tables_col`` the tables of the record too, under that name and in their shape, with clean cells; n_marked
+    then counts the leaves of the cells as well.
+    """
     shared = df.sparkSession.sparkContext.broadcast(block_model.trained())
+    columns = [F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")]
+    schema = StructType().add("id", "string").add("clean", "string").add("n_marked", "integer")
+    if tables_col:
+        columns.append(F.col(tables_col).alias("tables"))
+        schema = schema.add(tables_col, df.schema[tables_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
+            n = len(texts)
             documents = [leaves(t) for t in texts]
+            if tables_col:
+                tables = batch.column(2).to_pylist()
+                documents += _documents([None] * n, [[t and t["grid"] for t in ts or []] for ts in tables])
             kinds, flags, n_marked = label(model, documents)
-            cleaned = [clean(d, k, f) if n else t for t, d, k, f, n in zip(texts, documents, kinds, flags, n_marked)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cleaned, pa.string()), pa.array(n_marked, pa.int32())], names=["id", "clean", "n_marked"])
-
-    return df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id string, clean string, n_marked int")
+            cleaned = [clean(d, k, f) if m else t for t, d, k, f, m in zip(texts, documents, kinds, flags, n_marked)]
+            columns = [batch.column(0), pa.array(cleaned, pa.string())]
+            if tables_col:
+                columns.append(pa.array([a + b for a, b in zip(n_marked[:n], n_marked[n:])], pa.int32()))
+                grids = [_clean_tables(ts, k, f) if m else ts for ts, k, f, m in zip(tables, kinds[n:], flags[n:], n_marked[n:])]
+                columns.append(pa.array(grids, batch.column(2).type))
+            else:
+                columns.append(pa.array(n_marked, pa.int32()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return df.select(*columns).mapInArrow(run, schema)

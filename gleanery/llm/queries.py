@@ -189,7 +189,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean text of every document and filing."""
+    """The clean text of every document and filing, and the tables of every filing with clean cells."""
     documents = markup_blocks.clean_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("table_name", F.lit("documents"))
-    filings = markup_blocks.clean_texts(splitting.latest(table(spark, sf_dir, "filings")), "doc_id", "text").withColumn("table_name", F.lit("filings"))
-    return documents.unionByName(filings).select("table_name", F.col("id").alias("record_id"), "clean", "n_marked")
+    filings = markup_blocks.clean_texts(splitting.latest(table(spark, sf_dir, "filings")), "doc_id", "text", "doc_tables").withColumn("table_name", F.lit("filings"))
+    return documents.unionByName(filings, allowMissingColumns=True).select("table_name", F.col("id").alias("record_id"), "clean", "n_marked", "doc_tables")

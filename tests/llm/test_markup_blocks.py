@@ -109,3 +109,18 @@ def test_clean(model):
 
 def test_long_text(spark):
     assert marked(spark, [("a", "Revenue rose.\n" * 20_000 + "<b>x</b> fell.", None), ("b", "Revenue rose to five. " * 20_000, None)]) == {"a": True, "b": False}
+
+
+def test_clean_cells(spark):
+    kind = "array<struct<grid:array<array<string>>,caption:string,char_start:int>>"
+    grid = [["Measure", "<b>FY2024</b>", None], ["&nbsp;Tooling", "'''Data margin'''", "$5,123"], None, ["**Feed** cost", "## Total", "R & D"], ["\\textbf{Rail} revenue", "cost<sup>(1)</sup>", "- 5"], []]
+    rows = [("a", "Plain text.", [(grid, "<i>x</i>", 3), None, (None, "y", 4)]), ("b", "A <b>b</b>.", [([["R & D", " 5 "]], None, None)]), ("c", None, None)]
+    df = spark.createDataFrame(rows, f"doc_id string, text string, doc_tables {kind}")
+    got = {r.id: r for r in M.clean_texts(df, "doc_id", "text", "doc_tables").collect()}
+    want = [["Measure", "FY2024", None], ["Tooling", "Data margin", "$5,123"], None, ["Feed cost", "Total", "R & D"], ["Rail revenue", "cost(1)", "- 5"], []]
+    (first, second, third) = got["a"].doc_tables
+    assert first.grid == want and (first.caption, first.char_start) == ("<i>x</i>", 3) and second is None and third.grid is None
+    assert got["a"].clean == "Plain text." and got["a"].n_marked == 7
+    assert got["b"].doc_tables[0].grid == [["R & D", " 5 "]] and got["b"].clean == "A b." and got["b"].n_marked == 1
+    assert got["c"].doc_tables is None and got["c"].clean is None
+    assert {r.id: r.n_marked for r in M.marked_records(df, "doc_id", "text", "doc_tables").collect()} == {i: r.n_marked for i, r in got.items()}
