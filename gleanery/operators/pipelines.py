@@ -101,12 +101,14 @@ def retrieve(config: Config, index: DataFrame, asked: DataFrame) -> DataFrame:
         rankings.append(retrieval.bm25_search(index, asked, first, filters=filters))
     if config.dense:
         vectors = checkpointed(asked.select("query_id", V.hashing_embedder(config.dim)(F.col("query")).alias("vector")))
-        near = retrieval.dense(index.select("chunk_id", "vector"), vectors, first)
-        if filters is not None:
-            near = retrieval.filtered(near.select("query_id", "chunk_id", "score"), filters, index, first)
-        rankings.append(near)
+        rankings.append(retrieval.dense(index, vectors, first, filters=filters))
     rankings = [checkpointed(r.select("query_id", "chunk_id", "rank", "score")) for r in rankings]
-    hits = rankings[0] if len(rankings) == 1 else retrieval.top_k(retrieval.reciprocal_rank_fusion(*rankings, k=config.rrf_k), depth)
+    if len(rankings) == 1:
+        hits = rankings[0]
+    else:
+        fused = retrieval.reciprocal_rank_fusion(*rankings, k=config.rrf_k)
+        # one ranking alone may have found nothing that fits and given the others
+        hits = retrieval.top_k(fused, depth) if filters is None else retrieval.filtered(fused, filters, index, depth)
     if config.rerank:
         hits = retrieval.top_k(retrieval.lexical_rerank(hits, asked, index), config.top_k)
     return checkpointed(hits.filter(F.col("rank") <= config.top_k))

@@ -75,6 +75,25 @@ def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
         yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number).collect() if n > 1 else queries.collect()
 
 
+def _fits(wanted: tuple[list, list], companies: list, years: list) -> np.ndarray:
+    """Queries x chunks: whether the metadata of a chunk fits the filters of a query; what is missing is no mismatch."""
+    fits = np.ones((len(wanted[0]), len(companies)), dtype=bool)
+    for own, actual in zip(wanted, (companies, years)):
+        w, a = np.array(own, dtype=object)[:, None], np.array(actual, dtype=object)[None, :]
+        fits &= ((w == None) | (a == None) | (w == a)).astype(bool)  # noqa: E711
+    return fits
+
+
+def _best_fitting(found: DataFrame, k: int) -> DataFrame:
+    """Of each query the k best hits that fit, or of all where none does."""
+    best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "fits").orderBy(F.round("score", 9).desc(), "chunk_id"))).filter(F.col("place") <= k)
+    return best.withColumn("any_fit", F.max("fits").over(Window.partitionBy("query_id"))).filter(F.col("fits") | ~F.col("any_fit"))
+
+
+def _described() -> list[Column]:
+    return [F.lower("company").alias("company"), F.col("fiscal_year").cast("string").alias("year")]
+
+
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | None = None, filters: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """(query_id, chunk_id, rank, score): the k best chunks of every query, as top_k(bm25(...)) gives them.
 
@@ -89,11 +108,11 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
     context = corpus.sparkSession.sparkContext
     kinds = corpus.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     candidate = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    described = [F.lower("company").alias("company"), F.col("fiscal_year").cast("string").alias("year")] if filters is not None else [F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("year")]
+    described = _described() if filters is not None else [F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("year")]
     rows = corpus.select("chunk_id", "text", candidate.alias("candidate"), *described)
     asked = queries.select("query_id", T.retrieval_tokens(F.col("query")).alias("terms"))
     if filters is not None:
-        asked = asked.join(filters.select("query_id", F.lower("company").alias("company"), F.col("fiscal_year").cast("string").alias("year")), "query_id", "left")
+        asked = asked.join(filters.select("query_id", *_described()), "query_id", "left")
     n_chunks, average, found = None, None, None
     for part in _query_blocks(asked, block):
         if not part:
@@ -154,10 +173,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
                     order = np.array(sorted(range(n), key=chunk_ids.__getitem__))
                     masks = [np.ones(scores.shape, dtype=bool)]
                     if names is not None:
-                        fits = masks[0]
-                        for wanted, actual in zip(names, (batch.column(3).to_pylist(), batch.column(4).to_pylist())):
-                            w, a = np.array(wanted, dtype=object)[:, None], np.array(actual, dtype=object)[None, :]
-                            fits = fits & ((w == None) | (a == None) | (w == a))  # noqa: E711
+                        fits = _fits(names, batch.column(3).to_pylist(), batch.column(4).to_pylist())
                         masks = [fits, ~fits]
                     for fit, mask in enumerate(masks):
                         own = np.where(mask, scores, 0.0)[:, order]
@@ -171,8 +187,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
     if found is None:
         return top_k(rows.limit(0).select(F.lit(None).cast(kinds[1]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")), k)
     if filters is not None:
-        best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "fits").orderBy(F.round("score", 9).desc(), "chunk_id"))).filter(F.col("place") <= k)
-        found = best.withColumn("any_fit", F.max("fits").over(Window.partitionBy("query_id"))).filter(F.col("fits") | ~F.col("any_fit"))
+        found = _best_fitting(found, k)
     return top_k(found.select("query_id", "chunk_id", "score"), k)
 
 
@@ -188,21 +203,30 @@ def _tokens(text: str | None) -> list[str]:
     return [t for t in _TOKEN.findall(text.lower()) if t not in _STOP] if text else []
 
 
-def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filters: DataFrame | None = None) -> DataFrame:
     """Exhaustive cosine search: (query_id, chunk_id, rank, score).
 
     ``index`` has chunk_id and vector, ``queries`` query_id and vector, of one dimension. The queries are a stated set
     and are taken in blocks of ``block``; each block is one broadcast matrix, each batch of the index one product with
     it, and only the k best of a batch leave the task.
+
+    ``filters`` (query_id, company, fiscal_year) limits each query to the chunks of its metadata before any cut, as
+    filtered() does; the index then has company and fiscal_year too. A query that no chunk fits gets its unfiltered
+    ranking, so the k best others of a batch leave the task as well.
     """
     kinds = index.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     context = index.sparkSession.sparkContext
+    rows = index.select("chunk_id", "vector", *(_described() if filters is not None else ())).filter("vector is not null")
+    asked = queries.select("query_id", "vector")
+    if filters is not None:
+        asked = asked.join(filters.select("query_id", *_described()), "query_id", "left")
     best = None
-    for rows in _query_blocks(queries.select("query_id", "vector"), block):
-        shared = context.broadcast(([r.query_id for r in rows], np.array([r.vector for r in rows], dtype=np.float64)))
+    for part in _query_blocks(asked, block):
+        wanted = ([r.company for r in part], [r.year for r in part]) if filters is not None else None
+        shared = context.broadcast(([r.query_id for r in part], np.array([r.vector for r in part], dtype=np.float64), wanted))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
+            ids, matrix, wanted = shared.value
             for whole in batches:
                 for at in range(0, whole.num_rows if len(ids) else 0, 512):  # bounds the matrix
                     batch = whole.slice(at, 512)
@@ -212,18 +236,29 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> Da
                     scores = matrix @ part.T
                     names = batch.column(0).to_pylist()
                     order = np.array(sorted(range(len(names)), key=names.__getitem__))
-                    keep = order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "query_id": pa.array([i for i in ids for _ in range(keep.shape[1])], pa_type(kinds[1])),
-                            "chunk_id": batch.column(0).take(pa.array(keep.reshape(-1))),
-                            "score": pa.array(np.take_along_axis(scores, keep, axis=1).reshape(-1)),
-                        }
-                    )
-
-        found = index.select("chunk_id", "vector").filter("vector is not null").mapInArrow(search, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
+                    masks = [np.ones(scores.shape, dtype=bool)]
+                    if wanted is not None:
+                        fits = _fits(wanted, batch.column(2).to_pylist(), batch.column(3).to_pylist())
+                        masks = [fits, ~fits]
+                    for fit, mask in enumerate(masks):
+                        own = np.where(mask, scores, -np.inf)[:, order]
+                        keep = np.argsort(-np.round(own, 9), axis=1, kind="stable")[:, :k]
+                        i, j = np.nonzero(np.take_along_axis(mask[:, order], keep, axis=1))
+                        at_chunk = order[keep[i, j]]
+                        yield pa.RecordBatch.from_pydict(
+                            {
+                                "query_id": pa.array([ids[x] for x in i], pa_type(kinds[1])),
+                                "chunk_id": batch.column(0).take(pa.array(at_chunk, pa.int64())),
+                                "score": pa.array(scores[i, at_chunk], pa.float64()),
+                                "fits": pa.array(np.full(len(i), fit == 0), pa.bool_()),
+                            }
+                        )
+
+        found = rows.mapInArrow(search, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
         best = found if best is None else best.unionByName(found)
-    return top_k(best, k)
+    if filters is not None:
+        best = _best_fitting(best, k)
+    return top_k(best.select("query_id", "chunk_id", "score"), k)
 
 
 def reciprocal_rank_fusion(*rankings: DataFrame, weights: tuple[float, ...] | None = None, k: int = RRF_K) -> DataFrame:

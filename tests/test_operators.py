@@ -109,6 +109,18 @@ def test_dense(spark):
         R.dense(index, spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>"), 1).collect()
 
 
+def test_dense_filters_before_the_cut(spark):
+    rows = [(f"a{k:02}", [1.0, k / 100], "Other", 2020) for k in range(60)] + [("b1", [0.1, 1.0], "Acme Inc.", 2021), ("b2", [0.0, 1.0], "ACME INC.", 2021), ("b3", [-1.0, 0.0], None, None)]
+    index = spark.createDataFrame(rows, "chunk_id string, vector array<double>, company string, fiscal_year int")
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in "xyz"], "query_id string, vector array<double>")
+    filters = spark.createDataFrame([("x", "Acme Inc.", 2021), ("y", "Nobody", 1999)], "query_id string, company string, fiscal_year int")
+    ranked = lambda hits: {i: [r.chunk_id for r in hits.filter(F.col("query_id") == i).orderBy("rank").collect()] for i in "xyz"}
+    got = ranked(R.dense(index, q, 2, filters=filters))
+    assert got == {"x": ["b1", "b2"], "y": ["b3"], "z": ["a00", "a01"]}
+    assert got == ranked(R.filtered(R.dense(index, q, 100).select("query_id", "chunk_id", "score"), filters, index, 2))
+    assert ranked(R.dense(index.filter("company is not null"), q, 2, filters=filters))["y"] == ["a00", "a01"]
+
+
 def test_fusion(spark):
     ranking = lambda *ids: spark.createDataFrame([("q", i, k + 1) for k, i in enumerate(ids)], "query_id string, chunk_id string, rank int")
     got = {r.chunk_id: r.score for r in R.reciprocal_rank_fusion(ranking("a", "b"), ranking("b", "c"), weights=(1.0, 2.0)).collect()}

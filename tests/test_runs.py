@@ -30,6 +30,14 @@ def test_identity(spark, sf_dir):
     assert a != pipelines.run_id(pipelines.replace(pipelines.BASE, top_k=6), q) and a != pipelines.run_id(pipelines.BASE, q.limit(2))
 
 
+def test_metadata_filter_comes_before_the_cut(spark):
+    rows = [(f"a{k:02}", "apple pie", [1.0] + [0.0] * 511, "Other", 2020) for k in range(60)] + [("b1", "pears", [0.0] * 511 + [1.0], "Acme", 2021)]
+    index = spark.createDataFrame(rows, "chunk_id string, text string, vector array<double>, company string, fiscal_year int")
+    asked = spark.createDataFrame([("q", "apple at acme")], "query_id string, query string")
+    for config in (pipelines.replace(pipelines.BASE, metadata_filter=True), pipelines.RETRIEVAL_LADDER[-1]):
+        assert {r.chunk_id for r in pipelines.retrieve(config, index, asked).collect()} == {"b1"}, config.label
+
+
 CASES = "question_id string, question string, gold_answer string, gold_chunks array<struct<chunk_id:string,relevance:int>>, gold_spans array<struct<doc_id:string,char_start:int,char_end:int,weight:double>>"
 
 
