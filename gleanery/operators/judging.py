@@ -21,7 +21,7 @@ SCALES = {
     "context_sufficiency": {0: "insufficient", 1: "sufficient"},
     "claim_support": {0: "contradicted", 1: "not stated", 2: "supported"},
 }
-PASSAGES_SHOWN, CONTEXT_CHARS = 20, 4000
+PASSAGES_SHOWN, PASSAGE_CHARS = 20, 4000
 Judge = Callable[[DataFrame], DataFrame]
 
 
@@ -50,11 +50,12 @@ def lexical_judge(rows: DataFrame) -> DataFrame:
 
 
 def shown_context(texts: Column) -> Column:
-    """The first PASSAGES_SHOWN passages, numbered, a note of how many are left out, cut at CONTEXT_CHARS."""
-    each = F.transform(F.slice(texts, 1, PASSAGES_SHOWN), lambda t, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] "), t))
+    """The first PASSAGES_SHOWN passages, numbered, each cut at PASSAGE_CHARS, and a note of how many are left out."""
+    shown = lambda t: F.when(F.length(t) > PASSAGE_CHARS, F.concat(F.left(t, F.lit(PASSAGE_CHARS)), F.lit(" (cut)"))).otherwise(t)
+    each = F.transform(F.slice(texts, 1, PASSAGES_SHOWN), lambda t, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] "), shown(T.strip(t))))
     more = F.size(texts) - PASSAGES_SHOWN
     whole = F.concat(F.array_join(each, "\n\n"), F.when(more > 0, F.concat(F.lit("\n\n("), more.cast("string"), F.lit(" passages omitted)"))).otherwise(""))
-    return F.when(F.size(texts) <= 0, "(nothing retrieved)").when(F.length(whole) > CONTEXT_CHARS, F.concat(F.left(whole, F.lit(CONTEXT_CHARS)), F.lit(" (cut)"))).otherwise(whole)
+    return F.when(F.size(texts) <= 0, "(nothing retrieved)").otherwise(whole)
 
 
 def cases(questions: DataFrame, responses: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.operators import evaluation as E
-from gleanery.operators import refusal
+from gleanery.operators import judging, refusal
 
 
 def metrics(spark, hits, qrels, question_ids, ks=(1, 3, 10)):
@@ -142,3 +143,12 @@ def test_dataset_problems(spark):
     ]
     got = {r.question_id: r.problems for r in E.problems(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"none": ["no evidence"], "twice": ["repeated gold chunk"], "weak": ["no sufficient chunk"], "un": ["unanswerable with evidence", "unanswerable with answer"], "said": ["no question", "ambiguous with answer"]}
+
+
+def test_judged_context_holds_every_passage(spark):
+    rows = [("a", ["x" * 3000, "y" * 5000, "profit rose to five"]), ("b", [f"passage {k}" for k in range(22)]), ("c", []), ("d", None)]
+    df = spark.createDataFrame(rows, "question_id string, texts array<string>")
+    got = {r.question_id: r.c for r in df.select("question_id", judging.shown_context(F.col("texts")).alias("c")).collect()}
+    assert got["a"] == "[1] " + "x" * 3000 + "\n\n[2] " + "y" * 4000 + " (cut)\n\n[3] profit rose to five"
+    assert "[20] passage 19" in got["b"] and "passage 20" not in got["b"] and got["b"].endswith("(2 passages omitted)")
+    assert got["c"] == "(nothing retrieved)"
