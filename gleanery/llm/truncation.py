@@ -16,8 +16,12 @@ Other list entries, table rows, headings, code, formulas, page lines and signatu
 looks like a heading without being marked as one is taken for a heading if at least HEADING_ROWS texts have the same
 line, figures aside, above other text. A missing terminator
 is held against the source's baseline: where more than half of a source's running texts end without one it says
-nothing, unless the text has a length at which the source cuts (at least LIMIT_ROWS of its texts, and most of those of
-this length, end without one); at such a length list entries, rows and headings without a terminator count as cut too.
+nothing, unless the text has a length at which the source cuts; at such a length list entries, rows and headings
+without a terminator count as cut too. A source cuts at a length if most of its texts of this length end without a
+terminator and these are LIMIT_RATIO times as many as at the lengths around it, so many that among as many rows as the
+source has chance gives such a length with a probability below LIMIT_CHANCE. Any length can be a limit, but short texts
+repeat by themselves: below REPEATS characters texts of the same ending count once. One or two rows at a limit are no
+evidence of it, so a small table may hold rows that can't be told.
 
 Defined results: null and blank texts are whole; a null source is a source of its own; rows with a null id are left
 out; a repeated id gives a row for each of its rows.
@@ -29,14 +33,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.markup import plain_words
 from gleanery.llm.textform import consistent_form
 from gleanery.session import checkpointed
 
-LIMIT_ROWS = 5
+LIMIT_RATIO, LIMIT_CHANCE, REPEATS = 8, 1e-4, 200
 HEADING_ROWS = 2
 SURE = ("broken_character", "marker", "open_markup", "open_bracket", "open_quote", "open_number")
 
@@ -190,9 +194,10 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(2).to_pylist()
         reasons = [ending(t) for t in texts]
         last = [heading_key(t.rstrip().rsplit("\n", 1)[-1]) if r == "heading" else None for t, r in zip(texts, reasons)]
+        tails = [t[-40:] if t and len(t) < REPEATS and r in ("no_terminator", "part", "heading") else None for t, r in zip(texts, reasons)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(reasons, pa.string()), pa.array([len(t or "") for t in texts], pa.int32()), pa.array(last, pa.string()), pa.array([headings(t) for t in texts], pa.list_(pa.string()))],
-            names=["id", "source", "reason", "length", "last_line", "headings"],
+            [batch.column(0), batch.column(1), pa.array(reasons, pa.string()), pa.array([len(t or "") for t in texts], pa.int32()), pa.array(last, pa.string()), pa.array([headings(t) for t in texts], pa.list_(pa.string())), pa.array(tails, pa.string())],
+            names=["id", "source", "reason", "length", "last_line", "headings", "tail"],
         )
 
 
@@ -205,22 +210,40 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def limits(lengths: DataFrame) -> DataFrame:
+    """(source, length, at_limit) of the lengths at which a source cuts; ``lengths`` has source, length, unended, texts
+    (unended rows, repeats of short texts left out) and n.
+
+    What is usual around a length is the larger of the unended texts a length among its four neighbours and within 5 %
+    of it, there with one text more. The chance of so many is the Chernoff bound of the Poisson tail.
+    """
+    of_source = Window.partitionBy("source")
+    near, wide = of_source.orderBy("length").rangeBetween(-2, 2), of_source.orderBy("log_length").rangeBetween(-100, 100)
+    counted = lengths.withColumn("rows", F.sum("n").over(of_source)).filter("length > 0 and texts > 0").withColumn("log_length", F.round(2000 * F.log("length")).cast("int"))
+    others = lambda window: F.sum("texts").over(window) - F.col("texts")
+    usual = F.greatest(others(near) / 4.0, (others(wide) + 1) / F.greatest(0.1 * F.col("length"), F.lit(4.0)))
+    judged = counted.withColumn("usual", usual)
+    chance = F.exp(F.col("texts") - F.col("usual") - F.col("texts") * F.log(F.col("texts") / F.col("usual")))
+    found = (F.col("unended") > 0.5 * F.col("n")) & (F.col("texts") >= LIMIT_RATIO * F.col("usual")) & (chance * F.col("rows") < LIMIT_CHANCE)
+    return judged.filter(found).select("source", "length", F.lit(True).alias("at_limit"))
+
+
 def truncated(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, reason, length, truncated): one row per row of ``df``."""
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.col(text_col).alias("text")).filter("id is not null")
-    rows = checkpointed(rows.mapInArrow(_endings, f"id {kind}, source string, reason string, length int, last_line string, headings array<string>"))
+    rows = checkpointed(rows.mapInArrow(_endings, f"id {kind}, source string, reason string, length int, last_line string, headings array<string>, tail string"))
     known = rows.select(F.explode("headings").alias("last_line")).groupBy("last_line").agg(F.count("*").alias("n")).filter(F.col("n") >= HEADING_ROWS)
     looks = rows.filter("reason = 'heading'").select("last_line").distinct()
     known = _small(looks.join(known, "last_line").select("last_line", F.lit(True).alias("known")))
     reason = F.when(F.col("reason") != "heading", F.col("reason")).when(F.col("known"), "part").otherwise("no_terminator")
-    rows = rows.join(known, "last_line", "left").select("id", "source", reason.alias("reason"), "length")
+    rows = rows.join(known, "last_line", "left").select("id", "source", reason.alias("reason"), "length", "tail")
     prose = F.col("reason").isin("whole", "no_terminator")
     unended = F.col("reason").isin("no_terminator", "part")
     baseline = _small(rows.groupBy("source").agg(F.try_divide(F.count_if(F.col("reason") == "no_terminator"), F.count_if(prose)).alias("unended_share")))
-    lengths = rows.groupBy("source", "length").agg(F.count_if(unended).alias("unended"), F.count("*").alias("n"))
-    limits = _small(lengths.filter((F.col("unended") >= LIMIT_ROWS) & (F.col("unended") > 0.5 * F.col("n")) & (F.col("length") >= 200) & ((F.col("length") % 8 == 0) | (F.col("length") % 50 == 0))).select("source", "length", F.lit(True).alias("at_limit")))
-    judged = rows.join(baseline, "source", "left").join(limits, ["source", "length"], "left")
+    texts = F.when(F.col("length") < REPEATS, F.count_distinct(F.when(unended, F.col("tail")))).otherwise(F.count_if(unended))
+    lengths = rows.groupBy("source", "length").agg(F.count_if(unended).alias("unended"), texts.alias("texts"), F.count("*").alias("n"))
+    judged = rows.join(baseline, "source", "left").join(_small(limits(lengths)), ["source", "length"], "left")
     at_limit = F.coalesce("at_limit", F.lit(False))
     cut = F.col("reason").isin(*SURE) | ((F.col("reason") == "no_terminator") & ((F.col("unended_share") <= 0.5) | at_limit)) | ((F.col("reason") == "part") & at_limit)
     return judged.select("id", "source", "reason", "length", F.coalesce(cut, F.lit(False)).alias("truncated"))

@@ -81,6 +81,19 @@ def test_limit_of_a_source(spark):
     assert {r.id for r in judged(spark, rows).filter("truncated").collect()} == set(range(6))
 
 
+@pytest.mark.parametrize("limit", [140, 1023])
+def test_any_length_can_be_a_limit(spark, limit):
+    cut = lambda k: ("• entry " + "word " * limit)[: limit - 4] + f"x{k:03}"[::-1]
+    for n in (8, 40):  # the same share of a small and of a larger source
+        rows = [(k, cut(k), "feed") for k in range(n)] + [(100 + k, "• " + "w" * (21 + 7 * k), "feed") for k in range(9 * n)] + [(9000 + k, PROSE, "feed") for k in range(n)]
+        assert {r.id for r in judged(spark, rows).filter("truncated").collect()} == set(range(n))
+
+
+def test_usual_lengths_are_no_limits(spark):
+    rows = [(100 * k + j, "• " + "w" * (80 + k % 9), "feed") for k in range(60) for j in range(2 if k % 9 == 4 else 1)] + [(9000 + k, "• " + "w" * 800, "feed") for k in range(2)] + [(9100 + k, PROSE, "feed") for k in range(30)]
+    assert judged(spark, rows).filter("truncated").collect() == []
+
+
 def test_known_headings_are_whole(spark):
     rows = [(k, f"Market Risk, fiscal {2000 + k}\n\n{PROSE}", "s") for k in range(4)] + [(10, PROSE + "\n\nMarket Risk, fiscal 2031", "s"), (11, PROSE + "\n\nHeadcount in the Precision Cast", "s")]
     assert {r.id for r in judged(spark, rows).filter("truncated").collect()} == {11}
