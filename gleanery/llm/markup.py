@@ -22,7 +22,10 @@ _MD_EMPHASIS = re.compile(r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*
 _MD_CODE = re.compile(r"`([^`\n]+)`")
 _TEX_POINTER = re.compile(r"~?\\(?:ref|eqref|cite|citep|citet|label|index|pageref)\{[^{}]*\}")
 _TEX_ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}|\\documentclass(?:\[[^\]]*\])?\{[^{}]*\}|\\usepackage(?:\[[^\]]*\])?\{[^{}]*\}")
-_TEX_ARGUMENT = re.compile(r"\\[a-zA-Z]+\*?\{([^{}]*)\}")
+_TEX_ARGUMENT = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}")
+_TEX_LINK = re.compile(r"\\href\{[^{}]*\}(?=\{)")
+#: Commands without an argument: switches as in {\\it word}, \\item, \\noindent.
+_TEX_SWITCH = re.compile(r"\\[a-zA-Z]+\*?(?![a-zA-Z{])")
 _TEX_MATH = re.compile(r"(?<!\\)\$\\[a-zA-Z]+\$")
 _TEX_TIE = re.compile(r"(?<=\w)~(?=\s)")
 _TEX_ESCAPE = re.compile(r"\\([%$&#_{}])")
@@ -40,6 +43,16 @@ def unescape(text: str, rounds: int = 3) -> str:
     return text
 
 
+def tex_words(text: str) -> str:
+    """LaTeX commands replaced by their arguments, however deep they are nested; switches are taken out."""
+    text = _TEX_TIE.sub("", text)
+    text = _TEX_ENVIRONMENT.sub("\n", _TEX_MATH.sub("", _TEX_LINK.sub("", _TEX_POINTER.sub("", text))))
+    inner = _TEX_ARGUMENT.sub(r"\1", text)
+    while inner != text:  # a round for each level; every round takes a command away
+        text, inner = inner, _TEX_ARGUMENT.sub(r"\1", inner)
+    return _TEX_ESCAPE.sub(r"\1", _TEX_SWITCH.sub("", text))
+
+
 def _tag(m: re.Match) -> str:
     name = m.group(1)
     return "\n" if name and name.lower() in _BLOCK else ""
@@ -54,8 +67,7 @@ def plain_words(text: str) -> str:
             text = REFERENCE.sub("", text)
         text = TAG.sub(_tag, HIDDEN.sub("\n", text))
     if "\\" in text or "~" in text:
-        text = _TEX_TIE.sub("", text)
-        text = _TEX_ESCAPE.sub(r"\1", _TEX_ARGUMENT.sub(r"\1", _TEX_ENVIRONMENT.sub("\n", _TEX_MATH.sub("", _TEX_POINTER.sub("", text)))))
+        text = tex_words(text)
     if "[" in text:
         text = _MD_LINK.sub(r"\1", _WIKI_LINK.sub(r"\1", text))
     if "{{" in text:

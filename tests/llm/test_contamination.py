@@ -51,10 +51,34 @@ def test_a_word_in_parts_is_one_word():
     assert plain_words("[[inversi]]ón <b>con</b>stat") == "inversión constat"
 
 
-def test_slices(spark, monkeypatch):
-    monkeypatch.setattr(C, "SLICE_WORDS", 10)
-    items = [(k, passage(k)) for k in range(12)]
-    assert leaks(spark, [p for _, p in items], items) == {(k, k): 40 for k in range(12)}
+def test_more_disguises(spark):
+    p = " ".join(["alpha", "beta", "gamma", "delta", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve"])
+    texts = [
+        p.replace("beta", "{\\it beta}").replace("two", "\\noindent two"),
+        p.replace("beta", "\\textbf{\\textit{\\underline{beta}}}"),
+        p.replace("beta", "\\href{http://x.y/z}{beta}").replace("six", "\\colorbox[rgb]{six}"),
+        p.replace("beta", "＜b＞beta＜/b＞"),  # markup in full-width signs
+        p.replace("beta", "b&#1077;ta"),  # an entity for a look-alike letter
+    ]
+    assert leaks(spark, texts, [(7, p)]) == {(k, 7): 16 for k in range(len(texts))}
+
+
+def test_a_large_set_of_passages_is_joined(spark):
+    items = [(k, passage(k)) for k in range(12)] + [(20, None), (21, "too short"), (22, passage(3))]
+    texts = [p for _, p in items[:12]] + [None, "", "nothing here", part(passage(5), 3, 30), items[0][1]]
+    assert leaks(spark, texts, items, broadcast_chars=10) == leaks(spark, texts, items)
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, passage string")
+    both = [sorted(map(tuple, C.cleaned(t, "doc_id", "text", i, "item_id", "passage", broadcast_chars=n).collect()), key=str) for n in (10, 10**6)]
+    assert both[0] == both[1] and sum(r[2] for r in both[0]) == 14
+
+
+def test_every_copy_is_removed(spark):
+    p = passage(1)
+    t = spark.createDataFrame([(1, ". ".join(["Start"] + [p] * 5 + ["End"]))], "doc_id long, text string")
+    i = spark.createDataFrame([(1, p)], "item_id long, passage string")
+    (r,) = C.cleaned(t, "doc_id", "text", i, "item_id", "passage").collect()
+    assert "w" not in r.text and r.text.startswith("Start") and r.text.endswith("End")
 
 
 def test_empty_tables(spark):
