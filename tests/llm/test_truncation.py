@@ -25,6 +25,11 @@ PROSE = "Revenue rose to $5,123 million as prices were higher. Costs fell by 3.5
         'He said "it was (all) fine."',
         "As described in Note 7.",
         "Wait for it [...]",
+        "Er sagte „es ist gut“ und ging.",
+        "• The URL ends in caf%C3%A9",
+        "A stray bracket (here.\n\n" + PROSE,
+        "A stray $$ here.\n\n" + PROSE,
+        "<p>One.\n\n<p>Two <b>three</b>.",
         "Chiffre en hausse, conformément à la note 12.",
         "",
         "   ",
@@ -32,7 +37,7 @@ PROSE = "Revenue rose to $5,123 million as prices were higher. Costs fell by 3.5
     ],
 )
 def test_whole(text):
-    assert T.ending(text) in ("whole", "part")
+    assert T.ending(text)[0] in ("whole", "part")
 
 
 @pytest.mark.parametrize(
@@ -45,7 +50,20 @@ def test_whole(text):
         (PROSE + " It cost $", "open_number"),
         (PROSE + " It rose…", "marker"),
         (PROSE + " It rose ...", "marker"),
-        (PROSE + " It rose (more", "marker"),
+        (PROSE + " It rose (more", "open_bracket"),
+        (PROSE + " It rose [truncated", "open_bracket"),
+        (PROSE + " It ro..", "marker"),
+        (PROSE + " It (as before. And so on.", "open_bracket"),
+        (PROSE + " He said “we are done.", "open_quote"),
+        (PROSE + " Er sagte „wir sind fertig.", "open_quote"),
+        (PROSE + "\n\n```\nx = 3;", "open_markup"),
+        (PROSE + "\n\n$$\nr^2", "open_markup"),
+        (PROSE + "\n\n\\begin{equation}\nr = 2.", "open_markup"),
+        ("<ul><li>Costs fell.</li>", "open_markup"),
+        (PROSE + " It is <b>large.", "open_markup"),
+        (PROSE + " caf\\u00", "broken_character"),
+        (PROSE + " caf%C3", "broken_character"),
+        (PROSE + " caf%C3%A", "broken_character"),
         (PROSE + " It rose [truncated]", "marker"),
         (PROSE + ' See <a href="#n', "open_markup"),
         (PROSE + " R&am", "open_markup"),
@@ -54,14 +72,21 @@ def test_whole(text):
         ("Intro.\n\n• It rose to $3,9", "open_number"),
         (PROSE + " It (as before", "open_bracket"),
         (PROSE + " He said “we", "open_quote"),
-        ("<p>" + PROSE + "</p>\n\n<p>The board</p>\n</body></html>", "no_terminator"),
+        ("<p>" + PROSE + "</p>\n\n<p>The board</p>\n</body></html>", "heading"),
         ("\\begin{document}\n" + PROSE + " The board of dir", "no_terminator"),
-        (PROSE + "\n\nA. Person, Finance: Or", "no_terminator"),
+        (PROSE + "\n\nA. Person, Finance: Or", "heading"),
         (PROSE + " The board of\n\n- END -", "no_terminator"),
     ],
 )
 def test_endings(text, reason):
-    assert T.ending(text) == reason
+    assert T.ending(text)[0] == reason
+
+
+def test_the_automaton_decides(monkeypatch):
+    texts = [PROSE + x for x in (" It rose (more", " It rose [truncated", " He said “we are done.", "\n\n```\nx = 3;", "\n\n$$\nr^2", " It is <b>large.")]
+    whole = [T.ending(t)[0] for t in texts]
+    monkeypatch.setattr(T, "automaton", lambda text: ([], []))
+    assert all(a != T.ending(t)[0] for a, t in zip(whole, texts))
 
 
 def judged(spark, rows):
@@ -99,6 +124,12 @@ def test_known_headings_are_whole(spark):
     assert {r.id for r in judged(spark, rows).filter("truncated").collect()} == {11}
 
 
+def test_cut_last_lines_do_not_make_each_other_headings(spark):
+    for n in (1, 20):  # the same rows many times over
+        rows = [(k, PROSE + "\n\nHeadcount in the Precision Cast" + footer, "s") for k in range(n) for footer in ("", "\n\nPage 3 of 9")] + [(1000 + k, PROSE, "s") for k in range(30 * n)]
+        assert judged(spark, rows).filter("truncated").count() == 2 * n
+
+
 def test_report(spark):
     rows = [(k, PROSE, "s") for k in range(3)] + [(9, PROSE + " It rose…", "s")]
     (r,) = T.source_report(judged(spark, rows)).collect()
@@ -107,4 +138,4 @@ def test_report(spark):
 
 def test_empty_table_and_long_text(spark):
     assert judged(spark, []).collect() == []
-    assert T.ending(PROSE * 5_000) == "whole" and T.ending(PROSE * 5_000 + " And th") == "no_terminator"
+    assert T.ending(PROSE * 5_000)[0] == "whole" and T.ending(PROSE * 5_000 + " And th")[0] == "no_terminator"
