@@ -198,12 +198,14 @@ def _body(text: str) -> str:
     if _FORMULA.search(line):
         return "whole"
     plain = plain_words(line).strip()
-    if not plain or _TERMINATED.search(plain):
-        return "whole"
-    if _OPEN_AMOUNT.search(plain):
-        return "open_number"
     is_list = bool(_LIST.match(line))
-    if is_list or " | " in line or line.startswith("|"):
+    is_entry = is_list or " | " in line or line.startswith("|")
+    terminated = bool(_TERMINATED.search(plain))
+    if _OPEN_AMOUNT.search(plain) and not (is_entry and terminated):
+        return "open_number"
+    if not plain or terminated:
+        return "whole"
+    if is_entry:
         return "no_terminator" if is_list and (plain[-1] in ",;(-" or plain.rsplit(None, 1)[-1].lower() in _DANGLING) else "part"
     if _HEADING.match(line):
         return "part"
