@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import contamination, markup_blocks, near_duplicates, packing, radix_percentiles, splitting, term_weights, textform, truncation
-from gleanery.session import table
+from gleanery.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -48,7 +48,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         textform.form_keys(table(spark, sf_dir, name), id_col, "text").withColumn("table_name", F.lit(name))
         for name, id_col in (("documents", "doc_id"), ("chunks", "chunk_id"))
     ]
-    return textform.look_alike_pairs(keys[0].unionByName(keys[1])).select("table_name", "id_a", "id_b")
+    return textform.look_alike_pairs(checkpointed(keys[0].unionByName(keys[1]))).select("table_name", "id_a", "id_b")
 
 
 @query

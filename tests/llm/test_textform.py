@@ -30,6 +30,40 @@ def test_visible_differences_stay(a, b):
     assert X.consistent_form(a) != X.consistent_form(b)
 
 
+@pytest.mark.parametrize(
+    ("stored", "form"),
+    [
+        ("αѕ νіеԝ", "as view"),
+        ("զսօtе", "quote"),
+        ("ᎠᎪᎢᎪ", "DATA"),
+        ("Ӏtеm", "Item"),
+    ],
+)
+def test_other_scripts(stored, form):
+    assert X.consistent_form(stored) == form
+
+
+def test_the_bigrams_decide(monkeypatch):
+    lines = ["Выручка group: сlаѕѕ ростом цен", "Выручка: Тhе Company"]
+    forms = [X.consistent_form(x) for x in lines]
+    assert forms == ["Выручка group: class ростом цен", "Выручка: The Company"]
+    monkeypatch.setattr(X, "bigrams", lambda: [{} for _ in X.SCRIPTS])
+    X.read_token.cache_clear()
+    assert forms != [X.consistent_form(x) for x in lines]
+    X.read_token.cache_clear()
+
+
+def test_a_line_of_one_script_keeps_its_short_words():
+    assert X.consistent_form("план и спрос на рынке о цене") == "план и спрос на рынке о цене"
+    assert X.consistent_form("The price of a plan, а group и план") == "The price of a plan, a group и план"
+
+
+def test_hot_forms_pair_only_records_of_different_texts(spark):
+    rows = [(f"a{k}", "fiscal", "x") for k in range(300)] + [("b", "fіѕсаl", "x"), ("c", "fisсal", "x")]
+    got = pairs(spark, rows)
+    assert len(got) == 601 and ("b", "c") in got and all("b" in p or "c" in p for p in got)
+
+
 def test_null_and_empty():
     assert X.consistent_form(None) is None
     assert X.consistent_form("") == ""
