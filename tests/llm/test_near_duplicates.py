@@ -83,3 +83,27 @@ def test_long_text(spark):
     for k in range(0, 60_000, 400):
         edited[k] = "x"
     assert pairs(spark, [record("1", " ".join(words)), record("2", " ".join(edited))]) == {("1", "2")}
+
+
+def test_crowded_keys_are_cut_without_loss(spark):
+    rng = random.Random(9)
+    rows = [(c, rng.choice((90, 100, 300)), key) for c in range(400) for key in {0, rng.randrange(3), 10 + rng.randrange(200)}]
+    df = spark.createDataFrame(rows, "class_id long, n_runs int, key long").cache()
+    plain = {tuple(r) for r in N._met(df, 0.6).collect()}
+    cut = [tuple(r) for r in N._met(df, 0.6, hot=40, sample=2, block=30).collect()]
+    assert set(cut) == plain and len(plain) > 10_000
+    crowd = [tuple(r) for r in N._met(df.filter("key = 0"), 0.6, hot=40, sample=2, block=30).collect()]
+    assert len(crowd) == len(set(crowd))  # the blocks of a key make each pair once
+
+
+def test_many_variants_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL", 50)
+    rng = random.Random(10)
+    words = rng.choices(WORDS, k=150)
+    texts = []
+    for _ in range(60):
+        edited = list(words)
+        edited[rng.randrange(len(edited))] = rng.choice(WORDS)
+        texts.append(" ".join(edited))
+    rows = [record(f"{k:03d}", t) for k, t in enumerate(texts)]
+    assert pairs(spark, rows) == {(a[1], b[1]) for a in rows for b in rows if a[1] < b[1]}
