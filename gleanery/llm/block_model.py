@@ -10,9 +10,10 @@ import numpy as np
 
 KINDS = ("paragraph", "heading", "list", "table", "code", "formula", "frame")
 HIDDEN = 24
-TRAIN_DOCUMENTS = 1400
-EPOCHS = 14
+TRAIN_DOCUMENTS = 4000
+EPOCHS = 12
 SEED = 11
+WORD_NOISE = 0.15
 
 
 # ---- the network
@@ -29,6 +30,7 @@ class BlockLabeller:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
         self.hidden = hidden
+        self.signs: dict[str, int] = {}  # places of the sign features, see markup_blocks.vectors
         self.p = {}
         for d in "fb":
             self.p["W" + d] = draw(inputs, 4 * hidden)
@@ -125,20 +127,28 @@ class BlockLabeller:
         return loss, grad
 
 
-# ---- documents to learn from
+# ---- documents to learn from: everyday matters, in no way like the collection that is labelled
 
-_SUBJECTS = "Revenue|The company|Our largest customer|Net income|Operating cost|The audit committee|Management|Freight volume|Der Umsatz|La marge brute|El margen|Чистый долг|Gross profit|A group of lenders|Interest expense|R&D and S&M|Müller & Söhne".split("|")
-_VERBS = "rose to|fell by|was held at|agreed to fund|does not expect to renew|was moved to|averaged|sank auf|a reculé à|descendió a|составила|could be exposed to|completed a review of".split("|")
-_OBJECTS = "$6,712 million|€4,005 thousand|12.5% of revenue|the lease of our site|certain supply contracts|internal control over reporting|$912,345|the 2019 programme|34 basis points|$19.25 billion".split("|")
-_TAILS = ", as prices were higher|, owing to the weaker exchange rate|, helped by lower fuel cost| during fiscal 2021| as described in Note 7| under terms similar to those in force in 2018|, wie in Anhang 3 erläutert|, conformément à la note 12|, según la nota 4||".split("|")
+_SUBJECTS = "The gardener|A flock of geese|Our choir|The night train|Rain and hail|The baker's oven|An old lighthouse|The R&B band|Tea & cake|Das Orchester|Der Leuchtturm|La rivière|Les pommiers|La biblioteca|El tranvía|Старый мост|Хор школы|The Smith-Jones twins|Nobody in town".split("|")
+_VERBS = "waited for|painted|never reached|has borrowed|may keep|was hidden behind|sang about|is older than|wartet auf|fand|a perdu|cherche|espera|encontró|ждёт|построил|will open before|counted".split("|")
+_OBJECTS = "the wooden gate|seven lanterns|12 kg of flour|a map of 1804|$3 worth of apples|40% of the seeds|€5 a ticket|the lake's north shore|No. 9|3.5 litres of milk|die blauen Türen|un pont de pierre|la plaza vieja|зелёный сад|room B-12|two half-empty jars|a well-known song".split("|")
+_TAILS = " after sunset|, although it snowed| in May 1931|, as chapter 4 tells|; nobody minded| near the harbour (on foot)|, wie man sagt|, dit-on|, según dicen|, говорят|||| at 6:30|, e.g. on Sundays".split("|")
+_ONSETS, _VOWELS, _CODAS = "b c d f g h k l m n p r s t v w z ch st tr б в д к м п р с т".split(" ") + [""] * 3, "a e i o u ei ou é ü а е и о".split(" "), ["", "", "n", "r", "s", "t", "l", "й", "ng"]
+#: Sentences with signs that are no markup.
 _TRAPS = (
-    "Margins were < 4% at some sites and > 7% elsewhere.|The rate p < 0.01 applied to $2 and $8 notes alike.|Lines marked * or ** are estimates {see below}.|The unit_count_total field was 0 in record #3 [2].|"
-    "We opened {name} in {place} and {year}.|The passage [...] is quoted in part.|Both R&D and A&B were below plan (see [4]).|Prices ranged from $4 to $9 per unit, i.e. ~5% up."
+    "Keep it at < 8 degrees and > 2 degrees.|If x < 3 or y > 9, stop.|Seats marked * are cold, those marked ** are colder.|The guest (see [3]) left early.|Ask for {name} or {place} at the desk.|The value of max_row_count is 7.|"
+    "Song #4 and song #12 were cut.|It costs $2 here and $9 there.|It weighs ~3 kg, i.e. ~5% more.|He wrote: [...] and so on.|Bed & breakfast, R&B, black&white.|Mail us @ the usual place, 50% off!|A + B = C, 2 * 3 = 6 and 2^5 = 32.|"
+    "Terms and/or conditions | see below.|The path C:\\ is full.|On a scale of 1-10 - or so - it was 7.|{ and } are braces, [ and ] are brackets.|Read file_a and file_b_2 first.|Profit = price - cost.|He said 'no' and \"yes\".|"
+    "Well ... who knows! (Not I.)|Add salt* and pepper.|Temperature -5 to +5.|Q&A: who? A: me; B: you.|Rated 5/5, #1 in town, 100% wool.|Part [12] and note [a].|Prices in $ and %.|Room {12} is free.|It was 3 * 4 m wide.|The rest was torn [here.|Then they left (more|and so [cut|He paid [sic] 5.|The {end.|An empty pair [] or {}.|It is 5<6 and 7>6.|50%-60% of it, $5-$6 each.|* see the last page|** not on Mondays|- none -|-- 7 --|*** sold out ***"
 ).split("|")
-_HEADINGS = "Results of Operations|Liquidity, fiscal 2021|Market Risk|Legal Proceedings|Segment Overview|Item 1. Business|Employees|Item 7. Discussion".split("|")
-_FOOTERS = "Page 3 of 12|- END -|* denotes estimates|[page left blank]|/s/ A. Person, Secretary|TABLE OF CONTENTS|(a fictional issuer)".split("|")
-_CODE = ["index = build(parts, size=40)\nif score < 0.4:\n    stop()", "SELECT id, amt FROM t WHERE fy <> 31", "for q in items:\n    hits = search(q, top=5)\n    print(len(hits))", "level: 0.5\nmode: mixed\nroles: [public, audit]", "tool run --config a.yaml --k 4"]
-_FORMULAS = ["r^2 \\leq 0.5", "m_{t} = \\frac{R_{t} - C_{t}}{R_{t}}", "w = \\sum_{i=1}^5 \\alpha_i x_i", "\\Delta = p_{1} - p_{0}", "s(q,d) = \\sum_{t \\in q} \\log\\frac{N}{n_t}"]
+_TITLES = "How to Plant Tulips|Winter, 1931|The Old Harbour|Item 3. Boats|Songs and Dances|Part II: The Lake|Opening Hours|Über den Fluss|Las Flores|Вечер в саду|Index|Staff".split("|")
+_FOOTERS = "Sheet 3 of 12|- FIN -|* closed on Mondays|[this side left blank]|/s/ A. Gardener, Warden|CONTENTS|(drawn by hand)|— 7 —|=|--|Tel. +44 20 7946".split("|")
+_CODE = [
+    "total = add(left, right, step=2)\nif total < 0.4:\n    return None", "SELECT name, age FROM cats WHERE age <> 3", "for bird in flock:\n    song = bird.sing(times=5)\n    print(len(song))", "speed: 0.5\nmode: quiet\ncolours: [red, blue]",
+    "run --fast --level 3 a.txt", "x = {'a': 1, 'b': [2, 3]}\nassert x['a'] == 1", "int f(int *p) { return *p + 1; }", "let n = items.len();\nwhile n > 0 && ok { n -= 1; }",
+]
+_FORMULAS = ["a^2 + b^2 = c^2", "v_{t} = \\frac{s_{t} - s_{0}}{t}", "y = \\sum_{i=1}^n \\beta_i x_i", "\\Omega = q_{1} - q_{0}", "f(x,y) = \\int_{0}^{1} \\log\\frac{x}{y_t}", "E = m c^2", "n \\geq 0.5"]
+_CELLS = "Tulips|Oak 40|Blue Door|north shore|Cats|Night Train fare|n/a|-|12|3,415|$7|$6,100|4.5%|(12)|+3|—|R & B|A/B|1931|FY 12|Total".split("|")
 
 
 class _Writer:
@@ -151,37 +161,73 @@ class _Writer:
     def add(self, text: str, kind: str, marked: bool) -> None:
         self.lines += [(line, kind, marked) for line in text.split("\n")]
 
+    def word(self) -> str:
+        """A word that means nothing, so that no word stands for markup."""
+        r = self.rng
+        out = "".join(r.choice(_ONSETS) + r.choice(_VOWELS) + r.choice(_CODAS) for _ in range(r.randint(1, 4)))
+        return out.capitalize() if r.random() < 0.2 else out
+
+    def amount(self) -> str:
+        r = self.rng
+        n = r.choice([f"{r.randint(1, 99)}", f"{r.randint(1, 999)},{r.randint(100, 999)}", f"{r.randint(0, 99)}.{r.randint(1, 99)}"])
+        return r.choice([f"${n}", f"${n}", f"€{n}", f"{n}%", n, f"{n} kg", f"£{n}"])
+
     def sentence(self) -> str:
         r = self.rng
-        return f"{r.choice(_SUBJECTS)} {r.choice(_VERBS)} {r.choice(_OBJECTS)}{r.choice(_TAILS)}."
+        if r.random() < 0.3:
+            return f"{r.choice(_SUBJECTS)} {r.choice(_VERBS)} {r.choice(_OBJECTS)}{r.choice(_TAILS)}."
+        words = [self.amount() if r.random() < 0.15 else self.word() + ("," if r.random() < 0.1 else "-" + self.word() if r.random() < 0.05 else "") for _ in range(r.randint(3, 22))]
+        return " ".join(words).rstrip(",").capitalize() + "."
 
     def prose(self, inline: list[str] | None = None, strays: int = 0) -> tuple[str, bool]:
         """Sentences; ``inline`` are patterns with %s for a word, of which ``strays`` are put in."""
         r = self.rng
-        words = " ".join(self.sentence() if r.random() < 0.95 else r.choice(_TRAPS) for _ in range(r.randint(1, 5))).split(" ")
+        words = " ".join(self.sentence() if r.random() < 0.85 else r.choice(_TRAPS) for _ in range(r.choice((1, 1, 2, 3, 4, 6, 12)))).split(" ")
         if r.random() < 0.15:
             words = words[: r.randint(2, 6)]
+        put = False
         for _ in range(strays if inline else 0):
             k = r.randrange(len(words))
-            if words[k].isalpha():
-                words[k] = r.choice(inline).replace("%s", words[k], 1)
+            n = r.choice((1, 1, 1, 2, 3))
+            chosen = words[k : k + n]
+            if all(w.strip(",.;").isalnum() for w in chosen):
+                words[k : k + n] = r.choice(inline).replace("%s", " ".join(chosen).strip(",.;"), 1).split(" ")
+                put = True
         text = " ".join(words)
-        return text, bool(inline) and any(p.split("%s")[0].strip() in text and p.split("%s")[-1] in text and (p.split("%s")[0].strip() or p.split("%s")[-1].strip()) for p in inline)
+        return text, put
+
+    def phrase(self) -> str:
+        return " ".join(self.word() for _ in range(self.rng.randint(1, 6)))
 
     def grid(self) -> list[list[str]]:
         r = self.rng
         n = r.randint(2, 4)
-        return [["Measure", *(f"FY{2020 + k}" for k in range(n))], *([r.choice(["Feed cost", "Tooling", "Rail revenue", "Cold Chain margin"]), *(f"{r.choice(['', '$'])}{r.randint(1, 99)},{r.randint(100, 999)}" for _ in range(n))] for _ in range(r.randint(2, 5)))]
+        return [["Kind", *(f"Year {1 + k}" for k in range(n))], *([r.choice(_CELLS), *(f"{r.choice(['', '', '$', '€'])}{r.randint(1, 99)},{r.randint(100, 999)}" for _ in range(n))] for _ in range(r.randint(2, 5)))]
 
 
 INLINE = {
-    "html": ["<b>%s</b>", "<i>%s</i>", "<EM>%s</EM>", "%s<br/>", "%s&nbsp;more", "&#36;4 %s", "%s <!-- page 3 -->", '<a href="#note-2">%s</a>', '<span style="font-weight:bold">%s</span>', '<font size="2">%s</font>', "%s<sup>(1)</sup>", "%s</td><td>", "&amp; %s", "%s&#8212;", "%s&#160;"],
-    "markdown": ["**%s**", "*%s*", "~~%s~~", "`%s`", "[%s](#note-3)", "__%s__"],
-    "wiki": ["'''%s'''", "''%s''", "[[%s]]", "[[Glossary|%s]]", "{{nowrap|%s}}", "%s {{citation needed}}", '%s<ref name="f1" />'],
-    "latex": ["\\textbf{%s}", "\\textit{%s}", "\\underline{%s}", "%s~\\ref{tab:seg}", "%s~", "%s\\footnotemark{}", "%s $\\approx$", "5\\% %s", "\\$7,123 %s"],
+    "html": [
+        "<b>%s</b>", "<i>%s</i>", "<EM>%s</EM>", "<strong>%s</strong>", "%s<br/>", "%s<br>", "%s&nbsp;more", "&#163;4 %s", "&#xA3;4 %s", "%s <!-- fold here -->", '<a href="x.html#top">%s</a>', '<span class="big">%s</span>', '<font color="red">%s</font>', "%s<sup>2</sup>",
+        "%s</td><td>", "&amp; %s", "%s&#8211;", "%s&#160;", "&lt;%s&gt;", "&quot;%s&quot;", "</p>%s", "%s<p>", "<u>%s</u>", "%s&eacute;", "&ndash; %s", '<img src="a.png"/> %s', "<code>%s</code>", "%s<sub>i</sub>",
+    ],
+    "markdown": ["**%s**", "*%s*", "~~%s~~", "`%s`", "[%s](x.md)", "[%s](#top)", "__%s__", "![%s](a.png)", "***%s***"],
+    "wiki": ["'''%s'''", "''%s''", "[[%s]]", "[[Garden|%s]]", "{{small|%s}}", "%s {{source missing}}", '%s<ref name="a" />', "%s<ref>Old book.</ref>", "[[File:a.png|%s]]", "{{lang|de|%s}}"],
+    "latex": ["\\textbf{%s}", "\\emph{%s}", "\\underline{%s}", "%s~\\ref{fig:a}", "%s~", "%s\\footnotemark{}", "%s $\\sim$", "$\\alpha$ %s", "5\\% %s", "\\$7 %s", "{\\bf %s}", "{\\it %s}", "\\cite{a1} %s", "%s \\& co", "\\textit{%s}", "%s\\\\", "a\\_%s", "\\#4 %s"],
 }
 
 
+def _write_cells(w: _Writer, every: list[str]) -> None:
+    """The cells of tables, each a block, seldom with marks."""
+    rng = w.rng
+    marked = rng.random() < 0.3
+    for _ in range(rng.randint(4, 40)):
+        cell = rng.choice(_CELLS) if rng.random() < 0.5 else f"{rng.choice(['', '', '$', '€', '-', '('])}{rng.randint(1, 99)},{rng.randint(100, 999)}"
+        if marked and rng.random() < 0.2 and cell[0].isalpha():
+            w.add(rng.choice([*every, "&nbsp;%s", "# %s", "## %s"]).replace("%s", cell, 1), "table", True)
+        else:
+            w.add(cell, "table", False)
+
+
 def write_document(rng: random.Random) -> list[tuple[str, str, bool]]:
     """(line, kind, has markup) of one document in one of the languages, or plain with a few strays of all."""
     w = _Writer(rng)
@@ -190,26 +236,39 @@ def write_document(rng: random.Random) -> list[tuple[str, str, bool]]:
     every = [p for ps in INLINE.values() for p in ps]
     framed = rng.random() < 0.4
     if framed and language == "html":
-        w.add("<html><head><title>Exhibit</title><style>p { margin: 0 }</style></head><body>", "frame", True)
+        w.add(rng.choice(["<html><head><title>Tulips</title><style>b { color: red }</style></head><body>", '<!DOCTYPE html>\n<html lang="en">\n<body>', '<div class="page">', "<body>"]), "frame", True)
     if framed and language == "latex":
-        w.add("% exported draft\n\\documentclass{article}\n\\begin{document}", "frame", True)
+        w.add(rng.choice(["% first try\n\\documentclass[a4paper]{book}\n\\usepackage{graphicx}\n\\begin{document}", "\\documentclass{letter}\n\\begin{document}", "\\begin{document}\n\\maketitle", "% to be printed"]), "frame", True)
     if framed and language == "wiki":
-        w.add("{{Infobox issuer\n| form = 10-K\n| units = millions\n}}", "frame", True)
+        box = rng.choice(["town", "ship", "person", "river"])
+        w.add(f"{{{{Infobox {box}\n| name = {rng.choice(_CELLS)}\n| length = {rng.randint(1, 99)}\n}}}}", "frame", True)
     if rng.random() < 0.2 and language == "html":
-        w.add("<!-- page 3 -->", "frame", True)
+        w.add(rng.choice(["<!-- fold here -->", "<hr/>", "<br/>"]), "frame", True)
+    if style in ("plain", "stray") and rng.random() < 0.2:
+        _write_cells(w, every if style == "stray" else [])
     for _ in range(rng.randint(1, 9)):
         kind = rng.choices(["paragraph", "heading", "list", "table", "code", "formula"], [8, 3, 2, 2, 1, 1])[0]
         if language in ("plain", "stray"):
             if kind == "heading":
-                w.add(rng.choice(_HEADINGS), "heading", False)
+                if style == "stray" and rng.random() < 0.2:
+                    w.add(rng.choice(["# ", "## ", "### "]) + rng.choice(_TITLES), "heading", True)
+                else:
+                    w.add(rng.choice(_TITLES), "heading", False)
+            elif kind == "list" and style == "stray" and rng.random() < 0.4:
+                sign = rng.choice(["- ", "- ", "* ", "1. ", "+ "])
+                for _ in range(rng.randint(2, 5)):
+                    w.add(sign + (w.phrase() if rng.random() < 0.5 else w.sentence()), "list", True)
             elif kind == "list":
+                sign = rng.choice(["• ", "• ", "– ", "· ", "a) ", "(1) "])
                 for _ in range(rng.randint(2, 5)):
-                    text, marked = w.prose(every, 1) if style == "stray" and rng.random() < 0.2 else (w.sentence(), False)
-                    w.add("• " + text.rstrip("."), "list", marked)
+                    text, marked = w.prose(every, 1) if style == "stray" and rng.random() < 0.2 else (w.phrase() if rng.random() < 0.4 else w.sentence(), False)
+                    w.add(sign + text.rstrip("."), "list", marked)
             elif kind == "table":
                 for row in w.grid():
-                    cell = rng.choice(["**%s**", "<b>%s</b>", "\\textbf{%s}", "'''%s'''", "%s<sup>(1)</sup>", "&nbsp;%s"]) if style == "stray" and rng.random() < 0.15 else "%s"
+                    cell = rng.choice(["**%s**", "<b>%s</b>", "\\textbf{%s}", "'''%s'''", "%s<sup>2</sup>", "&nbsp;%s", "[[%s]]"]) if style == "stray" and rng.random() < 0.15 else "%s"
                     w.add(" | ".join([cell % row[0], *row[1:]]), "table", cell != "%s")
+            elif kind == "code" and style == "stray" and rng.random() < 0.5:
+                w.add(rng.choice([" ", "  "]) + w.sentence(), "paragraph", False)
             elif kind == "paragraph" or style == "plain":
                 text, marked = w.prose(every, rng.randint(1, 3)) if style == "stray" and rng.random() < 0.6 else w.prose()
                 w.add(text, "paragraph", marked)
@@ -219,60 +278,65 @@ def write_document(rng: random.Random) -> list[tuple[str, str, bool]]:
         if kind == "paragraph":
             text, marked = w.prose(inline, strays)
             if language == "html":
-                text, marked = rng.choice(["<p>%s</p>", '<p class="x">%s</p>', "<div>%s</div>", "<P>%s", "%s</p>", "<p>%s"]).replace("%s", text), True
+                text, marked = rng.choice(["<p>%s</p>", '<p class="x">%s</p>', "<div>%s</div>", "<P>%s", "%s</p>", "<p>%s", "<blockquote>%s</blockquote>"]).replace("%s", text), True
             w.add(text, "paragraph", marked)
         elif kind == "heading":
-            text, level = rng.choice(_HEADINGS), rng.randint(1, 4)
+            text, level = rng.choice(_TITLES) if rng.random() < 0.7 else w.sentence().rstrip("."), rng.randint(1, 4)
             if language == "markdown" and rng.random() < 0.4:
                 w.add(text, "heading", False)
                 w.add(rng.choice("=-") * len(text), "frame", True)
             else:
                 w.add({"html": f"<h{level}>{text}</h{level}>", "markdown": "#" * level + " " + text, "wiki": "=" * (level + 1) + f" {text} " + "=" * (level + 1), "latex": f"\\{'sub' * (level % 3)}section{{{text}}}"}[language], "heading", True)
         elif kind == "list":
-            opening, item, closing = {"html": ("<ul>", "<li>%s</li>", "</ul>"), "markdown": ("", rng.choice(["- %s", "* %s", "1. %s"]), ""), "wiki": ("", rng.choice(["* %s", "# %s"]), ""), "latex": ("\\begin{itemize}", "\\item %s", "\\end{itemize}")}[language]
+            opening, item, closing = {"html": ("<ul>", "<li>%s</li>", "</ul>"), "markdown": ("", rng.choice(["- %s", "* %s", "1. %s", "+ %s"]), ""), "wiki": ("", rng.choice(["* %s", "# %s"]), ""), "latex": ("\\begin{itemize}", "\\item %s", "\\end{itemize}")}[language]
+            short = rng.random() < 0.4
             if opening:
                 w.add(opening, "frame", True)
             for _ in range(rng.randint(2, 5)):
-                w.add(item.replace("%s", w.prose(inline, strays)[0].rstrip(".")), "list", True)
+                w.add(item.replace("%s", (w.phrase() if short else w.prose(inline, strays)[0]).rstrip(".")), "list", True)
             if closing:
                 w.add(closing, "frame", True)
         elif kind == "table":
             grid = w.grid()
             if language == "html":
-                w.add("<table>", "frame", True)
-                for row in grid:
-                    w.add("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>", "table", True)
+                head = rng.choice(["td", "th"])
+                w.add(rng.choice(["<table>", '<table border="1">']), "frame", True)
+                for k, row in enumerate(grid):
+                    cell = head if k == 0 else "td"
+                    w.add("<tr>" + "".join(f"<{cell}>{c}</{cell}>" for c in row) + "</tr>", "table", True)
                 w.add("</table>", "frame", True)
             elif language == "markdown":
                 w.add("| " + " | ".join(grid[0]) + " |", "table", True)
-                w.add("|" + "---|" * len(grid[0]), "frame", True)
+                w.add("|" + rng.choice(["---|", ":--|", " --- |"]) * len(grid[0]), "frame", True)
                 for row in grid[1:]:
                     w.add("| " + " | ".join(row) + " |", "table", True)
             elif language == "wiki":
-                w.add('{| class="wikitable"', "frame", True)
+                w.add(rng.choice(['{| class="sortable"', "{|"]), "frame", True)
+                if rng.random() < 0.4:
+                    w.add("|+ " + rng.choice(_TITLES), "heading", True)
                 w.add("! " + " !! ".join(grid[0]), "table", True)
                 for row in grid[1:]:
                     w.add("|-", "frame", True)
                     w.add("| " + " || ".join(row), "table", True)
                 w.add("|}", "frame", True)
             else:
-                w.add("\\begin{tabular}{lll}", "frame", True)
+                w.add("\\begin{tabular}{" + rng.choice(["ll", "lrr", "l|c"]) + "}", "frame", True)
                 for row in grid:
-                    w.add(" & ".join(row).replace("$", "\\$") + " \\\\", "table", True)
+                    w.add(" & ".join(row).replace("$", "\\$").replace("%", "\\%") + " \\\\", "table", True)
                 w.add("\\end{tabular}", "frame", True)
         elif kind == "code":
             code = rng.choice(_CODE)
             if language == "html":
                 w.add("<pre><code>" + html.escape(code, quote=False) + "</code></pre>", "code", True)
             else:
-                opening, closing = {"markdown": ("```", "```"), "wiki": ("<syntaxhighlight>", "</syntaxhighlight>"), "latex": ("\\begin{verbatim}", "\\end{verbatim}")}[language]
+                opening, closing = {"markdown": (rng.choice(["```", "```python"]), "```"), "wiki": ('<syntaxhighlight lang="c">' if rng.random() < 0.5 else "<syntaxhighlight>", "</syntaxhighlight>"), "latex": ("\\begin{verbatim}", "\\end{verbatim}")}[language]
                 w.add(opening, "frame", True)
                 w.add(code, "code", True)
                 w.add(closing, "frame", True)
         else:
             f = rng.choice(_FORMULAS)
             if language == "html":
-                w.add("<p>m<sub>t</sub> = (R &minus; C) / R</p>", "formula", True)
+                w.add(rng.choice(["<p>v<sub>0</sub> = (s &minus; t) / 2</p>", "<p>x<sup>2</sup> + y<sup>2</sup> &ge; 1</p>"]), "formula", True)
             elif language == "wiki":
                 w.add(f"<math>{f}</math>", "formula", True)
             elif language == "latex" and rng.random() < 0.5:
@@ -283,7 +347,7 @@ def write_document(rng: random.Random) -> list[tuple[str, str, bool]]:
                 w.add(f, "formula", True)
                 w.add(closing, "frame", True)
     if framed and language in ("html", "latex"):
-        w.add({"html": "</body></html>", "latex": "\\end{document}"}[language], "frame", True)
+        w.add({"html": rng.choice(["</body></html>", "</div>", "</html>"]), "latex": "\\end{document}"}[language], "frame", True)
     elif rng.random() < 0.3:
         w.add(rng.choice(_FOOTERS), "paragraph", False)
     lines = w.lines
@@ -295,11 +359,15 @@ def write_document(rng: random.Random) -> list[tuple[str, str, bool]]:
 @lru_cache(maxsize=1)
 def trained() -> BlockLabeller:
     """The labeller, fitted on TRAIN_DOCUMENTS synthetic documents by Adam; takes a few seconds, once a process."""
-    from gleanery.llm.markup_blocks import INPUTS, vectors
+    from gleanery.llm.markup_blocks import INPUTS, PATH_DIMS, WORD_DIMS, sign_places, vectors
 
     rng = random.Random(SEED)
     documents = [write_document(rng) for _ in range(TRAIN_DOCUMENTS)]
-    features = vectors([[line for line, _, _ in d] for d in documents])
+    texts = [[line for line, _, _ in d] for d in documents]
+    model = BlockLabeller(INPUTS)
+    model.signs = sign_places(texts)
+    noise = np.random.default_rng(SEED)
+    features = vectors(texts, model.signs)
     order = sorted((k for k in range(len(documents)) if documents[k]), key=lambda k: -len(documents[k]))
     batches = []
     for at in range(0, len(order), 30):
@@ -312,13 +380,14 @@ def trained() -> BlockLabeller:
             kinds[row, : lengths[row]] = [KINDS.index(kind) for _, kind, _ in documents[k]]
             marked[row, : lengths[row]] = [m for _, _, m in documents[k]]
         batches.append((x, lengths, kinds, marked))
-    model = BlockLabeller(INPUTS)
     first, second, step = {k: np.zeros_like(v) for k, v in model.p.items()}, {k: np.zeros_like(v) for k, v in model.p.items()}, 0
     for epoch in range(EPOCHS):
         rng.shuffle(batches)
         rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
         for batch in batches:
-            _, grad = model.gradients(*batch)
+            x = batch[0].copy()  # the words of other collections are others: noise keeps the network from leaning on them
+            x[..., PATH_DIMS : PATH_DIMS + WORD_DIMS] += noise.standard_normal((*x.shape[:2], WORD_DIMS), dtype=np.float32) * WORD_NOISE
+            _, grad = model.gradients(x, *batch[1:])
             step += 1
             for k, g in grad.items():
                 first[k] = 0.9 * first[k] + 0.1 * g

@@ -21,7 +21,7 @@ _MD_STRONG = re.compile(r"(\*\*|__|~~)(?=\S)(.+?)(?<=\S)\1")
 _MD_EMPHASIS = re.compile(r"(?<![\w*])\*(?=[^\s*])([^*\n]+?)(?<=[^\s*])\*(?![\w*])")
 _MD_CODE = re.compile(r"`([^`\n]+)`")
 _TEX_POINTER = re.compile(r"~?\\(?:ref|eqref|cite|citep|citet|label|index|pageref)\{[^{}]*\}")
-_TEX_ENVIRONMENT = re.compile(r"\\(?:begin|end)\{[A-Za-z*]+\}|\\documentclass(?:\[[^\]]*\])?\{[^{}]*\}|\\usepackage(?:\[[^\]]*\])?\{[^{}]*\}")
+_TEX_ENVIRONMENT = re.compile(r"\\begin\{(?:tabular|array|tabularx|longtable)\*?\}(?:\[[^\]]*\])?(?:\{[^{}]*\})*|\\(?:begin|end)\{[A-Za-z*]+\}(?:\[[^\]]*\])?|\\documentclass(?:\[[^\]]*\])?\{[^{}]*\}|\\usepackage(?:\[[^\]]*\])?\{[^{}]*\}")
 _TEX_ARGUMENT = re.compile(r"\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}]*)\}")
 _TEX_LINK = re.compile(r"\\href\{[^{}]*\}(?=\{)")
 #: Commands without an argument: switches as in {\\it word}, \\item, \\noindent.

@@ -1,14 +1,17 @@
 """Problem 4: markup residue in texts.
 
-Method: recurrent block labeller. A text is a sequence of leaves, its non-blank lines, each with the path of elements,
-environments and fences that are open there. A leaf's vector has hashed tags of the path, hashed words, and its shape
-(length, end, bullets, bars, counts of the marks of each markup language). A bidirectional LSTM in numpy, fitted on a
-bounded number (block_model.TRAIN_DOCUMENTS) of synthetic documents, reads the vectors of the whole document and gives
-every leaf a kind (paragraph, heading, list, table, code, formula, frame) and a chance of markup. A leaf of which the
-chance is above DOUBT is then checked for an actual mark.
-
-clean() uses the kinds: headings, lists, tables, code and formulas are written in one plain notation, frames are
-dropped, marks inside lines are taken out. Cells of tables are leaves too; clean_cell() writes each in the same
+Method: recurrent block labeller. A text is a sequence of leaves, its non-blank lines (HTML lines of several blocks are
+cut between them), each with the path of elements, environments and fences that are open there. A leaf's vector has
+hashed tags of the path, hashed words, its signs (runs of characters that markup uses, with what stands on either side,
+in places learned with the network) and its layout. A bidirectional LSTM in numpy, fitted on a bounded number
+(block_model.TRAIN_DOCUMENTS) of synthetic documents about other matters, reads the vectors of the whole document and
+gives every leaf a kind (paragraph, heading, list, table, code, formula, frame) and a chance of markup. The network
+decides: a leaf has markup if its score is above FLAG; nothing checks it afterwards.
+
+clean() uses the kinds: headings, lists, tables, code and formulas are written in one plain notation and marks inside
+lines are taken out; formulas inside lines stay as they are. No word of the text is lost: frames are dropped only where
+they have no words of their own. Not words of the text are scripts, styles, page titles, comments, names of commands,
+environments, templates and their options. Cells of tables are leaves too; clean_cell() writes each in the same
 notation, but never drops one, since its place in the grid is its kind.
 
 Defined results: null and blank texts have no leaves and no markup; null cells and rows of a table are empty; a text
@@ -20,6 +23,7 @@ from __future__ import annotations
 import html
 import html.entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,51 +38,15 @@ from gleanery.llm.markup import ENTITY, REFERENCE, TAG, plain_words, unescape
 from gleanery.llm.textform import consistent_form
 from gleanery.llm.words import WORD
 
-PATH_DIMS, WORD_DIMS = 16, 16
-#: A leaf goes to the exact check from this score on, a chance of 2 %: the check decides, so doubt costs nothing.
-DOUBT = -4.0
-
-#: The marks of each language, in a line.
-MARKS = {
-    "comment": r"<!--",
-    "tag": r"</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>",
-    "entity": r"&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});",
-    "fence": r"^```",
-    "code": r"`[^`\n]+`",
-    "hashes": r"^\#{1,6}\ (?=\S)",
-    "strong": r"\*\*(?=\S)[^\n]*?\S\*\*|__(?=\S)[^\n]*?\S__(?!\w)|~~(?=\S)[^\n]*?\S~~",
-    "emphasis": r"(?<![\w*])\*(?=[^\s*])[^*\n]*?[^\s*]?\*(?![\w*])",
-    "link": r"!?\[[^\[\]\n]*\]\([^()\s]*\)",
-    "bars": r"^\|(?=.*\|\s*$)|^\|[-:| ]+$",
-    "underline": r"^(?:={3,}|-{3,})\s*$",
-    "display": r"\$\$",
-    "wikihead": r"^={2,6}[^=\n]+={2,6}\s*$",
-    "wikitable": r"^(?:\{\||\|[-}+]|!\ )|\|\|",
-    "quotes": r"'{2,5}(?=[^\s'])",
-    "wikilink": r"\[\[[^\[\]\n]*\]\]",
-    "template": r"\{\{[^{}\n]*(?:\}\}|$)|^\}\}\s*$",
-    "command": r"\\[A-Za-z]+|\\[\[\]()]",
-    "escape": r"\\[%$&\#_{}]|\\\\\s*$",
-    "tie": r"(?<=\w)~(?=\s|\\)",
-    "remark": r"^%\ \S",
-    "math": r"\$\\[A-Za-z]+",
-    "script": r"(?<=\w)[_^]\{",
-    "bullet": r"^(?:[*+-]|1[.)])\ (?=\S)",
-}
-_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in MARKS.items()), re.X)
-#: Where a mark inside a line can start.
-_STARTS = re.compile(r"[<&`*_~!\[$'{}\\|^]")
-_SIGNS = re.compile(r"[<`*~\[{}\\_^]")
-_FAMILIES = list(MARKS)
-_N = len(_FAMILIES)
-_PLACE = {family: k for k, family in enumerate(_FAMILIES)}
-SHAPE_DIMS = _N + 14
-INPUTS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
-#: Marks that are only one beside the same mark on the line before or after, or under a line of their length.
-_NEEDS_COMPANY = frozenset(("bullet",))
-_WEAK = frozenset(("script",))
+PATH_DIMS, WORD_DIMS, SIGN_DIMS, SHAPE_DIMS = 16, 16, 352, 15
+INPUTS = PATH_DIMS + WORD_DIMS + SIGN_DIMS + SHAPE_DIMS
+#: The score, a chance of markup of 12 %, from which a leaf counts as marked.
+FLAG = -2.0
+#: A sign is an entity, a run of one character that markup uses, or a number or dash before a blank at the start.
+_SIGN = re.compile(r"&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|([<>&*_~`#=|{}\\^$%!\[\]])\1*|'{2,}|-{3,}|(?<!\S)[-+](?=\s)|\A\d{1,3}[.)](?=\s)".replace("\\#", "#"))
 _OPEN_CLOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>|```|\$\$|\\(begin|end)\{([A-Za-z*]+)\}|^\{\||^\|\}|\{\{Infobox|^\}\}")
 _VOID = frozenset("br hr img input link meta ref p li td tr th".split())
+_UNREAD = frozenset(("script", "style"))
 
 
 class _WordSlots(dict):
@@ -92,220 +60,253 @@ class _WordSlots(dict):
 _SLOTS = _WordSlots()
 
 
+#: Where an HTML line with several blocks is cut, plain and escaped.
+_BLOCK_START = re.compile(r"(?<=\S)[ \t]*(?=<(?:table|caption|tr|ul|ol|li|dl|dt|dd|h[1-6]|p|div|pre|blockquote)\b[^<>]*>)", re.I)
+_BLOCK_END = re.compile(r"(</(?:table|caption|tr|ul|ol|li|dl|dt|dd|h[1-6]|p|div|pre|blockquote)>)[ \t]*(?=\S)", re.I)
+_ESCAPED_START = re.compile(r"(?<=\S)[ \t]*(?=&lt;(?:table|caption|tr|ul|ol|li|dl|dt|dd|h[1-6]|p|div|pre|blockquote)(?:\s[^<>&]*)?&gt;)", re.I)
+_ESCAPED_END = re.compile(r"(&lt;/(?:table|caption|tr|ul|ol|li|dl|dt|dd|h[1-6]|p|div|pre|blockquote)&gt;)[ \t]*(?=\S)", re.I)
+
+
 def leaves(text: str | None) -> list[str]:
-    """The non-blank lines of the consistent form, escaped markup resolved once."""
+    """The non-blank lines of the consistent form; a line of several HTML blocks is cut between them."""
     if not text:
         return []
     text = consistent_form(text)
+    if "</" in text:
+        text = _BLOCK_END.sub(r"\1\n", _BLOCK_START.sub("\n", text))
+    if "&lt;/" in text:
+        text = _ESCAPED_END.sub(r"\1\n", _ESCAPED_START.sub("\n", text))
     return [line for line in text.split("\n") if line and not line.isspace()]
 
 
-def paths(lines: list[str]) -> list[tuple[str, ...]]:
-    """What is open at the start of each line."""
-    out, stack = [], []
-    for line in lines:
-        out.append(tuple(stack))
+class _NameVectors(dict):
+    """name of a structure -> its signed place in a path vector."""
+
+    def __missing__(self, name: str) -> tuple[int, float]:
+        if len(self) > 100_000:
+            self.clear()
+        h = xxhash.xxh32_intdigest(name)
+        self[name] = out = (h % PATH_DIMS, 1.0 if h >> 16 & 1 else -1.0)
+        return out
+
+
+_NAMES = _NameVectors()
+
+
+def paths(lines: list[str]) -> tuple[np.ndarray, list[bool]]:
+    """The path of open structures at the start of each line as a sum of the vectors of their names, and whether the
+    line is inside a script or style."""
+    out = np.zeros((len(lines), PATH_DIMS), dtype=np.float32)
+    unread = []
+    stack: list[str] = []
+    held: Counter = Counter()
+    here = np.zeros(PATH_DIMS, dtype=np.float32)
+
+    def push(name: str, sign: float = 1.0) -> None:
+        place, value = _NAMES[name]
+        here[place] += sign * value
+
+    def opened(name: str) -> None:
+        stack.append(name)
+        held[name] += 1
+        push(name)
+
+    def closed(name: str) -> None:
+        while held[name]:
+            top = stack.pop()
+            held[top] -= 1
+            push(top, -1.0)
+            if top == name:
+                break
+
+    for k, line in enumerate(lines):
+        out[k] = here
+        unread.append(any(held[name] for name in _UNREAD))
         if "<" in line or "`" in line or "$$" in line or "\\" in line or "{" in line or "|" in line or "}" in line or "&lt;" in line:
-            escaped = "&lt;" in line
-            for m in _OPEN_CLOSE.finditer(html.unescape(line) if escaped else line):
+            for m in _OPEN_CLOSE.finditer(html.unescape(line) if "&lt;" in line else line):
                 t = m.group()
                 if m.group(2):
                     name = m.group(2).lower()
-                    if m.group(3) or name in _VOID:
-                        continue
-                    if not m.group(1):
-                        stack.append(name)
-                    elif name in stack:
-                        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+                    if not m.group(3) and name not in _VOID:
+                        closed(name) if m.group(1) else opened(name)
                 elif t in ("```", "$$"):
-                    stack.remove(t) if t in stack else stack.append(t)
+                    closed(t) if held[t] else opened(t)
                 elif m.group(4) == "begin" or t in ("{|", "{{Infobox"):
-                    stack.append(m.group(5) or t)
+                    opened(m.group(5) or t)
                 else:
-                    name = m.group(5) or ("{|" if t == "|}" else "{{Infobox")
-                    if name in stack:
-                        del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            del stack[12:]
-    return out
+                    closed(m.group(5) or ("{|" if t == "|}" else "{{Infobox"))
+    return out, unread
+
+
+_SIGNS = frozenset("<>&*_~`#=|{}\\^$%![]('")
+
 
+def _beside(c: str) -> str:
+    """The class of a character beside a sign: none, letter, digit, blank, another sign or punctuation."""
+    return "^" if not c else "a" if c.isalpha() else "0" if c.isdigit() else " " if c.isspace() else c if c in _SIGNS else "."
 
-def _path_vector(path: tuple[str, ...], known: dict) -> np.ndarray:
-    v = known.get(path)
-    if v is None:
-        v = np.zeros(PATH_DIMS, dtype=np.float32)
-        for depth, name in enumerate(path):
-            h = xxhash.xxh32_intdigest(name)
-            v[h % PATH_DIMS] += 1.0 if h >> 16 & 1 else -1.0
-        if len(known) < 50_000:
-            known[path] = v
-    return v
-
-
-_PATHS: dict = {}
-_ZERO_PATH = np.zeros(PATH_DIMS, dtype=np.float32)
-
-
-def marks(line: str) -> dict[str, int]:
-    """How many marks of each family a line has."""
-    out: dict[str, int] = {}
-    # no mark can be in a line without one of these
-    if line[0] in "|=!%+#-1" or _SIGNS.search(line) or ("&" in line and ENTITY.search(line)) or "''" in line or "||" in line or "$$" in line:
-        upto = 0
-        for at in (0, *(m.start() for m in _STARTS.finditer(line, 1))):
-            if at >= upto and (m := _ANY.match(line, at)):
-                out[m.lastgroup] = out.get(m.lastgroup, 0) + 1
-                upto = m.end()
+
+def signs(line: str) -> list[str]:
+    """The signs of a line, each with what stands before and behind it."""
+    out = []
+    for m in _SIGN.finditer(line):
+        t, at, end = m.group(), m.start(), m.end()
+        if t[0] == "&" and len(t) > 2 and t[-1] == ";":
+            if t[1] == "#" or t[1:] in html.entities.html5:
+                out.append("&;")
+                continue
+            t, end = "&", at + 1
+        out.append(f"{_beside(line[at - 1 : at])}{'1.' if t[0].isdigit() else t[:6]}{_beside(line[end : end + 1])}")
     return out
 
 
-def vectors(documents: list[list[str]]) -> list[np.ndarray]:
-    """The vectors of the leaves of each document."""
-    return examined(documents)[0]
+def sign_places(documents: list[list[str]]) -> dict[str, int]:
+    """The signs of the documents to learn from, the most frequent first, with their places."""
+    counts = Counter(x for d in documents for x in {x for line in d for x in signs(line)})
+    known = sorted((x for x, n in counts.items() if n >= 2), key=lambda x: (-counts[x], x))
+    return {x: k for k, x in enumerate(known[:SIGN_DIMS])}
 
 
-def examined(documents: list[list[str]]) -> tuple[list[np.ndarray], list[list[dict[str, int]]]]:
-    """The vectors and the marks of the leaves of each document."""
+def vectors(documents: list[list[str]], places: dict[str, int]) -> list[np.ndarray]:
+    """The vectors of the leaves of each document: path, hashed words, signs and layout."""
     flat = [line for d in documents for line in d]
     n = len(flat)
     x = np.zeros((n, INPUTS), dtype=np.float32)
-    slots, counts, shapes, found = [], [], [], []
-    shape = PATH_DIMS + WORD_DIMS
+    slots, counts, shapes = [], [], []
+    at_signs, at_shape = PATH_DIMS + WORD_DIMS, PATH_DIMS + WORD_DIMS + SIGN_DIMS
     at = 0
     for d in documents:
         if any("<" in s or "`" in s or "$$" in s or "\\" in s or "{" in s or "&lt;" in s for s in d):
-            for k, path in enumerate(paths(d)):
-                if path:
-                    x[at + k, :PATH_DIMS] = _path_vector(path, _PATHS)
+            x[at : at + len(d), :PATH_DIMS] = np.clip(paths(d)[0], -8, 8)
+        for k, line in enumerate(d):
+            same = line[0] == d[k - 1][0] and line[:2] == d[k - 1][:2] if k else False
+            same = same or (k + 1 < len(d) and line[:2] == d[k + 1][:2])
+            level = k > 0 and abs(len(line.rstrip()) - len(d[k - 1].rstrip())) <= 1
+            last, length = line.rstrip()[-1:], len(line)
+            words = WORD.findall(line.lower())
+            slots.extend(map(_SLOTS.__getitem__, words))
+            counts.append(len(words))
+            shapes.append((length / 200 if length < 400 else 2.0, last in ".!?", line[0] == "•", " | " in line, line[0] == " ", line[0].isdigit(), line[0].isupper(), len(words) <= 6, last in ";:)}]", last == ">", line[0] == "<" or line[:4] == "&lt;", not words, same, level, same and not line[0].isalnum()))
+            row = x[at + k]
+            for s in signs(line):
+                place = places.get(s)
+                if place is not None:
+                    row[at_signs + place] += 0.125 if row[at_signs + place] else 1.0
         at += len(d)
-    for k, line in enumerate(flat):
-        words = WORD.findall(line.lower())
-        slots.extend(map(_SLOTS.__getitem__, words))
-        counts.append(len(words))
-        own = marks(line)
-        found.append(own)
-        for family, c in own.items():
-            x[k, shape + _PLACE[family]] = 1.0 + min(c, 8) / 8
-        first, last = line[0], line.rstrip()[-1:]
-        length = len(line)
-        shapes.append(
-            (length / 200 if length < 400 else 2.0, last in ".!?", first == "•", " | " in line, first == " ", first.isdigit(), first.isupper(), len(words) <= 6, last in ";:)}]", last == ">", first == "<" or line[:4] == "&lt;", not words)
-        )
     if n:
-        x[:, shape + _N : shape + _N + 12] = np.array(shapes, dtype=np.float32)
+        np.minimum(x[:, at_signs:at_shape], 2.0, out=x[:, at_signs:at_shape])
+        x[:, at_shape:] = np.array(shapes, dtype=np.float32)
         counts = np.array(counts, dtype=np.int64)
         owner = np.repeat(np.arange(n), counts)
         bag = np.bincount(owner * (2 * WORD_DIMS) + np.array(slots, dtype=np.int64), minlength=n * 2 * WORD_DIMS).reshape(n, 2, WORD_DIMS)
-        x[:, PATH_DIMS:shape] = (bag[:, 0] - bag[:, 1]) / np.sqrt(np.maximum(counts, 1))[:, None]
-    out, all_marks, at = [], [], 0
-    for d in documents:
-        for k in range(len(d)):
-            own = found[at + k]
-            if "bullet" in own:
-                x[at + k, shape + _N + 12] = any(0 <= j < len(d) and "bullet" in found[at + j] and d[j][:2] == d[k][:2] for j in (k - 1, k + 1))
-            if "underline" in own and k:
-                x[at + k, shape + _N + 13] = abs(len(d[k].rstrip()) - len(d[k - 1].rstrip())) <= 1
-        out.append(x[at : at + len(d)])
-        all_marks.append(found[at : at + len(d)])
-        at += len(d)
-    return out, all_marks
+        x[:, PATH_DIMS:at_signs] = np.clip((bag[:, 0] - bag[:, 1]) / (3 * np.sqrt(np.maximum(counts, 1)))[:, None], -1, 1)
+    return np.split(x, np.cumsum([len(d) for d in documents])[:-1]) if documents else []
 
 
-def has_mark(lines: list[str], k: int, own: dict[str, int] | None = None) -> bool:
-    """The exact check of a line in its document; ``own`` are its marks where they are known."""
-    for family in marks(lines[k]) if own is None else own:
-        if family in _WEAK:
-            continue
-        if family == "entity":
-            names = re.findall(r"&([A-Za-z][A-Za-z0-9]*);", lines[k])
-            if "&#" in lines[k] or any(name + ";" in html.entities.html5 for name in names):
-                return True
-        elif family in _NEEDS_COMPANY:
-            sign = lines[k][:2]
-            if (k and lines[k - 1][:2] == sign) or (k + 1 < len(lines) and lines[k + 1][:2] == sign):
-                return True
-        elif family == "underline":
-            if k and abs(len(lines[k].rstrip()) - len(lines[k - 1].rstrip())) <= 1:
-                return True
-        else:
-            return True
-    return False
+def label(model: block_model.BlockLabeller, documents: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Kind index of every leaf of every document, and whether it has markup."""
+    scores = model.scores(vectors(documents, model.signs))
+    return [s[:, :-1].argmax(axis=1) if len(s) else np.zeros(0, dtype=int) for s in scores], [s[:, -1] > FLAG for s in scores]
 
 
-def label(model: block_model.BlockLabeller, documents: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray], list[int]]:
-    """Kind index and flag of every leaf of every document, and how many flagged leaves have an actual mark."""
-    x, found = examined(documents)
-    scores = model.scores(x)
-    kinds = [s[:, :-1].argmax(axis=1) if len(s) else np.zeros(0, dtype=int) for s in scores]
-    flags = [s[:, -1] > DOUBT for s in scores]
-    n_marked = [sum(has_mark(d, int(k), own[int(k)]) for k in np.flatnonzero(f)) for d, f, own in zip(documents, flags, found)]
-    return kinds, flags, n_marked
+# ---- clean text
 
+_ROW_ENDS = re.compile(r"</?tr\b[^<>]*>|^\s*<t[dh]\b[^<>]*>|</t[dh]\s*>\s*$", re.I)
+_CELL_BORDER = re.compile(r"</t[dh]\s*>\s*<t[dh]\b[^<>]*>", re.I)
+_INLINE_MATH = re.compile(r"(?<![\\$\w])\$(?=[^\s$])[^$\n]*[\\^_][^$\n]*?(?<![\s\\])\$(?![\d$])")
+_HELD = "\ue000"
 
-# ---- clean text
 
-_CELLS_HTML = re.compile(r"</?t[dhr]\b[^<>]*>", re.I)
+def _plain(text: str) -> str:
+    """The words of a piece of a line without marks; formulas inside it stay as they are."""
+    if "$" in text and _HELD not in text and (found := _INLINE_MATH.findall(text)):
+        parts = plain_words(_INLINE_MATH.sub(_HELD, text)).split(_HELD)
+        if len(parts) == len(found) + 1:
+            text = "".join(x for pair in zip(parts, [*found, ""]) for x in pair)
+    else:
+        text = plain_words(text)
+    return " ".join(text.split())
 
 
 def _cells(line: str) -> str:
     """A table row with its cells joined by " | "."""
     line = unescape(line)
     if "<t" in line.lower():
-        cells = [c for c in _CELLS_HTML.split(line) if c.strip()]
+        cells = _CELL_BORDER.split(_ROW_ENDS.sub("", _ROW_ENDS.sub("", line.strip())))
     elif "!!" in line or "||" in line or line[:1] in "!|":
         cells = re.split(r"\|\||!!|\|", line.strip().strip("!|"))
     elif line.rstrip().endswith("\\\\"):
         cells = re.split(r"(?<!\\)&", line.rstrip()[:-2])
     else:
-        return plain_words(line).strip("\n")
-    return " | ".join(" ".join(plain_words(c).split()) for c in cells)
+        return _plain(line)
+    return " | ".join(map(_plain, cells)).strip()
+
 
+_FORMULA_MARKS = re.compile(r"</?math>|\\\[|\\\]|\$\$|\\(?:begin|end)\{[A-Za-z*]+\}|</?p\b[^<>]*>|&lt;/?(?:math|p)\b.*?&gt;")
+_UNDERLINE = re.compile(r"([=-])\1{2,}\s*$")
+#: Lines of frames without words of their own: comments, borders of tables, first and last lines of templates.
+_BARE = re.compile(r"%\s|\{\||\|[-}]|\{\{[^|{}]*$|\}\}\s*$")
+_BOX_LINE = re.compile(r"\|\s*(\w[\w ]*?)\s*=\s*(.*)$")
+_FENCE = re.compile(r"```.*$")
 
-_FORMULA_MARKS = re.compile(r"</?math>|\\\[|\\\]|\$\$|</?p\b[^<>]*>|&lt;/?(?:math|p)\b.*?&gt;")
+
+def _frame_words(line: str) -> str:
+    """What a frame says itself."""
+    text = unescape(line).strip()
+    if _BARE.match(text) or _FENCE.match(text):
+        return ""
+    if m := _BOX_LINE.match(text):
+        return f"{m.group(1)} | {_plain(m.group(2))}".rstrip(" |")
+    text = _plain(text.removeprefix("|+"))
+    return text if WORD.search(text) else ""
 
 
 def clean(lines: list[str], kinds: np.ndarray, marked: np.ndarray) -> str:
-    """Clean text of a document from the kinds of its leaves."""
+    """Clean text of a document from the kinds and flags of its leaves."""
     out: list[tuple[str, str]] = []
     open_code = False
-    put = lambda kind, *texts: out.extend((kind, x) for x in texts)
+    unread = paths(lines)[1]
+    put = lambda kind, *texts: out.extend((kind, x) for x in texts if x)
     for k, line in enumerate(lines):
+        if unread[k]:
+            continue
         kind = block_model.KINDS[kinds[k]]
-        if open_code and kind != "code":
+        if open_code and (kind != "code" or not marked[k]):
             put("code", "```")
             open_code = False
-        mark = has_mark(lines, k)
-        if kind == "frame" and mark:
-            continue
-        if kind == "code" and (mark or marked[k]):
-            if not open_code:
-                put("code", "```")
-                open_code = True
-            text = unescape(line)
-            text = re.sub(r"</?(?:pre|code|syntaxhighlight)\b[^<>]*>", "", text)
-            if text.strip():
-                put("code", text)
-        elif not mark:
+        if not marked[k]:
             put(kind, line)
+        elif kind == "frame":
+            if (m := _UNDERLINE.match(line)) and out and k and not marked[k - 1] and out[-1][1] == lines[k - 1]:
+                out[-1] = ("heading", ("# " if m.group(1) == "=" else "## ") + lines[k - 1].strip())
+            else:
+                put("table" if _BOX_LINE.match(line) else "paragraph", _frame_words(line))
+        elif kind == "code":
+            text = re.sub(r"</?(?:pre|code|syntaxhighlight)\b[^<>]*>", "", unescape(line))
+            if text.strip() and not _FENCE.match(text):
+                if not open_code:
+                    put("code", "```")
+                    open_code = True
+                put("code", text)
         elif kind == "heading":
-            text = unescape(line)
-            level = re.match(r"#+|=+|\s*<h([1-6])|\\((?:sub)*)section", text)
-            depth = 1 if not level else int(level.group(1)) if level.group(1) else 1 + (level.group(2) or "").count("sub") if level.group(2) is not None else len(level.group().strip()) - (text[0] == "=")
-            put("heading", "#" * max(1, min(6, depth)) + " " + " ".join(plain_words(re.sub(r"^[#=]+|=+\s*$", "", text)).split()))
+            text = unescape(line).strip()
+            level = re.match(r"#+|=+|<h([1-6])|\\((?:sub)*)section", text)
+            depth = 1 if not level else int(level.group(1)) if level.group(1) else 1 + (level.group(2) or "").count("sub") if level.group(2) is not None else len(level.group()) - (text[0] == "=")
+            text = _plain(re.sub(r"^[#=]+|=+\s*$|^\|\+", "", text))
+            put("heading", text and "#" * max(1, min(6, depth)) + " " + text)
         elif kind == "list":
-            put("list", "- " + " ".join(plain_words(re.sub(r"^\s*(?:[*#+-]|\d+[.)]|\\item|•)\s*", "", unescape(line))).split()))
+            text = _plain(re.sub(r"^\s*(?:[*#+-]+(?=\s)|\d+[.)]|\\item\b|•)\s*", "", unescape(line)))
+            put("list", text and "- " + text)
         elif kind == "table":
-            row = _cells(line)
-            if row:
-                put("table", row)
+            put("table", _cells(line))
         elif kind == "formula":
             text = REFERENCE.sub("", unescape(line))
             text = re.sub(r"<sub>(.*?)</sub>", r"_{\1}", re.sub(r"<sup>(.*?)</sup>", r"^{\1}", text))
-            text = _FORMULA_MARKS.sub("", text)
-            if text.strip():
-                put("formula", "$" + TAG.sub("", text).strip() + "$")
+            text = TAG.sub("", _FORMULA_MARKS.sub("", text)).strip()
+            put("formula", text and "$" + text.strip("$ ") + "$")
         else:
-            text = plain_words(line)
-            put("paragraph", *(x for x in (" ".join(p.split()) for p in text.split("\n")) if x))
+            # a block mark in a line ends a paragraph
+            put("paragraph", *map(_plain, plain_words(line).split("\n") if "$" not in line else [line]))
     if open_code:
         put("code", "```")
     text = []
@@ -322,17 +323,16 @@ _KIND = {kind: k for k, kind in enumerate(block_model.KINDS)}
 
 
 def clean_cell(lines: list[str], kinds: np.ndarray, marked: np.ndarray) -> str | None:
-    """Clean text of a table cell; None where its lines have no mark of their own.
+    """Clean text of a table cell; None where its lines have no mark.
 
     A line alone in its cell is part of a table whatever kind it looks like, or a formula. Lines of a longer cell may
     be lists or code as well; headings and frames are only so in a text.
     """
-    own = [has_mark(lines, k) for k in range(len(lines))]
-    if not any(own):
+    if not marked.any():
         return None
     inside = ("list", "code") if len(lines) > 1 else ()
     forms = [int(kinds[k]) if block_model.KINDS[kinds[k]] in inside else _KIND["formula" if _MATH.search(line) else "table"] for k, line in enumerate(lines)]
-    plain = [_TITLE_SIGNS.sub("", line).strip() if mark and form == _KIND["table"] else line for line, mark, form in zip(lines, own, forms)]
+    plain = [_TITLE_SIGNS.sub("", line).strip() if mark and form == _KIND["table"] else line for line, mark, form in zip(lines, marked, forms)]
     kept = [k for k, line in enumerate(plain) if line]
     text = clean([plain[k] for k in kept], np.array([forms[k] for k in kept], dtype=int), np.array([marked[k] for k in kept], dtype=bool))
     return text if _KIND["code"] in forms else "\n".join(" ".join(line.split()) for line in text.split("\n"))
@@ -365,7 +365,7 @@ def marked_records(df: DataFrame, id_col: str, text_col: str, tables_col: str |
         model = shared.value
         for batch in batches:
             documents = _documents(batch.column(1).to_pylist(), batch.column(2).to_pylist() if tables_col else None)
-            n_marked = label(model, documents)[2]
+            n_marked = [int(f.sum()) for f in label(model, documents)[1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, documents)), pa.int32()), pa.array(n_marked, pa.int32())], names=["id", "n_leaves", "n_marked"])
 
     return df.select(*columns).mapInArrow(run, "id string, n_leaves int, n_marked int")
@@ -410,7 +410,8 @@ def clean_texts(df: DataFrame, id_col: str, text_col: str, tables_col: str | Non
             if tables_col:
                 tables = batch.column(2).to_pylist()
                 documents += _documents([None] * n, [[t and t["grid"] for t in ts or []] for ts in tables])
-            kinds, flags, n_marked = label(model, documents)
+            kinds, flags = label(model, documents)
+            n_marked = [int(f.sum()) for f in flags]
             cleaned = [clean(d, k, f) if m else t for t, d, k, f, m in zip(texts, documents, kinds, flags, n_marked)]
             columns = [batch.column(0), pa.array(cleaned, pa.string())]
             if tables_col:

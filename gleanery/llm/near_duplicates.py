@@ -42,7 +42,7 @@ SYMBOLS = GROUP * GROUPS
 RADIUS = 2 * GROUPS - 1
 BUCKETS = 1 << 20
 HOT, SAMPLE, BLOCK = 4096, 32, 2048
-CELL, TASK_CELLS = 5_000, 4
+CELL, TASK_CELLS, MOST_TASKS = 5_000, 1, 20_000
 BROADCAST_KEYS = 1_000_000
 #: The vectors of F_2^2 at the positions of a group, and the masks: one row for each v, true where <vector, v> = 1.
 VECTORS = [(0, 1), (0, 1), (1, 0), (1, 0), (1, 1), (1, 1)]
@@ -182,7 +182,7 @@ class NearDuplicates:
         pairs = candidates.withColumn("cell", place("class_a") * side + place("class_b"))
         wanted_in = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id"), F.col("cell").alias("at")).distinct()
         placed = wanted_in.join(sets, "class_id")
-        tasks = max(1, side * side // TASK_CELLS)  # grows with the pairs, so the work of a task does not
+        tasks = min(MOST_TASKS, max(1, side * side // TASK_CELLS))  # grows with the pairs, so the work of a task does not
         pairs, placed = pairs.repartition(tasks, "cell"), placed.repartition(tasks, "at")
         self.links = pairs.groupBy("cell").cogroup(placed.groupBy("at")).applyInArrow(_compare(threshold), "class_a long, class_b long, similarity double")
 

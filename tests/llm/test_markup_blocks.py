@@ -1,10 +1,16 @@
 import random
+import re
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from gleanery.llm import block_model as B
 from gleanery.llm import markup_blocks as M
+from gleanery.llm.markup import plain_words
+from gleanery.llm.words import WORD
+from exact_marks import has_mark
 
 
 @pytest.fixture(scope="module")
@@ -15,10 +21,10 @@ def model():
 def test_held_out_accuracy(model):
     rng = random.Random(77)
     docs = [B.write_document(rng) for _ in range(300)]
-    scores = model.scores(M.vectors([[line for line, _, _ in d] for d in docs]))
+    scores = model.scores(M.vectors([[line for line, _, _ in d] for d in docs], model.signs))
     pairs = [(B.KINDS[row[:-1].argmax()] == kind, (row[-1] > 0) == mark) for d, s in zip(docs, scores) for (_, kind, mark), row in zip(d, s)]
     kind_share, mark_share = np.mean(pairs, axis=0)
-    assert kind_share > 0.98 and mark_share > 0.98
+    assert kind_share > 0.97 and mark_share > 0.99
 
 
 def test_gradients():
@@ -91,11 +97,61 @@ def test_empty_table(spark):
     assert marked(spark, []) == {}
 
 
+def flags(model, text):
+    return M.label(model, [M.leaves(text)])[1][0].tolist()
+
+
+def test_the_network_decides(model):
+    # the same line with and without company: only the states of the network tell them apart
+    assert flags(model, "Costs rose.\n- one thing was moved\n- another fell")[1:] == [True, True]
+    texts = [*WITH.values(), *WITHOUT.values()]
+    whole = [any(flags(model, t)) for t in texts]
+    assert whole == [True] * len(WITH) + [False] * len(WITHOUT)
+    blind = B.BlockLabeller(M.INPUTS)
+    blind.signs, blind.p = model.signs, {k: np.zeros_like(v) if k in ("Wf", "Wb") else v for k, v in model.p.items()}
+    assert [any(flags(blind, t)) for t in texts] != whole
+    forgetful = B.BlockLabeller(M.INPUTS)
+    forgetful.signs, forgetful.p = model.signs, {k: np.zeros_like(v) if k in ("Uf", "Ub") else v for k, v in model.p.items()}
+    rng = random.Random(12)
+    docs = [[line for line, _, _ in B.write_document(rng)] for _ in range(200)]
+    with_context, without = M.label(model, docs), M.label(forgetful, docs)
+    assert any((a != b).any() for a, b in zip(with_context[1], without[1])) and any((a != b).any() for a, b in zip(with_context[0], without[0]))
+
+
+def test_against_the_exact_check(model, sf_dir):
+    con = duckdb.connect()
+    texts = [t for (t,) in con.execute(f"select \"text\" from '{sf_dir}/documents.parquet' union all select \"text\" from '{sf_dir}/filings.parquet'").fetchall()]
+    docs = [M.leaves(t) for t in texts]
+    got = [bool(f.any()) for f in M.label(model, docs)[1]]
+    want = [any(has_mark(d, k) for k in range(len(d))) for d in docs]
+    wrong = sum(a != b for a, b in zip(got, want))
+    assert sum(want) > 10 and wrong <= 0.005 * sum(want)
+
+
+def counted(text):
+    return Counter(WORD.findall(text.lower()))
+
+
+def test_no_word_is_lost(model, sf_dir):
+    texts = [t for (t,) in duckdb.connect().execute(f"select \"text\" from '{sf_dir}/documents.parquet'").fetchall() if t]
+    docs = [M.leaves(t) for t in texts]
+    kinds, marked = M.label(model, docs)
+    some = 0
+    for d, k, f in zip(docs, kinds, marked):
+        if f.any():
+            some += 1
+            # words joined by lowered signs are kept apart in formulas; numbers of entries, attributes of tables and names of templates are marks
+            kept = [line for line in d if "sub>" not in line and not line.startswith(("% ", "{|", "{{Infobox"))]
+            lost = counted("\n".join(re.sub(r"^\d+[.)] ", "", plain_words(line)) for line in kept)) - counted(M.clean(d, k, f))
+            assert not lost, (lost, d)
+    assert some > 10
+
+
 def test_clean(model):
     def clean(text):
         lines = M.leaves(text)
-        kinds, flags, _ = M.label(model, [lines])
-        return M.clean(lines, kinds[0], flags[0])
+        kinds, found = M.label(model, [lines])
+        return M.clean(lines, kinds[0], found[0])
 
     page = "<html><body>\n<h2>Market Risk</h2>\n<p>Revenue <b>rose</b> to &#36;5&nbsp;million.</p>\n<ul>\n<li>one thing was moved to $3 million</li>\n<li>another fell by 3%</li>\n</ul>\n<pre><code>if a &lt; 3:\n    stop()</code></pre>\n<p>m<sub>t</sub> = (R &minus; C) / R</p>\n</body></html>"
     text = clean(page)
@@ -105,6 +161,13 @@ def test_clean(model):
     assert "<" not in text.replace("a < 3", "")
     wiki = '== Market Risk ==\n\nRevenue [[Glossary|rose]] by 5%.\n\n{| class="wikitable"\n! Measure !! FY2020\n|-\n| Feed cost || $5,123\n|}'
     assert clean(wiki) == "# Market Risk\n\nRevenue rose by 5%.\n\nMeasure | FY2020\nFeed cost | $5,123"
+    assert clean("<table><tr><th>A</th><th>B</th></tr><tr><td>one</td><td></td></tr><tr><td>two</td><td>3</td></tr></table>") == "A | B\none |\ntwo | 3"
+    assert clean("<p>Here it is:</p><ul><li>one thing</li><li>another thing</li></ul>") == "Here it is:\n\n- one thing\n- another thing"
+    assert clean("Market Risk\n===========\n\nRevenue **rose** by 5%.") == "# Market Risk\n\nRevenue rose by 5%."
+    assert clean("The <b>rate</b> is $x_i^2 + 1$ in all.") == "The rate is $x_i^2 + 1$ in all."
+    assert clean("Revenue \\textbf{\\textit{rose}} by 5\\%.") == "Revenue rose by 5%."
+    assert "Ships in service" in clean('{| class="sortable"\n|+ Ships in service\n|-\n| one || two\n|}')
+    assert clean("<script>\nvar a = 1;\n</script>\n<p>Revenue rose.</p>") == "Revenue rose."
 
 
 def test_long_text(spark):
