@@ -72,6 +72,16 @@ class BlockLabeller:
                 keep[d] = steps
         return np.concatenate(both, axis=2)
 
+    def _padded_states(self, sequences: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+        """The states of sequences by falling length; only what the blocks give to the gates is padded."""
+        flat, both = np.concatenate(sequences), []
+        at = (np.repeat(np.arange(len(lengths)), lengths), np.concatenate([np.arange(n) for n in lengths]))
+        for d, reverse in (("f", False), ("b", True)):
+            z = np.zeros((len(lengths), max(1, int(lengths[0])), 4 * self.hidden), dtype=np.float32)
+            z[at] = flat @ self.p["W" + d] + self.p["c" + d]
+            both.append(self._steps(z, lengths, d, reverse))
+        return np.concatenate(both, axis=2)
+
     def scores(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """For each sequence of block vectors the logits of the kinds and, last, of markup."""
         order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
@@ -83,10 +93,7 @@ class BlockLabeller:
             part = order[at : at + max(16, 40_000 // longest)]
             at += len(part)
             lengths = np.array([len(sequences[k]) for k in part])
-            x = np.zeros((len(part), longest, sequences[part[0]].shape[1]), dtype=np.float32)
-            for row, k in enumerate(part):
-                x[row, : lengths[row]] = sequences[k]
-            y = self.states(x, lengths) @ self.p["V"] + self.p["v"]
+            y = self._padded_states([sequences[k] for k in part], lengths) @ self.p["V"] + self.p["v"]
             for row, k in enumerate(part):
                 out[k] = y[row, : lengths[row]]
         return out

@@ -162,51 +162,96 @@ def signs(line: str) -> list[str]:
 
 def sign_places(documents: list[list[str]]) -> dict[str, int]:
     """The signs of the documents to learn from, the most frequent first, with their places."""
-    counts = Counter(x for d in documents for x in {x for line in d for x in signs(line)})
+    counts = Counter(x for d in documents for x in {x for line in d for x in signs(_zeros(line))})
     known = sorted((x for x, n in counts.items() if n >= 2), key=lambda x: (-counts[x], x))
     return {x: k for k, x in enumerate(known[:SIGN_DIMS])}
 
 
-def vectors(documents: list[list[str]], places: dict[str, int]) -> list[np.ndarray]:
+_ZEROS = bytes.maketrans(b"123456789", b"0" * 9)
+
+
+def _zeros(line: str) -> str:
+    """The line with every digit as 0: which figures it has says nothing about its kind."""
+    return line.encode("utf-8", "surrogatepass").translate(_ZEROS).decode("utf-8", "surrogatepass")
+
+
+class _Leaf:
+    """What the vector of a leaf takes from its line alone."""
+
+    __slots__ = ("places", "shape", "words")
+
+    def __init__(self, line: str, places: dict[str, int]):
+        words = WORD.findall(line.lower())
+        self.words = [_SLOTS[w] for w in words]
+        self.places = [k for k in map(places.get, signs(line)) if k is not None]
+        last, length, first = line.rstrip()[-1:], len(line), line[0]
+        self.shape = (length / 200 if length < 400 else 2.0, last in ".!?", first == "•", " | " in line, first == " ", first.isdigit(), first.isupper(), len(words) <= 6, last in ";:)}]", last == ">", first == "<" or line[:4] == "&lt;", not words)
+
+
+#: Short lines, as in cells, come again and again.
+_SHORT, _KEPT = 60, 200_000
+
+
+def vectors(documents: list[list[str]], places: dict[str, int], kept: dict[str, _Leaf] | None = None) -> list[np.ndarray]:
     """The vectors of the leaves of each document: path, hashed words, signs and layout."""
-    flat = [line for d in documents for line in d]
-    n = len(flat)
+    kept = {} if kept is None else kept
+    n = sum(map(len, documents))
     x = np.zeros((n, INPUTS), dtype=np.float32)
-    slots, counts, shapes = [], [], []
+    if not n:
+        return [x[:0] for _ in documents]
+    slots, counts, shapes, company, found, n_found = [], [], [], [], [], []
     at_signs, at_shape = PATH_DIMS + WORD_DIMS, PATH_DIMS + WORD_DIMS + SIGN_DIMS
     at = 0
     for d in documents:
         if any("<" in s or "`" in s or "$$" in s or "\\" in s or "{" in s or "&lt;" in s for s in d):
             x[at : at + len(d), :PATH_DIMS] = np.clip(paths(d)[0], -8, 8)
-        for k, line in enumerate(d):
-            same = line[0] == d[k - 1][0] and line[:2] == d[k - 1][:2] if k else False
-            same = same or (k + 1 < len(d) and line[:2] == d[k + 1][:2])
-            level = k > 0 and abs(len(line.rstrip()) - len(d[k - 1].rstrip())) <= 1
-            last, length = line.rstrip()[-1:], len(line)
-            words = WORD.findall(line.lower())
-            slots.extend(map(_SLOTS.__getitem__, words))
-            counts.append(len(words))
-            shapes.append((length / 200 if length < 400 else 2.0, last in ".!?", line[0] == "•", " | " in line, line[0] == " ", line[0].isdigit(), line[0].isupper(), len(words) <= 6, last in ";:)}]", last == ">", line[0] == "<" or line[:4] == "&lt;", not words, same, level, same and not line[0].isalnum()))
-            row = x[at + k]
-            for s in signs(line):
-                place = places.get(s)
-                if place is not None:
-                    row[at_signs + place] += 0.125 if row[at_signs + place] else 1.0
+        starts = ["", *(line[:2] for line in d), ""]
+        sizes = [-9, *(len(line.rstrip()) for line in d)]
+        for k, line in enumerate(map(_zeros, d), 1):
+            leaf = kept.get(line)
+            if leaf is None:
+                leaf = _Leaf(line, places)
+                if len(line) <= _SHORT and len(kept) < _KEPT:
+                    kept[line] = leaf
+            slots += leaf.words
+            counts.append(len(leaf.words))
+            shapes.append(leaf.shape)
+            if leaf.places:
+                found += leaf.places
+                n_found.append((at + k - 1, len(leaf.places)))
+            same = starts[k] in (starts[k - 1], starts[k + 1])
+            company.append((same, -1 <= sizes[k] - sizes[k - 1] <= 1, same and not line[0].isalnum()))
         at += len(d)
-    if n:
-        np.minimum(x[:, at_signs:at_shape], 2.0, out=x[:, at_signs:at_shape])
-        x[:, at_shape:] = np.array(shapes, dtype=np.float32)
-        counts = np.array(counts, dtype=np.int64)
-        owner = np.repeat(np.arange(n), counts)
-        bag = np.bincount(owner * (2 * WORD_DIMS) + np.array(slots, dtype=np.int64), minlength=n * 2 * WORD_DIMS).reshape(n, 2, WORD_DIMS)
-        x[:, PATH_DIMS:at_signs] = np.clip((bag[:, 0] - bag[:, 1]) / (3 * np.sqrt(np.maximum(counts, 1)))[:, None], -1, 1)
-    return np.split(x, np.cumsum([len(d) for d in documents])[:-1]) if documents else []
-
-
-def label(model: block_model.BlockLabeller, documents: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Kind index of every leaf of every document, and whether it has markup."""
-    scores = model.scores(vectors(documents, model.signs))
-    return [s[:, :-1].argmax(axis=1) if len(s) else np.zeros(0, dtype=int) for s in scores], [s[:, -1] > FLAG for s in scores]
+    x[:, at_shape : at_shape + 12] = np.array(shapes, dtype=np.float32)
+    x[:, at_shape + 12 :] = np.array(company, dtype=np.float32)
+    if found:
+        rows, times = np.array(n_found, dtype=np.int64).T
+        cells, times = np.unique(np.repeat(rows, times) * SIGN_DIMS + np.array(found, dtype=np.int64), return_counts=True)
+        x[cells // SIGN_DIMS, at_signs + cells % SIGN_DIMS] = np.minimum(0.875 + 0.125 * times, 2.0)
+    counts = np.array(counts, dtype=np.int64)
+    owner = np.repeat(np.arange(n), counts)
+    bag = np.bincount(owner * (2 * WORD_DIMS) + np.array(slots, dtype=np.int64), minlength=n * 2 * WORD_DIMS).reshape(n, 2, WORD_DIMS)
+    x[:, PATH_DIMS:at_signs] = np.clip((bag[:, 0] - bag[:, 1]) / (3 * np.sqrt(np.maximum(counts, 1)))[:, None], -1, 1)
+    return np.split(x, np.cumsum([len(d) for d in documents])[:-1])
+
+
+#: Leaves that are labelled at a time; a longer document is labelled alone, as a whole.
+LEAVES_AT_ONCE = 20_000
+
+
+def label(model: block_model.BlockLabeller, documents: list[list[str]], kept: dict[str, _Leaf] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Kind index of every leaf of every document, and whether it has markup; ``kept`` keeps what is known of lines."""
+    kept = {} if kept is None else kept
+    kinds, flags, part, n = [], [], [], 0
+    for k, d in enumerate(documents):
+        part.append(d)
+        n += len(d)
+        if n >= LEAVES_AT_ONCE or k == len(documents) - 1:
+            for s in model.scores(vectors(part, model.signs, kept)):
+                kinds.append(s[:, :-1].argmax(axis=1))
+                flags.append(s[:, -1] > FLAG)
+            part, n = [], 0
+    return kinds, flags
 
 
 # ---- clean text
@@ -362,10 +407,10 @@ def marked_records(df: DataFrame, id_col: str, text_col: str, tables_col: str |
         columns.append(F.transform(tables_col, lambda t: t.grid).alias("grids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, kept = shared.value, {}
         for batch in batches:
             documents = _documents(batch.column(1).to_pylist(), batch.column(2).to_pylist() if tables_col else None)
-            n_marked = [int(f.sum()) for f in label(model, documents)[1]]
+            n_marked = [int(f.sum()) for f in label(model, documents, kept)[1]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, documents)), pa.int32()), pa.array(n_marked, pa.int32())], names=["id", "n_leaves", "n_marked"])
 
     return df.select(*columns).mapInArrow(run, "id string, n_leaves int, n_marked int")
@@ -402,7 +447,7 @@ def clean_texts(df: DataFrame, id_col: str, text_col: str, tables_col: str | Non
         schema = schema.add(tables_col, df.schema[tables_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, kept = shared.value, {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = len(texts)
@@ -410,7 +455,7 @@ def clean_texts(df: DataFrame, id_col: str, text_col: str, tables_col: str | Non
             if tables_col:
                 tables = batch.column(2).to_pylist()
                 documents += _documents([None] * n, [[t and t["grid"] for t in ts or []] for ts in tables])
-            kinds, flags = label(model, documents)
+            kinds, flags = label(model, documents, kept)
             n_marked = [int(f.sum()) for f in flags]
             cleaned = [clean(d, k, f) if m else t for t, d, k, f, m in zip(texts, documents, kinds, flags, n_marked)]
             columns = [batch.column(0), pa.array(cleaned, pa.string())]
