@@ -88,7 +88,7 @@ def _means(spark: SparkSession, path: str):
 
 
 def compare(spark: SparkSession, a) -> int:
-    paired = evaluation.paired_bootstrap(spark.read.parquet(a.baseline), spark.read.parquet(a.candidate), resamples=1000)
+    paired = evaluation.paired_bootstrap(spark.read.parquet(a.baseline), spark.read.parquet(a.candidate))
     reports.comparison(paired).orderBy("metric").show(100, truncate=False)
     return 0
 

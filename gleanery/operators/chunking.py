@@ -1,7 +1,7 @@
 """Chunkers: DataFrame of documents to DataFrame of chunks with exact spans.
 
-Documents have doc_id, text, sections and doc_tables. Fixed windows and sentence windows are plain windows over token
-and sentence tables; the others carry state from piece to piece and run per document in Arrow batches.
+Documents have doc_id, text, sections and doc_tables. Sentence windows are plain windows over a table of sentences; the
+others carry offsets or state from piece to piece and run per document in Arrow batches.
 """
 
 from __future__ import annotations
@@ -48,23 +48,6 @@ def _chunk_id(strategy: str, key: str) -> Column:
     return T.stable_id(F.col("doc_id"), F.lit(strategy), F.lit(key), F.col("char_start").cast("string"), F.col("char_end").cast("string"))
 
 
-def fixed(documents: DataFrame, size: int = 512, overlap: int = 50, exclude_front_matter: bool = True) -> DataFrame:
-    """Windows of ``size`` tokens, each starting size - overlap after the one before, while there are tokens."""
-    if not 0 <= overlap < size:
-        raise ValueError(f"overlap {overlap} must be at least 0 and below the size {size}")
-    stride = size - overlap
-    pattern = rf"{T.BUDGET_TOKEN}|[{T.WS}]+"
-    parts = _bodies(documents, exclude_front_matter).select("doc_id", "base", F.posexplode(T.all_matches(F.col("text"), pattern)).alias("pos", "part"))
-    tokens = _placed(parts, "doc_id").filter(~F.col("part").rlike(f"^[{T.WS}]+$"))
-    tokens = tokens.withColumn("token_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
-    # a token lies in the windows that start at most size - 1 tokens before it
-    last = F.expr(f"token_no div {stride}")
-    first = F.greatest(F.lit(0), F.ceil((F.col("token_no") - (size - 1)) / stride))
-    member = tokens.select("doc_id", "char_start", "char_end", F.explode(F.sequence(first.cast("long"), last)).alias("window"))
-    made = member.groupBy("doc_id", F.col("window").cast("int").alias("chunk_index")).agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.count("*").cast("int").alias("n_tokens"))
-    return made.withColumn("chunk_id", _chunk_id("fixed", str(size)))
-
-
 def sentence_window(documents: DataFrame, width: int = 2, exclude_front_matter: bool = True) -> DataFrame:
     """A chunk for every sentence: the sentence is embedded, it and ``width`` neighbours on each side are returned."""
     bodies = _bodies(documents, exclude_front_matter)
@@ -230,6 +213,14 @@ def _parent(text, sections, tables, start, parent=1024, child=128):
     return out
 
 
+def _fixed(text, sections, tables, start, size=512, overlap=50):
+    if not 0 <= overlap < size:
+        raise ValueError(f"overlap {overlap} must be at least 0 and below the size {size}")
+    tokens = [m.span() for m in _TOKEN.finditer(text, start)]
+    windows = [(tokens[k][0], tokens[min(k + size, len(tokens)) - 1][1]) for k in range(0, len(tokens), size - overlap)]
+    return [(a, b, a, b, str(size), False) for a, b in windows]
+
+
 def _semantic(text, sections, tables, start, percentile=25.0, ceiling=1024):
     return [(a, b, a, b, f"{percentile}", False) for a, b in semantic_spans(text, start, len(text), percentile, ceiling)]
 
@@ -260,6 +251,13 @@ def _by_document(documents: DataFrame, strategy: str, make: Callable, exclude_fr
     return made.withColumn("chunk_id", T.stable_id(F.col("doc_id"), F.lit(strategy), F.col("key"), F.col("char_start").cast("string"), F.col("char_end").cast("string"))).drop("key")
 
 
+def fixed(documents: DataFrame, size: int = 512, overlap: int = 50, exclude_front_matter: bool = True) -> DataFrame:
+    """Windows of ``size`` tokens, each starting size - overlap after the one before, while there are tokens."""
+    if not 0 <= overlap < size:
+        raise ValueError(f"overlap {overlap} must be at least 0 and below the size {size}")
+    return _by_document(documents, "fixed", _fixed, exclude_front_matter, size=size, overlap=overlap).drop("focus_start", "focus_end", "has_table", "text")
+
+
 CHUNKERS: dict[str, Callable[..., DataFrame]] = {
     "fixed": fixed,
     "sentence_window": sentence_window,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,13 +129,46 @@ def numbered(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
     return bucketed.withColumn("local", F.row_number().over(within) - 1).join(offsets, [group, "bucket"]).withColumn(name, F.col("local") + F.col("offset")).drop("bucket", "local", "offset")
 
 
-def bootstrap_means(values: DataFrame, resamples: int, salt: str) -> DataFrame:
-    """(metric, replicate, mean) of resamples with replacement of ``values`` (metric, question_id, value), NULLs dropped."""
-    places = numbered(values.filter("value is not null"), "metric", "question_id", "place").select("metric", "place", "value")
-    counts = places.groupBy("metric").agg(F.count("*").alias("n"))
-    draws = places.select("metric", "place").join(counts, "metric").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    drawn = draws.select("metric", "replicate", draw(F.col("replicate"), F.col("place"), F.col("n"), salt).alias("place"))
-    return drawn.join(places, ["metric", "place"]).groupBy("metric", "replicate").agg(F.avg("value").alias("mean"))
+#: So many scored values are sent to every task at most; more of them are drawn by a join.
+BROADCAST_VALUES = 1_000_000
+
+
+def bootstrap_means(values: DataFrame, resamples: int, salt: str, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """(metric, replicate, mean) of resamples with replacement of ``values`` (metric, question_id, value), NULLs dropped.
+
+    The draws depend on replicate and place alone. Up to ``broadcast_values`` values, counted before, the replicates are
+    spread over the tasks: a task makes the draws of a replicate once for all metrics and adds up their values, and one
+    row for each metric leaves it. Beyond that the draws are joined with the values by place.
+    """
+    kept = values.filter("value is not null")
+    if kept.limit(broadcast_values + 1).count() > broadcast_values:
+        places = numbered(kept, "metric", "question_id", "place").select("metric", "place", "value")
+        counts = places.groupBy("metric").agg(F.count("*").alias("n"))
+        draws = places.select("metric", "place").join(counts, "metric").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        drawn = draws.select("metric", "replicate", draw(F.col("replicate"), F.col("place"), F.col("n"), salt).alias("place"))
+        return drawn.join(places, ["metric", "place"]).groupBy("metric", "replicate").agg(F.avg("value").alias("mean"))
+    spark = values.sparkSession
+    by_metric: dict[str, list] = {}
+    for r in kept.select("metric", "value", F.substring(F.md5("question_id"), 1, 2).alias("bucket"), "question_id").collect():
+        by_metric.setdefault(r.metric, []).append((r.bucket, r.question_id, r.value))
+    arrays = spark.sparkContext.broadcast({m: np.array([v for _, _, v in sorted(rows)]) for m, rows in by_metric.items()})
+    longest = max(map(len, by_metric.values()), default=0)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = arrays.value
+        for batch in batches:
+            metrics, replicates, means = [], [], []
+            for r in batch.column(0).to_pylist():
+                start = f"{salt}:{r}:"
+                codes = np.array([int.from_bytes(md5(f"{start}{k}".encode()).digest()[:4], "big") for k in range(longest)], dtype=np.int64)
+                for metric, own in known.items():
+                    metrics.append(metric)
+                    replicates.append(r)
+                    means.append(float(own[codes[: len(own)] % len(own)].mean()))
+            yield pa.RecordBatch.from_arrays([pa.array(metrics, pa.string()), pa.array(replicates, pa.int32()), pa.array(means, pa.float64())], names=["metric", "replicate", "mean"])
+
+    tasks = max(1, min(resamples // 50, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, resamples, 1, tasks).mapInArrow(resample, "metric string, replicate int, mean double")
 
 
 def bootstrap_interval(values: DataFrame, resamples: int = 10_000, confidence: float = 0.95, salt: str = "20260906") -> DataFrame:
@@ -233,15 +271,31 @@ MAX_DROP = {"ndcg@10": 0.02, "recall@10": 0.02, "groundedness": 0.03, "answer_co
 MAX_RISE = {"false_refusal": 0.05, "answered_unanswerable": 0.05, "latency_ms": 500.0}
 
 
-def gate(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(metric, before, after, verdict): PASS, FAIL, or SKIP where either run has no value; runs have metric and mean."""
+def gate(baseline: DataFrame, candidate: DataFrame, judge_errors: int = 0) -> DataFrame:
+    """(metric, before, after, verdict): PASS, FAIL, or SKIP where either run has no value; runs have metric and mean.
+
+    Judgements that failed leave figures out, so any of them fails the run, in a row of its own.
+    """
     spark = candidate.sparkSession
     limits = spark.createDataFrame([(m, -x) for m, x in MAX_DROP.items()] + list(MAX_RISE.items()) + [("citation_fabrication_rate", 0.0)], "metric string, limit double")
     joined = limits.join(baseline.select("metric", F.col("mean").alias("before")), "metric", "left").join(candidate.select("metric", F.col("mean").alias("after")), "metric", "left")
     delta = F.col("after") - F.col("before")
     absolute = F.col("metric") == "citation_fabrication_rate"
     fails = F.when(absolute, F.col("after") > F.col("limit")).when(F.col("limit") < 0, delta < F.col("limit")).otherwise(delta > F.col("limit"))
-    return joined.select("metric", "before", "after", F.when(F.when(absolute, F.col("after").isNull()).otherwise(delta.isNull()), "SKIP").when(fails, "FAIL").otherwise("PASS").alias("verdict"))
+    errors = spark.createDataFrame([("judge_errors", None, float(judge_errors), "FAIL" if judge_errors else "PASS")], "metric string, before double, after double, verdict string")
+    return joined.select("metric", "before", "after", F.when(F.when(absolute, F.col("after").isNull()).otherwise(delta.isNull()), "SKIP").when(fails, "FAIL").otherwise("PASS").alias("verdict")).unionByName(errors)
+
+
+def select_questions(questions: DataFrame, types: list[str] | None = None, ids: list[str] | None = None, verified: bool | None = None, limit: int | None = None) -> DataFrame:
+    """A part of a data set: of some types, then of some ids, then (un)verified, then the first ``limit`` by id."""
+    if types is not None:
+        questions = questions.filter(F.col("question_type").isin(*types))
+    if ids is not None:
+        questions = questions.filter(F.col("question_id").isin(*ids))
+    if verified is not None:
+        signed = F.col("verified_by").isNotNull() & F.col("verified_at").isNotNull()
+        questions = questions.filter(signed if verified else ~signed)
+    return questions if limit is None else questions.orderBy("question_id").limit(limit)
 
 
 def problems(questions: DataFrame) -> DataFrame:

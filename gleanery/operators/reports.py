@@ -25,10 +25,10 @@ def slice_table(aggregates: DataFrame, metrics: list[str]) -> DataFrame:
     return aggregates.filter(F.col("metric").isin(metrics)).groupBy("question_type").pivot("metric", metrics).agg(F.round(F.first("mean"), 4))
 
 
-def comparison(paired: DataFrame) -> DataFrame:
+def comparison(paired: DataFrame, *keys: str) -> DataFrame:
     """(metric, delta, verdict) of a paired bootstrap: better, worse, or inconclusive where the interval holds 0."""
     better = F.when(F.col("metric").isin(*LOWER_IS_BETTER), F.col("delta") < 0).otherwise(F.col("delta") > 0)
-    return paired.select("metric", "delta", "ci_low", "ci_high", "n_pairs", F.when(F.col("delta").isNull(), "no pairs").when(~F.col("significant"), "inconclusive").when(better, "better").otherwise("worse").alias("verdict"))
+    return paired.select(*keys, "metric", "delta", "ci_low", "ci_high", "n_pairs", F.when(F.col("delta").isNull(), "no pairs").when(~F.col("significant"), "inconclusive").when(better, "better").otherwise("worse").alias("verdict"))
 
 
 def composition(counts: DataFrame) -> DataFrame:
@@ -53,6 +53,23 @@ def ladder(runs: DataFrame) -> DataFrame:
     return runs.select("step", "label", "metric", F.round("mean", 4).alias("mean"), F.round(F.col("mean") - before, 4).alias("change"))
 
 
+def ladder_paired(scores: DataFrame, resamples: int = 10_000) -> DataFrame:
+    """ladder() of the scores of runs (step, label, question_id, metric, value), each rung held against the one before by
+    a paired bootstrap: (step, label, metric, mean, change, ci_low, ci_high, verdict)."""
+    from gleanery.operators import evaluation
+
+    rungs = ladder(scores.groupBy("step", "label", "metric").agg(F.avg("value").alias("mean")))
+    # a pair of rungs is a metric of its own, so one bootstrap serves all of them
+    named = lambda step: F.concat(step.cast("string"), F.lit("|"), F.col("metric"))
+    before = scores.select("question_id", named(F.col("step") + 1).alias("metric"), "value")
+    after = scores.filter("step > 0").select("question_id", named(F.col("step")).alias("metric"), "value")
+    steps = after.select("metric").distinct()
+    paired = evaluation.paired_bootstrap(before.join(F.broadcast(steps), "metric", "left_semi"), after, resamples)
+    parts = F.split("metric", "[|]", 2)
+    held = comparison(paired.withColumns({"step": parts[0].cast("int"), "metric": parts[1]}), "step").select("step", "metric", F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"), "verdict")
+    return rungs.join(held, ["step", "metric"], "left").select("step", "label", "metric", "mean", "change", "ci_low", "ci_high", "verdict")
+
+
 def expected(actual: DataFrame, stated: DataFrame) -> DataFrame:
     """(name, stated, actual, ok): figures derived again against the stated ones within their tolerance."""
     joined = stated.join(actual, "name", "left")

@@ -94,13 +94,45 @@ def _described() -> list[Column]:
     return [F.lower("company").alias("company"), F.col("fiscal_year").cast("string").alias("year")]
 
 
+class _Running:
+    """The k best hits of each query that a task has seen, by score to nine places, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.best: list[list[tuple[float, object, float]]] = [[] for _ in range(n)]
+        self.least = np.full(n, -np.inf)  # the score that a hit must reach once there are k
+
+    def add(self, scores: np.ndarray, ids: list, possible: np.ndarray) -> None:
+        """Scores of queries x hits; hits that are not possible do not count."""
+        rounded = np.where(possible, np.round(scores, 9), -np.inf)
+        if not rounded.size:
+            return
+        top = np.partition(rounded, -self.k, axis=1)[:, -self.k] if rounded.shape[1] > self.k else np.full(len(rounded), -np.inf)
+        floor = np.maximum(self.least, top)
+        # floor keeps ties of the last place; the ids decide among them
+        for q in np.flatnonzero(rounded.max(axis=1) >= np.where(np.isneginf(self.least), -1e300, self.least)).tolist():
+            found = np.flatnonzero((rounded[q] >= floor[q]) & possible[q]).tolist()
+            merged = self.best[q] + [(-rounded[q, j], ids[j], float(scores[q, j])) for j in found]
+            merged.sort(key=lambda hit: hit[:2])
+            self.best[q] = merged[: self.k]
+            if len(self.best[q]) == self.k:
+                self.least[q] = -self.best[q][-1][0]
+
+    def rows(self, query_ids: list, kinds: tuple[str, str], fits: bool) -> pa.RecordBatch:
+        hits = [(q, hit) for q, own in zip(query_ids, self.best) for hit in own]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([q for q, _ in hits], pa_type(kinds[1])), pa.array([h[1] for _, h in hits], pa_type(kinds[0])), pa.array([h[2] for _, h in hits], pa.float64()), pa.array([fits] * len(hits), pa.bool_())],
+            names=["query_id", "chunk_id", "score", "fits"],
+        )
+
+
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | None = None, filters: DataFrame | None = None, block: int = 4096) -> DataFrame:
     """(query_id, chunk_id, rank, score): the k best chunks of every query, as top_k(bm25(...)) gives them.
 
     The postings join of a common term with every query that has it grows with both sides. Here the queries are a
     stated set, taken in blocks of ``block``: a first pass counts the frequencies of their terms, summed in each task
-    before the shuffle; a second adds the weights of each term to a queries x chunks matrix, batch by batch, and only
-    the k best of a batch leave the task.
+    before the shuffle; a second adds the weights of each term to a queries x chunks matrix, batch by batch. A task keeps
+    the k best of each query and gives them away once, at its end.
 
     ``filters`` (query_id, company, fiscal_year) limits each query to the chunks of its metadata, as filtered() does:
     a query that no chunk with a positive score matches gets its unfiltered ranking.
@@ -149,6 +181,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
         def score(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary, shared=shared) -> Iterator[pa.RecordBatch]:
             places = vocabulary.value
             ids, having, idf, average, names = shared.value
+            running = _Running(len(ids), k), _Running(len(ids), k)
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):  # bounds the matrix
                     batch = whole.slice(at, 512)
@@ -170,17 +203,15 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
                         scores[own[:, None], chunks] += np.outer(times, idf[j] * tfs * (K1 + 1) / (tfs + damping[chunks]))
                     scores *= np.array(batch.column(2).to_pylist(), dtype=bool)
                     chunk_ids = batch.column(0).to_pylist()
-                    order = np.array(sorted(range(n), key=chunk_ids.__getitem__))
-                    masks = [np.ones(scores.shape, dtype=bool)]
-                    if names is not None:
+                    if names is None:
+                        running[0].add(scores, chunk_ids, scores > 0)
+                    else:
                         fits = _fits(names, batch.column(3).to_pylist(), batch.column(4).to_pylist())
-                        masks = [fits, ~fits]
-                    for fit, mask in enumerate(masks):
-                        own = np.where(mask, scores, 0.0)[:, order]
-                        keep = np.argsort(-np.round(own, 9), axis=1, kind="stable")[:, :k]
-                        best = np.take_along_axis(own, keep, axis=1)
-                        i, j = np.nonzero(best > 0)
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[x] for x in i], pa_type(kinds[1])), "chunk_id": batch.column(0).take(pa.array(order[keep[i, j]])), "score": pa.array(best[i, j]), "fits": pa.array(np.full(len(i), fit == 0))})
+                        running[0].add(scores, chunk_ids, fits & (scores > 0))
+                        running[1].add(scores, chunk_ids, ~fits & (scores > 0))
+            yield running[0].rows(ids, kinds, True)
+            if names is not None:
+                yield running[1].rows(ids, kinds, False)
 
         scored = rows.mapInArrow(score, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
         found = scored if found is None else found.unionByName(scored)
@@ -208,11 +239,11 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filte
 
     ``index`` has chunk_id and vector, ``queries`` query_id and vector, of one dimension. The queries are a stated set
     and are taken in blocks of ``block``; each block is one broadcast matrix, each batch of the index one product with
-    it, and only the k best of a batch leave the task.
+    it, and a task gives away the k best of each query once, at its end.
 
     ``filters`` (query_id, company, fiscal_year) limits each query to the chunks of its metadata before any cut, as
     filtered() does; the index then has company and fiscal_year too. A query that no chunk fits gets its unfiltered
-    ranking, so the k best others of a batch leave the task as well.
+    ranking, so the k best others leave the task as well.
     """
     kinds = index.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     context = index.sparkSession.sparkContext
@@ -227,6 +258,7 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filte
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix, wanted = shared.value
+            running = _Running(len(ids), k), _Running(len(ids), k)
             for whole in batches:
                 for at in range(0, whole.num_rows if len(ids) else 0, 512):  # bounds the matrix
                     batch = whole.slice(at, 512)
@@ -235,24 +267,15 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filte
                         raise ValueError(f"index of dimension {part.shape[1]}, queries of {matrix.shape[1]}")
                     scores = matrix @ part.T
                     names = batch.column(0).to_pylist()
-                    order = np.array(sorted(range(len(names)), key=names.__getitem__))
-                    masks = [np.ones(scores.shape, dtype=bool)]
-                    if wanted is not None:
+                    if wanted is None:
+                        running[0].add(scores, names, np.ones(scores.shape, dtype=bool))
+                    else:
                         fits = _fits(wanted, batch.column(2).to_pylist(), batch.column(3).to_pylist())
-                        masks = [fits, ~fits]
-                    for fit, mask in enumerate(masks):
-                        own = np.where(mask, scores, -np.inf)[:, order]
-                        keep = np.argsort(-np.round(own, 9), axis=1, kind="stable")[:, :k]
-                        i, j = np.nonzero(np.take_along_axis(mask[:, order], keep, axis=1))
-                        at_chunk = order[keep[i, j]]
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "query_id": pa.array([ids[x] for x in i], pa_type(kinds[1])),
-                                "chunk_id": batch.column(0).take(pa.array(at_chunk, pa.int64())),
-                                "score": pa.array(scores[i, at_chunk], pa.float64()),
-                                "fits": pa.array(np.full(len(i), fit == 0), pa.bool_()),
-                            }
-                        )
+                        running[0].add(scores, names, fits)
+                        running[1].add(scores, names, ~fits)
+            yield running[0].rows(ids, kinds, True)
+            if wanted is not None:
+                yield running[1].rows(ids, kinds, False)
 
         found = rows.mapInArrow(search, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
         best = found if best is None else best.unionByName(found)

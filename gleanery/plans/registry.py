@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.session import table
+from gleanery.session import checkpointed, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,13 +34,33 @@ CHUNKS_SQL = """(select chunk_id, any_value(doc_id) as doc_id, any_value("text")
  any_value(metadata.contains_table) as contains_table, any_value(metadata.is_footnote) as is_footnote from chunks group by chunk_id)"""
 
 
+#: Repeated ids up to so many, counted before, are sent to every task.
+BROADCAST_IDS = 1_000_000
+
+
+def settled(rows: DataFrame, key: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows in which every id counts once: ``settle`` gets those of repeated ids alone.
+
+    Ids are counted without the texts beside them, so the texts of ids that come once, nearly all, are never shuffled.
+    """
+    again = checkpointed(rows.groupBy(key).count().filter("count > 1").select(key))
+    n = again.count()
+    if not n:
+        return rows
+    if n > BROADCAST_IDS:
+        return settle(rows)
+    # eqNullSafe: a null id is an id like any other
+    same = rows[key].eqNullSafe(again[key])
+    return rows.join(F.broadcast(again), same, "left_anti").unionByName(settle(rows.join(F.broadcast(again), same, "left_semi")))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = F.col("metadata")
     flat = table(spark, sf_dir, "chunks").select(
         "chunk_id", "doc_id", "text", "char_start", "char_end", m["company"].alias("company"), m["fiscal_year"].alias("fiscal_year"), m["form_type"].alias("form_type"),
         m["section"].alias("section"), m["contains_table"].alias("contains_table"), m["is_footnote"].alias("is_footnote"),
     )
-    return flat.dropDuplicates(["chunk_id"])
+    return settled(flat, "chunk_id", lambda rows: rows.dropDuplicates(["chunk_id"]))
 
 
 FILINGS_SQL = """(select * from (select *, row_number() over (partition by doc_id order by ingested_at desc) as version from filings) where version = 1)"""
@@ -48,7 +68,9 @@ FILINGS_SQL = """(select * from (select *, row_number() over (partition by doc_i
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "filings")
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "doc_id"]), "ingested_at").alias("d")).select("doc_id", "d.*")
+    others = [c for c in rows.columns if c != "doc_id"]
+    latest = lambda same: same.groupBy("doc_id").agg(F.max_by(F.struct(*others), "ingested_at").alias("d")).select("doc_id", "d.*")
+    return settled(rows.select("doc_id", *others), "doc_id", latest)
 
 
 ANSWERS_SQL = """(select * from (select *, row_number() over (partition by trace_id order by answered_at) as version from answers) where version = 1)"""

@@ -27,12 +27,12 @@ def report_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def run_retrieval_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rung of the retrieval ladder over all filings and questions, against the rung before."""
+    """Every rung of the retrieval ladder over all filings and questions, every metric held against the rung before."""
     out = None
     for step, run in enumerate(pipelines.sweep(pipelines.RETRIEVAL_LADDER, filings(spark, sf_dir), questions(spark, sf_dir))):
-        rows = run.aggregates.filter("question_type = '(all)' and metric in ('ndcg@10', 'recall@10', 'mrr@10')").select(F.lit(step).alias("step"), F.lit(run.label).alias("label"), "metric", "mean")
+        rows = run.scores.select(F.lit(step).alias("step"), F.lit(run.label).alias("label"), "question_id", "metric", "value")
         out = rows if out is None else out.unionByName(rows)
-    return reports.ladder(out)
+    return reports.ladder_paired(out)
 
 
 @query()

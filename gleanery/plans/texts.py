@@ -191,11 +191,11 @@ def parse_tables_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with docs as (select doc_id, substr("text", coalesce(list_min(list_transform(sections, lambda s: s.char_start)), 0) + 1) as body, coalesce(list_min(list_transform(sections, lambda s: s.char_start)), 0) as base from {FILINGS_SQL}),
 parts as (select doc_id, base, unnest(p) as part, generate_subscripts(p, 1) as pos from (select doc_id, base, regexp_extract_all(body, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_{WS_SQL}]|[{WS_SQL}]+') as p from docs)),
 placed as (select doc_id, base, pos, part, coalesce(sum(length(part)) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) + base as char_start from parts),
-tokens as (select doc_id, char_start, char_start + length(part) as char_end, row_number() over (partition by doc_id order by pos) - 1 as token_no, count(*) over (partition by doc_id) as n from placed where not regexp_full_match(part, '[{WS_SQL}]+')),
-windows as (select doc_id, token_no as first_token, least(token_no + 512, n) - 1 as last_token from tokens where token_no % 462 = 0)
-select w.doc_id, cast(w.first_token // 462 as integer) as chunk_index, cast(a.char_start as integer) as char_start, cast(b.char_end as integer) as char_end, cast(w.last_token - w.first_token + 1 as integer) as n_tokens,
- substr(sha256(w.doc_id || chr(0) || 'fixed' || chr(0) || '512' || chr(0) || cast(cast(a.char_start as bigint) as varchar) || chr(0) || cast(cast(b.char_end as bigint) as varchar)), 1, 16) as chunk_id
-from windows w join tokens a on a.doc_id = w.doc_id and a.token_no = w.first_token join tokens b on b.doc_id = w.doc_id and b.token_no = w.last_token"""
+lists as (select doc_id, list(char_start order by pos) as starts, list(char_start + length(part) order by pos) as ends from placed where not regexp_full_match(part, '[{WS_SQL}]+') group by doc_id),
+windows as (select doc_id, starts, ends, unnest(range(0, len(starts), 462)) as first_token from lists),
+w as (select doc_id, first_token, starts[first_token + 1] as a, ends[least(first_token + 512, len(ends))] as b, least(first_token + 512, len(ends)) - first_token as n from windows)
+select doc_id, cast(first_token // 462 as integer) as chunk_index, cast(a as integer) as char_start, cast(b as integer) as char_end, cast(n as integer) as n_tokens,
+ substr(sha256(doc_id || chr(0) || 'fixed' || chr(0) || '512' || chr(0) || cast(cast(a as bigint) as varchar) || chr(0) || cast(cast(b as bigint) as varchar)), 1, 16) as chunk_id from w"""
 )
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fixed(filings(spark, sf_dir)).select("doc_id", "chunk_index", "char_start", "char_end", "n_tokens", "chunk_id")
