@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gleanery.session import checkpointed, table
+from gleanery.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,24 +35,24 @@ CHUNKS_SQL = """(select chunk_id, any_value(doc_id) as doc_id, any_value("text")
  any_value(metadata.contains_table) as contains_table, any_value(metadata.is_footnote) as is_footnote from chunks group by chunk_id)"""
 
 
-#: Repeated ids up to so many, counted before, are sent to every task.
-BROADCAST_IDS = 1_000_000
+#: Repeated ids up to so many are sent to every task.
+BROADCAST_IDS = 100_000
 
 
 def settled(rows: DataFrame, key: str, settle: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows in which every id counts once: ``settle`` gets those of repeated ids alone.
 
     Ids are counted without the texts beside them, so the texts of ids that come once, nearly all, are never shuffled.
+    Where more than BROADCAST_IDS ids repeat, ``settle`` gets all rows.
     """
-    again = checkpointed(rows.groupBy(key).count().filter("count > 1").select(key))
-    n = again.count()
-    if not n:
+    again = [r[0] for r in rows.groupBy(key).count().filter("count > 1").select(key).limit(BROADCAST_IDS + 1).collect()]
+    if not again:
         return rows
-    if n > BROADCAST_IDS:
+    if len(again) > BROADCAST_IDS:
         return settle(rows)
-    # eqNullSafe: a null id is an id like any other
-    same = rows[key].eqNullSafe(again[key])
-    return rows.join(F.broadcast(again), same, "left_anti").unionByName(settle(rows.join(F.broadcast(again), same, "left_semi")))
+    ids = rows.sparkSession.createDataFrame([(i,) for i in again], StructType().add(key, rows.schema[key].dataType))
+    same = rows[key].eqNullSafe(ids[key])  # a null id is an id like any other
+    return rows.join(F.broadcast(ids), same, "left_anti").unionByName(settle(rows.join(F.broadcast(ids), same, "left_semi")))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
