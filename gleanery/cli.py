@@ -7,6 +7,7 @@
     python -m gleanery.cli validate|stats --questions QUESTIONS
     python -m gleanery.cli run --documents DOCUMENTS --questions QUESTIONS --out RUN [--ladder generation --step 5]
     python -m gleanery.cli compare|gate --baseline RUN --candidate RUN
+    python -m gleanery.cli loadtest --index INDEX --questions QUESTIONS [--n 30]
     python -m gleanery.cli baseline --run RUN --out BASELINE
     python -m gleanery.cli calibrate-export --judged JUDGED --questions QUESTIONS --n 30 --out FILE
     python -m gleanery.cli calibrate-report --labels FILE
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import vectors as V
-from gleanery.operators import chunking, evaluation, judging, parsing, pipelines, reports, retrieval
+from gleanery.operators import chunking, evaluation, judging, parsing, pipelines, reports, retrieval, serving
 from gleanery.session import local_session, tune
 from gleanery.sources import filings_index
 
@@ -75,8 +76,9 @@ def stats(spark: SparkSession, a) -> int:
 
 def run(spark: SparkSession, a) -> int:
     ladder = {"chunking": pipelines.CHUNKING_SWEEP, "retrieval": pipelines.RETRIEVAL_LADDER, "generation": pipelines.GENERATION_LADDER}[a.ladder]
-    made = pipelines.evaluate(ladder[a.step], pipelines.Indexes(spark.read.parquet(a.documents)), spark.read.parquet(a.questions))
-    made.scores.withColumn("run_id", F.lit(made.run_id)).write.mode("overwrite").parquet(a.out)
+    questions = spark.read.parquet(a.questions)
+    made = pipelines.evaluate(ladder[a.step], pipelines.Indexes(spark.read.parquet(a.documents)), questions)
+    reports.run_rows(made, ladder[a.step], pipelines.dataset_digest(questions)).write.mode("overwrite").parquet(a.out)
     reports.run_lines(made.aggregates).select("line").show(100, truncate=False)
     for w in made.warnings:
         print("warning:", w)
@@ -88,7 +90,9 @@ def _means(spark: SparkSession, path: str):
 
 
 def compare(spark: SparkSession, a) -> int:
-    paired = evaluation.paired_bootstrap(spark.read.parquet(a.baseline), spark.read.parquet(a.candidate))
+    baseline, candidate = reports.read_run(spark, a.baseline), reports.read_run(spark, a.candidate)
+    reports.require_same_dataset(baseline, candidate)
+    paired = evaluation.paired_bootstrap(baseline, candidate)
     reports.comparison(paired).orderBy("metric").show(100, truncate=False)
     return 0
 
@@ -99,6 +103,19 @@ def gate(spark: SparkSession, a) -> int:
     return int(not verdicts.filter("verdict = 'FAIL'").isEmpty())
 
 
+def loadtest(spark: SparkSession, a) -> int:
+    stored = filings_index.read_index(spark, a.index, EMBEDDER).select("chunk_id", "vector").cache()
+    asked = [r.question for r in spark.read.parquet(a.questions).filter("question is not null").select("question").orderBy("question_id").limit(8).collect()]
+
+    def answer(question: str) -> list:
+        one = spark.createDataFrame([("q", question)], "query_id string, query string").withColumn("vector", V.hashing_embedder(EMBEDDER["dim"])(F.col("query")))
+        return retrieval.dense(stored, one, a.k).collect()
+
+    for level in serving.ramp(answer, asked, levels=(1, 2, 4, 8), requests=a.n):
+        print(" ".join(f"{k}={v:.2f}" if isinstance(v, float) else f"{k}={v}" for k, v in level.items()))
+    return 0
+
+
 def baseline(spark: SparkSession, a) -> int:
     filings_index.promote(spark.read.parquet(a.run), a.out)
     return 0
@@ -125,6 +142,7 @@ COMMANDS = {
     "run": (run, ["documents", "questions", "out"]),
     "compare": (compare, ["baseline", "candidate"]),
     "gate": (gate, ["baseline", "candidate"]),
+    "loadtest": (loadtest, ["index", "questions"]),
     "baseline": (baseline, ["run", "out"]),
     "calibrate-export": (calibrate_export, ["judged", "questions", "out"]),
     "calibrate-report": (calibrate_report, ["labels"]),

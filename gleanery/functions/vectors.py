@@ -6,14 +6,19 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from gleanery.functions.text import TOKEN, plain_tokens
+from gleanery.functions.text import TOKEN
+
+#: Tokens of which a task keeps the hash.
+SLOTS_KEPT = 300_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,6 +47,8 @@ def hashing_embedder(dim: int = 512, seed: int = 0):
 
         def slot(t: str) -> tuple[int, float]:
             if t not in known:
+                if len(known) >= SLOTS_KEPT:
+                    known.clear()
                 v = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8, key=key).digest(), "big")
                 known[t] = v % dim, 1.0 if v >> 63 else -1.0
             return known[t]
@@ -61,20 +68,31 @@ def hashing_embedder(dim: int = 512, seed: int = 0):
     return embed
 
 
-def bucket_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
-    """(id, bucket, weight): the same idea in built-in functions alone, as sparse unit vectors.
+def bucket_embedded(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """(id, vector): the same idea with MD5 for bucket and sign, so another engine can give the same numbers.
 
-    MD5 gives bucket and sign, so another engine can give the same numbers. Texts without tokens have no row.
+    Made where the texts lie; nothing is shuffled. Texts without tokens have no row.
     """
-    terms = df.select(F.col(id_col).alias("id"), F.explode(plain_tokens(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    code = F.conv(F.substring(F.md5("term"), 1, 8), 16, 10).cast("bigint")
-    signed = F.when(code.bitwiseAND(F.lit(1 << 31)) != 0, 1.0).otherwise(-1.0) * (1 + F.log("tf"))
-    buckets = terms.groupBy("id", (code % dim).cast("int").alias("bucket")).agg(F.sum(signed).alias("w"))
-    norms = buckets.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return buckets.join(norms, "id").filter("norm > 0").select("id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
-
-
-def bucket_arrays(sparse: DataFrame, dim: int = 64) -> DataFrame:
-    """(id, vector): the sparse unit vectors as arrays."""
-    entries = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    return entries.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.try_element_at(F.col("m"), k), F.lit(0.0))).alias("vector"))
+    token = re.compile(TOKEN)
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            kept, vectors = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                v = np.zeros(dim)
+                for t, n in Counter(token.findall((text or "").lower())).items():
+                    place = known.get(t)
+                    if place is None:
+                        if len(known) >= SLOTS_KEPT:
+                            known.clear()
+                        code = int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big")
+                        known[t] = place = code % dim, 1.0 if code >> 31 else -1.0
+                    v[place[0]] += place[1] * (1.0 + math.log(n))
+                norm = math.sqrt(float(v @ v))
+                if norm > 0:
+                    kept.append(row)
+                    vectors.append((v / norm).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int64())), pa.array(vectors, pa.list_(pa.float64()))], names=["id", "vector"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(embed, f"id {df.schema[id_col].dataType.simpleString()}, vector array<double>")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators.parsing import content_start
+from gleanery.operators.parsing import content_start, section_at, tables_overlapping
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _PROTECT = re.compile(rf"\b(?:{T.ABBREVIATIONS})\.", re.I)
@@ -268,6 +268,16 @@ CHUNKERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+def described(made: DataFrame, documents: DataFrame, chunker: str) -> DataFrame:
+    """Chunks with the metadata of their document and their own: company, fiscal_year, form_type, section, chunker,
+    contains_table. The section is the first that holds the start of the chunk."""
+    m = F.col("metadata")
+    own = documents.select("doc_id", m["company"].alias("company"), F.expr("try_cast(metadata['fiscal_year'] as int)").alias("fiscal_year"), m["form_type"].alias("form_type"), "sections", "doc_tables")
+    tables = F.size(tables_overlapping(F.coalesce("doc_tables", F.array()), F.col("char_start"), F.col("char_end"))) > 0
+    joined = made.join(own, "doc_id").withColumns({"section": section_at(F.col("sections"), F.col("char_start"))["section_name"], "chunker": F.lit(chunker), "contains_table": F.coalesce(tables, F.lit(False))})
+    return joined.drop("sections", "doc_tables")
+
+
 def build_chunker(name: str, **knobs) -> Callable[[DataFrame], DataFrame]:
     """A chunker by name; an unknown one is an error that names the known ones."""
     if name not in CHUNKERS:

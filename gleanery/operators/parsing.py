@@ -187,4 +187,7 @@ def tables_overlapping(tables: Column, start: Column, end: Column) -> Column:
     return F.filter(tables, lambda t: F.least(t["char_end"], end) > F.greatest(t["char_start"], start))
 
 
-BLANK = f"[{WS}]+"
+def slice_span(text: Column, doc_id: Column, span_doc_id: Column, start: Column, end: Column) -> Column:
+    """The part of a text that a span names; a span of another document is an error."""
+    wrong = F.raise_error(F.concat(F.lit("span of document "), span_doc_id, F.lit(", text of "), doc_id)).cast("string")
+    return F.when(doc_id == span_doc_id, F.substr(text, start + 1, end - start)).otherwise(wrong)

@@ -76,6 +76,30 @@ def expected(actual: DataFrame, stated: DataFrame) -> DataFrame:
     return joined.select("name", "stated", "actual", F.coalesce(F.abs(F.col("actual") - F.col("stated")) <= F.col("tolerance"), F.lit(False)).alias("ok"))
 
 
+RUN = "run_id string, label string, config string, dataset string, warnings array<string>, question_id string, metric string, value double"
+
+
+def run_rows(run, config, dataset: str) -> DataFrame:
+    """A run as rows to store: every score with the run's identity, configuration, digest of its data set and warnings."""
+    import json
+    from dataclasses import asdict
+
+    about = {"run_id": F.lit(run.run_id), "label": F.lit(run.label), "config": F.lit(json.dumps(asdict(config), sort_keys=True)), "dataset": F.lit(dataset), "warnings": F.array(*map(F.lit, run.warnings)).cast("array<string>")}
+    return run.scores.select(*(c.alias(name) for name, c in about.items()), "question_id", "metric", "value")
+
+
+def read_run(spark, path: str) -> DataFrame:
+    """A stored run; columns that this version does not know are ignored, those it lacks are NULL."""
+    return spark.read.schema(RUN).parquet(path)
+
+
+def require_same_dataset(baseline: DataFrame, candidate: DataFrame) -> None:
+    """Two runs are compared only over one data set."""
+    a, b = ({r.dataset for r in run.select("dataset").distinct().limit(2).collect()} for run in (baseline, candidate))
+    if a != b or len(a) > 1:
+        raise ValueError(f"runs over different data sets: {sorted(map(str, a))} and {sorted(map(str, b))}")
+
+
 def load_runs(spark, folders: list[str]) -> tuple[DataFrame | None, list[str]]:
     """(scores of the runs stored in the folders, folders that hold no run)."""
     runs, bad = None, []

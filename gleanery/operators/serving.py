@@ -13,12 +13,88 @@ def valid_duration(c: Column) -> Column:
     return (c >= 0) & ~F.isnan(c)
 
 
-def latency_report(spans: DataFrame, *keys: str) -> DataFrame:
-    """Count, mean, percentiles and maximum of the valid durations."""
+POINTS = (0.5, 0.95, 0.99)
+
+
+def latency_report(spans: DataFrame, *keys: str, points: tuple[float, ...] = POINTS) -> DataFrame:
+    """Count, mean, percentiles and maximum of the valid durations.
+
+    Exact, with linear interpolation, and without a buffer of values: durations of a group are counted in buckets of a
+    64th of their power of two first; only those of the at most two buckets around a rank are then counted by value.
+    What a task holds is bounded by the buckets and by the distinct values in two of them.
+    """
     d = F.col("duration_ms")
-    p = F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    made = spans.filter(valid_duration(d)).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("duration_ms").alias("mean_ms"), p.alias("p"), F.max("duration_ms").alias("max_ms"))
-    return made.select(*keys, "n", "mean_ms", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99"), "max_ms")
+    valid = spans.filter(valid_duration(d)).select(*keys, "duration_ms")
+    exponent = F.when(d > 0, F.floor(F.log2("duration_ms"))).otherwise(-1075)
+    bucket = F.when(d > 0, exponent * 64 + F.least(F.floor((d / F.pow(F.lit(2.0), exponent) - 1) * 64), F.lit(63))).otherwise(-100_000).cast("long")
+    placed = valid.withColumn("bucket", bucket)
+    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    counts = placed.groupBy(*keys, "bucket").agg(F.count("*").alias("n"))
+    upto = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(by)}).withColumn("below", F.col("upto") - F.col("n"))
+    spots = F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("total") - 1)).alias("spot")) for k, p in enumerate(points)])
+    near = ranked.withColumn("s", F.explode(spots)).filter((F.col("upto") > F.floor("s.spot")) & (F.col("below") <= F.ceil("s.spot")))
+    wanted = near.select(*keys, "bucket", "below", F.col("s.k").alias("k"), F.col("s.spot").alias("spot"))
+    values = placed.groupBy(*keys, "bucket", "duration_ms").agg(F.count("*").alias("m"))
+    buckets = wanted.select(*keys, "bucket", "below").distinct()
+    same = [*(F.col(f"v.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys), F.col("v.bucket") == F.col("b.bucket")]
+    joined = values.alias("v").join(buckets.alias("b"), _all(same)).select(*(F.col(f"v.{k}").alias(k) for k in keys), F.col("v.bucket").alias("bucket"), "duration_ms", "m", "below")
+    inside = Window.partitionBy(*keys, "bucket").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
+    steps = joined.withColumn("last", F.sum("m").over(inside) + F.col("below") - 1).withColumn("first", F.col("last") - F.col("m") + 1)
+    same = [*(F.col(f"v.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys), F.col("v.bucket") == F.col("w.bucket")]
+    met = steps.alias("v").join(wanted.alias("w"), _all(same)).select(*(F.col(f"v.{k}").alias(k) for k in keys), "k", "spot", "duration_ms", "first", "last")
+    at = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank <= F.col("last")), F.col("duration_ms")))
+    found = met.groupBy(*keys, "k", "spot").agg(at(F.floor("spot")).alias("lo"), at(F.ceil("spot")).alias("hi"))
+    point = found.withColumn("p", F.col("lo") + (F.col("spot") - F.floor("spot")) * (F.col("hi") - F.col("lo")))
+    names = [f"p{p * 100:g}" for p in points]
+    wide = point.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("p"))).alias(name) for k, name in enumerate(names)])
+    whole = valid.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("duration_ms").alias("mean_ms"), F.max("duration_ms").alias("max_ms"))
+    if not keys:
+        return whole.crossJoin(wide).select("n", "mean_ms", *names, "max_ms").filter("n > 0")
+    both = whole.alias("a").join(wide.alias("c"), _all([F.col(f"a.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]))
+    return both.select(*(F.col(f"a.{k}").alias(k) for k in keys), "n", "mean_ms", *names, "max_ms")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def health(corpus: DataFrame, entries: DataFrame, started: float, now: float) -> DataFrame:
+    """One row: status, n_chunks, n_cached, uptime_s; without a chunk the service is not ready."""
+    n = corpus.agg(F.count("*").alias("n_chunks")).crossJoin(F.broadcast(entries.agg(F.count("*").alias("n_cached"))))
+    return n.select(F.when(F.col("n_chunks") > 0, "ok").otherwise("not ready").alias("status"), "n_chunks", "n_cached", F.lit(float(now - started)).alias("uptime_s"))
+
+
+def ramp(answer, questions: list[str], levels: tuple[int, ...] = (1, 2, 4, 8, 16, 32), requests: int = 200, clock=None) -> list[dict]:
+    """A load test of a callable on the driver: for each number of workers the latencies, throughput and errors of
+    ``requests`` requests that go through the questions in turn."""
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    if not questions or requests < 1:
+        raise ValueError("a load test needs questions and at least one request")
+    clock = clock or time.perf_counter
+    out = []
+
+    def one(k: int) -> tuple[float, bool]:
+        began = clock()
+        try:
+            answer(questions[k % len(questions)])
+            return (clock() - began) * 1000, True
+        except Exception:  # noqa: BLE001 - a failed request is a figure of the test
+            return (clock() - began) * 1000, False
+
+    for workers in levels:
+        began = clock()
+        with ThreadPoolExecutor(workers) as pool:
+            done = list(pool.map(one, range(requests)))
+        spent, ms = clock() - began, sorted(t for t, _ in done)
+        spot = lambda p: ms[min(len(ms) - 1, int(p * (len(ms) - 1) + 0.5))]  # noqa: B023, E731
+        out.append({"workers": workers, "requests": requests, "errors": sum(not ok for _, ok in done), "p50_ms": spot(0.5), "p95_ms": spot(0.95), "p99_ms": spot(0.99), "max_ms": ms[-1], "per_second": requests / spent if spent > 0 else None})
+    return out
 
 
 def latest(spans: DataFrame, key: str, time: str, unique: str, n: int = LATENCY_RING) -> DataFrame:
@@ -66,9 +142,10 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, now: float, version: st
 
 
 def cache_put(entries: DataFrame, new: DataFrame, capacity: int = CACHE_CAPACITY) -> DataFrame:
-    """Entries after adding new ones without an error; those with fewest hits, then the oldest, make room."""
+    """Entries after adding new ones without an error; those with fewest hits, then the oldest, make room, the greater
+    first column first among equals."""
     union = entries.unionByName(new.filter("error is null").select(*entries.columns))
-    return union.orderBy(F.col("hits").desc(), F.col("created_at").desc()).limit(capacity)
+    return union.orderBy(F.col("hits").desc(), F.col("created_at").desc(), F.col(entries.columns[0])).limit(capacity)
 
 
 def cache_invalidate(entries: DataFrame, key: str, changed: DataFrame) -> DataFrame:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.plans import evaluate, relational, runs, search, serve, stream, texts
+from gleanery.plans import evaluate, operations, relational, runs, search, serve, stream, texts
 from gleanery.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluate", "flagship", "relational", "runs", "search", "serve", "stream", "texts"]
+__all__ = ["ORACLES", "QUERIES", "evaluate", "flagship", "operations", "relational", "runs", "search", "serve", "stream", "texts"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,12 +39,12 @@ def eval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""select question_id, array_to_string(list_sort(list(distinct chunk_id)), ' ') as missing from (select question_id, g.chunk_id from (select question_id, unnest(gold_chunks) as g from questions)) l
- where not exists (select 1 from chunks c where c.chunk_id = l.chunk_id) group by question_id"""
+ where not exists (select 1 from chunks c where c.chunk_id = l.chunk_id and c.metadata.form_type = '10-K') group by question_id"""
 )
 def eval_stale_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold chunks that the corpus does not have."""
+    """Gold chunks that a corpus of annual reports alone does not have."""
     labels = questions(spark, sf_dir).select("question_id", F.explode("gold_chunks").alias("g")).select("question_id", "g.chunk_id")
-    stale = labels.join(chunks(spark, sf_dir).select("chunk_id"), "chunk_id", "left_anti")
+    stale = labels.join(chunks(spark, sf_dir).filter("form_type = '10-K'").select("chunk_id"), "chunk_id", "left_anti")
     return stale.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_set("chunk_id")), " ").alias("missing"))
 
 
@@ -206,9 +206,29 @@ def eval_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stratified_sample(questions(spark, sf_dir).select("question_id", "question_type"), 21)
 
 
-@query()
+_RULES_SQL = {
+    "no id": "coalesce(trim(question_id), '') = ''",
+    "no question": "coalesce(trim(question), '') = ''",
+    "repeated gold chunk": "len(list_distinct(list_transform(coalesce(gold_chunks, []), lambda g: g.chunk_id))) < nc",
+    "unanswerable with evidence": "question_type = 'unanswerable' and (nc > 0 or ns > 0)",
+    "unanswerable with answer": "question_type = 'unanswerable' and not na",
+    "no sufficient span": "question_type <> 'unanswerable' and ns > 0 and len(list_filter(gold_spans, lambda g: g.weight >= 1.0)) = 0",
+    "spans without answer": "question_type <> 'unanswerable' and ns > 0 and na",
+    "no sufficient chunk": "question_type <> 'unanswerable' and ns = 0 and nc > 0 and len(list_filter(gold_chunks, lambda g: g.relevance >= 2)) = 0",
+    "chunks without answer": "question_type <> 'unanswerable' and ns = 0 and nc > 0 and na",
+    "no evidence": "question_type not in ('unanswerable', 'ambiguous') and ns = 0 and nc = 0",
+    "ambiguous with answer": "question_type = 'ambiguous' and ns = 0 and nc = 0 and not na",
+}
+
+
+@query(
+    "with q as (select *, coalesce(len(gold_chunks), 0) as nc, coalesce(len(gold_spans), 0) as ns, coalesce(trim(gold_answer), '') = '' as na from questions) select question_id, problems from (select question_id, array_to_string(list_filter(["
+    + ", ".join(f"case when {rule} then '{name}' end" for name, rule in _RULES_SQL.items())
+    + "], lambda x: x is not null), ', ') as problems from q) where problems <> ''"
+)
 def eval_dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.problems(questions(spark, sf_dir))
+    """Questions that break a rule of the data set, with the rules."""
+    return E.problems(questions(spark, sf_dir)).withColumn("problems", F.array_join("problems", ", "))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.operators.retrieval import small
+from gleanery.operators import serving
 from gleanery.plans.registry import query
 from gleanery.session import table
 
@@ -96,9 +97,9 @@ def rel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderpriority, round(quantile_cont(o_totalprice, 0.5), 2) as median, round(quantile_cont(o_totalprice, 0.9), 2) as p90, round(stddev_samp(o_totalprice), 2) as sd from orders group by o_orderpriority")
 def rel_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     (orders,) = _tables(spark, sf_dir, "orders")
-    p = F.percentile("o_totalprice", F.array(F.lit(0.5), F.lit(0.9)))
-    made = orders.groupBy("o_orderpriority").agg(p.alias("p"), F.round(F.stddev_samp("o_totalprice"), 2).alias("sd"))
-    return made.select("o_orderpriority", F.round(F.col("p")[0], 2).alias("median"), F.round(F.col("p")[1], 2).alias("p90"), "sd")
+    points = serving.latency_report(orders.select("o_orderpriority", F.col("o_totalprice").alias("duration_ms")), "o_orderpriority", points=(0.5, 0.9))
+    spread = orders.groupBy("o_orderpriority").agg(F.round(F.stddev_samp("o_totalprice"), 2).alias("sd"))
+    return spread.join(points, "o_orderpriority").select("o_orderpriority", F.round("p50", 2).alias("median"), F.round("p90", 2).alias("p90"), "sd")
 
 
 @query("select c_custkey as k, 'both' as kind from customer intersect select o_custkey, 'both' from orders union all (select c_custkey, 'customer' from customer except select o_custkey, 'customer' from orders)")

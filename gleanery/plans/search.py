@@ -147,8 +147,8 @@ fused as (select query_id, chunk_id, sum(1.0 / (60 + rank)) as score from (selec
 
 
 def bucket_hits(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    index = V.bucket_arrays(V.bucket_vectors(chunks(spark, sf_dir), "chunk_id", "text")).withColumnRenamed("id", "chunk_id")
-    stated = V.bucket_arrays(V.bucket_vectors(asked(spark, sf_dir), "query_id", "query")).withColumnRenamed("id", "query_id")
+    index = V.bucket_embedded(chunks(spark, sf_dir), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
+    stated = V.bucket_embedded(asked(spark, sf_dir), "query_id", "query").withColumnRenamed("id", "query_id")
     return checkpointed(R.dense(index, checkpointed(stated), k))
 
 

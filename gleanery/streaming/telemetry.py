@@ -28,27 +28,36 @@ def hourly(spans: DataFrame, late: str = "14 days") -> DataFrame:
     return made.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "span_name", "n", "n_errors", "total_ms")
 
 
-BREAKER = "component string, tie bigint, state string, failures int, trips int"
+BREAKER = "component string, tie bigint, admitted string, state string, failures int, trips int"
 BREAKER_STATE = "state string, failures int, opened double, trips int"
 
 
 def step(state: tuple[str, int, float, int], at: float, failed: bool, failures: int, recovery: float) -> tuple[str, int, float, int]:
-    """The breaker's state (name, failures in a row, time of opening, trips) after one outcome."""
+    """The breaker's state (name, failures in a row, time of opening, trips) after one request.
+
+    An open circuit takes no calls: until ``recovery`` seconds have passed a request changes nothing. The first one
+    after that is the probe of a half-open circuit: a success closes it, a failure opens it again at once.
+    """
     name, row, opened, trips = state
+    if name == "open":
+        if at - opened < recovery:
+            return state
+        return ("open", row + 1, at, trips + 1) if failed else ("closed", 0, opened, trips)
     if not failed:
         return "closed", 0, opened, trips
-    probing = name == "open" and at - opened >= recovery
-    row += 1
-    if row >= failures or probing:
-        return "open", row, at, trips + (name != "open" or probing)
-    return name, row, opened, trips
+    return ("open", row + 1, at, trips + 1) if row + 1 >= failures else ("closed", row + 1, opened, trips)
+
+
+def admitted(state: tuple[str, int, float, int], at: float, recovery: float) -> str:
+    """What the circuit does with a request: "call", "probe" (half-open) or "reject"."""
+    return "call" if state[0] == "closed" else "probe" if at - state[2] >= recovery else "reject"
 
 
 def breaker(outcomes: DataFrame, failures: int = BREAKER_FAILURES, recovery: float = BREAKER_RECOVERY) -> DataFrame:
-    """(component, tie, state, failures, trips) after every outcome (component, at in seconds, tie, failed).
+    """(component, tie, admitted, state, failures, trips) after every request (component, at in seconds, tie, failed).
 
-    A success closes; ``failures`` in a row open; after ``recovery`` seconds one probe is let through, and if it fails
-    the breaker opens again at once. Outcomes are taken in the order of their time within a micro-batch, so the size
+    ``failures`` in a row open the circuit; while it is open no request is let through or counted; after ``recovery``
+    seconds one probe is, which closes it or opens it again at once. Outcomes are taken in the order of their time within a micro-batch, so the size
     of a micro-batch bounds what a task holds.
     """
     if failures < 1 or recovery <= 0:
@@ -59,10 +68,11 @@ def breaker(outcomes: DataFrame, failures: int = BREAKER_FAILURES, recovery: flo
         rows = pd.concat(list(batches)).sort_values(["at", "tie"])
         out = []
         for at, tie, failed in zip(rows["at"], rows["tie"], rows["failed"]):
+            what = admitted(state, float(at), recovery)
             state = step(state, float(at), bool(failed), failures, recovery)
-            out.append((key[0], int(tie), state[0], state[1], state[3]))
+            out.append((key[0], int(tie), what, state[0], state[1], state[3]))
         kept.update(state)
-        yield pd.DataFrame(out, columns=["component", "tie", "state", "failures", "trips"])
+        yield pd.DataFrame(out, columns=["component", "tie", "admitted", "state", "failures", "trips"])
 
     return outcomes.groupBy("component").applyInPandasWithState(follow, BREAKER, BREAKER_STATE, "append", GroupStateTimeout.NoTimeout)
 
