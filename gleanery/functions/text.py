@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 
 #: What Python's str.strip and \\s take for white space, for use inside a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The token patterns, spelled with brackets so that they serve Java's and Python's dialect alike.
 TOKEN = "[a-z0-9]+(?:[.][0-9]+)?"
 BUDGET_TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{WS}]"
 CONTENT_TOKEN = "[a-z0-9]+(?:[.,][0-9]+)*"
@@ -91,7 +92,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def protect_points(text: Column) -> Column:
-    """Points of abbreviations and decimals replaced by U+0001."""
+    """Points of abbreviations and decimals replaced by U+0001; the signs that mark places, where a text has them itself,
+    are replaced by blanks first, so offsets stay."""
+    text = F.translate(text, "\x01\x02\x03", "   ")
     text = F.regexp_replace(text, rf"(?i)(^|[^\p{{L}}\p{{N}}_])({ABBREVIATIONS})\.", "$1$2\x01")
     return F.regexp_replace(text, r"(?<=\p{Nd})\.(?=\p{Nd})", "\x01")
 

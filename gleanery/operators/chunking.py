@@ -19,6 +19,7 @@ from gleanery.functions import text as T
 from gleanery.operators.parsing import content_start, section_at, tables_overlapping
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+# What ends a sentence.
 _PROTECT = re.compile(rf"\b(?:{T.ABBREVIATIONS})\.", re.I)
 _DECIMAL = re.compile(r"(?<=\d)\.(?=\d)")
 _END = re.compile(r"(?<=[.!?])\s+")

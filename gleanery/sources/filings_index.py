@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,13 +53,25 @@ def fetch(wanted: DataFrame, responses: DataFrame, strict: bool = True) -> DataF
 
 
 def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON lines with their line number; blank lines and // comments are skipped.
+    """Records of JSON lines with their place; blank lines and // comments are skipped.
 
-    ``problem`` holds the text of a line that is no valid record. One file is one split, so line numbers are exact.
+    ``problem`` holds the text of a line that is no valid record. Files are read in splits, so no task holds a whole
+    file; ``line_no`` is the number of the line within the split that was read, which for a file of one split is its number
+    within the file.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            numbers = []
+            for name in batch.column(1).to_pylist():
+                n = n + 1 if name == last else 1
+                last = name
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64())], names=["line", "file", "line_no"])
+
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file")).mapInArrow(numbered, "line string, file string, line_no long")
     kept = lines.filter(~F.trim("line").startswith("//") & (F.trim("line") != ""))
-    parsed = kept.select((F.col("pos") + 1).alias("line_no"), F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
+    parsed = kept.select("line_no", F.from_json("line", schema + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r"))
     return parsed.select("line_no", "r.*").withColumnRenamed("_corrupt_record", "problem")
 
 

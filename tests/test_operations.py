@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from gleanery.operators import answering, chunking, parsing, reports, security, serving
 from gleanery.operators import evaluation as E
 from gleanery.operators import retrieval as R
+from gleanery.operators.repeats import settled
 from gleanery.operators.tracing import Tracer
-from gleanery.plans import registry
 
 
 def test_tracer(spark):
@@ -116,9 +116,9 @@ def test_repeated_ids_are_settled(spark):
     rows = [("a", 1), ("b", 2), ("b", 2), (None, 3), (None, 3), ("c", 4)]
     df = spark.createDataFrame(rows, "k string, v int")
     once = lambda same: same.dropDuplicates(["k"])
-    assert sorted(map(tuple, registry.settled(df, "k", once).collect()), key=str) == sorted({r for r in rows}, key=str)
-    assert registry.settled(df.filter("k = 'a'"), "k", once).collect() == [("a", 1)]
-    assert registry.settled(df.limit(0), "k", once).collect() == []
+    assert sorted(map(tuple, settled(df, "k", once).collect()), key=str) == sorted({r for r in rows}, key=str)
+    assert settled(df.filter("k = 'a'"), "k", once).collect() == [("a", 1)]
+    assert settled(df.limit(0), "k", once).collect() == []
 
 
 def test_attacks_through_a_generator(spark):
