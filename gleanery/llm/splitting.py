@@ -1,14 +1,15 @@
 """Problem 2: cutting oversized items at natural boundaries, with overlap.
 
 Method: pointer doubling. The natural boundaries of an item (ends of sections, tables, paragraphs, lines of tables and
-sentences) are its possible cuts; a stretch without any for longer than the limit gets one at least every half of the
-overlap, at blanks where there are any. Every boundary is joined to its farthest legal successor: the piece that starts there ends at the
+sentences) are its possible cuts; a stretch without any for longer than the limit is cut where sentences are joined by
+a semicolon, and one still too long at least every half of the overlap, at blanks where there are any. Every boundary is joined to its farthest legal successor: the piece that starts there ends at the
 last boundary within LIMIT, and the next piece starts at the first boundary within OVERLAP of that end. Squaring the
 successor table again and again gives the number of pieces from every boundary and then all cuts of all items of a
 batch at once, in as many steps as the number of pieces has bits.
 
 Defined results: null texts have no item; null or empty sections and tables have none of their kind; offsets outside
-the text are clipped, a null or reversed range is no item; an item within the limit is one piece; an empty one has none.
+the text are clipped, a null or reversed range is no item; a section without an order is an item without a number; an
+item within the limit is one piece; an empty one has none.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.repeats import settled
+
 LIMIT, OVERLAP = 2000, 200
 #: Ends of paragraphs and sentences (with the blanks behind them), and lines of tables and lists.
-_BREAK = re.compile(r"\n[ ]*\n\s*|(?<=[.!?])[\"')\]”’]*\s+|(?<=[;:])\n|(?<=;)\s+(?=[A-ZÀ-Þ])|\n(?=[^\n]* \| )|\n(?=\s*[•*\-])|\n(?=Item \d)")
+_BREAK = re.compile(r"\n[ ]*\n\s*|(?<=[.!?])[\"')\]”’]*\s+|(?<=[;:])\n|\n(?=[^\n]* \| )|\n(?=\s*[•*\-])|\n(?=Item \d)")
+#: Sentences joined by a semicolon are parted only where a sentence is too long without.
+_CLAUSE = re.compile(r"(?<=;)\s+(?=[A-ZÀ-Þ])")
 _FAR = np.int64(1) << np.int64(40)
 
 
@@ -33,13 +38,16 @@ def boundaries(text: str, marks: list[int], limit: int, overlap: int) -> np.ndar
     cuts = {0, n, *(m for m in marks if 0 < m < n), *(m.end() for m in _BREAK.finditer(text))}
     cuts = sorted(c for c in cuts if c <= n)
     out = [0]
+    step = max(1, overlap // 2)
     for c in cuts[1:]:
-        if c - out[-1] > limit:
-            step = max(1, overlap // 2)
-            while c - out[-1] > step:
-                at = out[-1] + step
-                out.append(max(text.rfind(" ", out[-1] + 1, at) + 1, 0) or at)
-        out.append(c)
+        inner = [m.end() for m in _CLAUSE.finditer(text, out[-1], c)] if c - out[-1] > limit else []
+        for stop in [*inner, c]:
+            if stop - out[-1] > limit:
+                while stop - out[-1] > step:
+                    at = out[-1] + step
+                    out.append(max(text.rfind(" ", out[-1] + 1, at) + 1, 0) or at)
+            if stop > out[-1]:
+                out.append(stop)
     return np.array(out, dtype=np.int64)
 
 
@@ -90,7 +98,7 @@ def _items(text: str | None, sections: list | None, tables: list | None) -> Iter
             if part and part["char_start"] is not None and part["char_end"] is not None:
                 start, end = max(0, part["char_start"]), min(n, part["char_end"])
                 number = part["section_order"] if kind == "section" else k
-                if start <= end and number is not None:
+                if start <= end:
                     yield kind, number, start, end
 
 
@@ -133,7 +141,9 @@ def _split(limit: int, overlap: int):
 
 def latest(filings: DataFrame) -> DataFrame:
     """One row per doc_id, the one ingested last."""
-    return filings.groupBy("doc_id").agg(F.max_by(F.struct("text", "sections", "doc_tables"), "ingested_at").alias("d")).select("doc_id", "d.*")
+    last = F.max_by(F.struct("text", "sections", "doc_tables"), "ingested_at").alias("d")
+    rows = filings.select("doc_id", "text", "sections", "doc_tables", "ingested_at")
+    return settled(rows, "doc_id", lambda same: same.groupBy("doc_id").agg(last, F.max("ingested_at").alias("ingested_at")).select("doc_id", "d.*", "ingested_at")).drop("ingested_at")
 
 
 def pieces(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

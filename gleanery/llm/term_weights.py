@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.textform import consistent_form
+from gleanery.operators.repeats import settled
 from gleanery.session import checkpointed
 
 K1, B = 1.5, 0.75
@@ -91,7 +92,8 @@ def term_weights(df: DataFrame, id_col: str, text_col: str, min_tf: int = 1, max
     ``min_tf`` and ``max_df`` keep terms that occur at least so often in the record and in at most so many records;
     both leave the statistics as they are.
     """
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null").dropDuplicates(["id"])
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    rows = settled(rows, "id", lambda same: same.dropDuplicates(["id"]))
     counted = checkpointed(rows.mapInArrow(_frequencies, "term string, df long, length long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length")))
     total = counted.filter("term is null").first()
     n, length = (total.df, total.length) if total else (0, 0)
