@@ -7,6 +7,7 @@
     python -m gleanery.cli validate|stats --questions QUESTIONS
     python -m gleanery.cli run --documents DOCUMENTS --questions QUESTIONS --out RUN [--ladder generation --step 5]
     python -m gleanery.cli compare|gate --baseline RUN --candidate RUN
+    python -m gleanery.cli security|refusal --index INDEX --questions QUESTIONS
     python -m gleanery.cli loadtest --index INDEX --questions QUESTIONS [--n 30]
     python -m gleanery.cli baseline --run RUN --out BASELINE
     python -m gleanery.cli calibrate-export --judged JUDGED --questions QUESTIONS --n 30 --out FILE
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.functions import vectors as V
-from gleanery.operators import chunking, evaluation, judging, parsing, pipelines, reports, retrieval, serving
+from gleanery.operators import answering, chunking, evaluation, judging, parsing, pipelines, refusal, reports, retrieval, security, serving
 from gleanery.session import local_session, tune
 from gleanery.sources import filings_index
 
@@ -35,12 +36,12 @@ def ingest(spark: SparkSession, a) -> int:
     stored = filings_index.baseline(spark, a.out)
     if stored is not None and not a.force:
         pages = pages.join(stored.select("doc_id"), "doc_id", "left_anti")
-    parsed = parsing.parse_pages(pages.select("doc_id", "html"), "doc_id", "html")
-    sections = parsing.find_sections(parsed, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "section_name", "section_order"))).alias("sections"))
-    metadata = F.create_map(*[x for c in ("company", "cik", "form_type", "fiscal_year", "accession") for x in (F.lit(c), F.col(c).cast("string"))])
-    made = parsed.join(sections, "doc_id", "left").join(pages.select("doc_id", metadata.alias("metadata")), "doc_id").withColumn("content_hash", F.sha2("text", 256))
+    made, failures = parsing.parse_filings(pages.drop("doc_id"))
     made.write.mode("append" if stored is not None and not a.force else "overwrite").parquet(a.out)
-    return 0
+    bad = failures.collect() if not failures.isEmpty() else []
+    for r in bad:
+        print("failed:", r.accession, r.problem)
+    return int(bool(bad))
 
 
 def index(spark: SparkSession, a) -> int:
@@ -116,6 +117,29 @@ def loadtest(spark: SparkSession, a) -> int:
     return 0
 
 
+def security_report(spark: SparkSession, a) -> int:
+    """Attacks through the extractive generator, best passage of every question; fails when one succeeds."""
+    stored = filings_index.read_index(spark, a.index, EMBEDDER)
+    asked = spark.read.parquet(a.questions).filter("question is not null").select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))
+    tried = security.attack_runs(retrieval.bm25_search(stored, asked, 1), asked, stored, answering.extractive)
+    tried.orderBy("attempt_id", "sanitised").show(20, truncate=False)
+    return int(not tried.filter("n_succeeded > 0").isEmpty())
+
+
+def refusal_report(spark: SparkSession, a) -> int:
+    """The refusal curve of each signal and its best threshold."""
+    stored = filings_index.read_index(spark, a.index, EMBEDDER)
+    questions = spark.read.parquet(a.questions)
+    asked = questions.select(F.col("question_id").alias("query_id"), F.col("question").alias("query"))
+    signals = refusal.confidence(retrieval.bm25_search(stored, asked, a.k))
+    known = questions.select(F.col("question_id").alias("query_id"), (F.coalesce(F.size("gold_chunks"), F.lit(0)) + F.coalesce(F.size("gold_spans"), F.lit(0)) > 0).alias("answerable")).join(signals, "query_id", "left")
+    for signal in ("top_score", "mean_score", "margin"):
+        points = refusal.curve(known.select(F.coalesce(signal, F.lit(0.0)).alias("confidence"), "answerable"))
+        print(signal)
+        refusal.operating_point(points).show(truncate=False)
+    return 0
+
+
 def baseline(spark: SparkSession, a) -> int:
     filings_index.promote(spark.read.parquet(a.run), a.out)
     return 0
@@ -143,6 +167,8 @@ COMMANDS = {
     "compare": (compare, ["baseline", "candidate"]),
     "gate": (gate, ["baseline", "candidate"]),
     "loadtest": (loadtest, ["index", "questions"]),
+    "security": (security_report, ["index", "questions"]),
+    "refusal": (refusal_report, ["index", "questions"]),
     "baseline": (baseline, ["run", "out"]),
     "calibrate-export": (calibrate_export, ["judged", "questions", "out"]),
     "calibrate-report": (calibrate_report, ["labels"]),

@@ -102,6 +102,26 @@ def rubric_version(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
+def load_rubric(spark, path: str) -> tuple[str, str]:
+    """(text, version) of a rubric file."""
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if not text.strip():
+        raise ValueError(f"the rubric {path} is empty")
+    return text, rubric_version(text)
+
+
+def build_judge(name: str = "none", spec: str | None = None) -> Judge:
+    """A judge by name; "custom" is what ``spec`` (module:name) names."""
+    known = {"none": null_judge, "lexical": lexical_judge}
+    if name == "custom" and spec:
+        from gleanery.operators.plugins import load
+
+        return load(spec)
+    if name not in known:
+        raise ValueError(f"unknown judge {name!r}; known: custom, {', '.join(sorted(known))}")
+    return known[name]
+
+
 def calibration_sample(results: DataFrame, judged: DataFrame, n: int, salt: str = "0") -> DataFrame:
     """n judged questions for hand labelling: (question_id, question_type, judge_scores, human_scores empty)."""
     scores = judged.filter("error is null").groupBy("question_id", "metric").agg(F.first("score").alias("score")).groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("judge_scores"))

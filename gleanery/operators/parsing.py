@@ -191,3 +191,22 @@ def slice_span(text: Column, doc_id: Column, span_doc_id: Column, start: Column,
     """The part of a text that a span names; a span of another document is an error."""
     wrong = F.raise_error(F.concat(F.lit("span of document "), span_doc_id, F.lit(", text of "), doc_id)).cast("string")
     return F.when(doc_id == span_doc_id, F.substr(text, start + 1, end - start)).otherwise(wrong)
+
+
+def parse_filings(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of pages (html, company, cik, form_type, fiscal_year, accession).
+
+    A document has doc_id, text, doc_tables, sections, metadata, content_hash. A page without html, cik, accession or
+    form type gives a failure (accession, problem) instead, so one bad page never stops a job.
+    """
+    from gleanery.functions.text import stable_id
+
+    lacking = F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in ("html", "cik", "accession", "form_type"))))
+    judged = pages.withColumn("lacking", lacking)
+    failures = judged.filter(F.size("lacking") > 0).select("accession", F.concat(F.lit("lacks "), F.array_join("lacking", ", ")).alias("problem"))
+    good = judged.filter(F.size("lacking") == 0).withColumn("doc_id", stable_id(F.col("cik").cast("string"), F.col("accession"), F.col("form_type")))
+    parsed = parse_pages(good.select("doc_id", "html"), "doc_id", "html")
+    sections = find_sections(parsed, "doc_id", "text").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("char_start", "char_end", "section_name", "section_order"))).alias("sections"))
+    metadata = F.create_map(*[x for c in ("company", "cik", "form_type", "fiscal_year", "accession") for x in (F.lit(c), F.col(c).cast("string"))])
+    made = parsed.join(sections, "doc_id", "left").join(good.select("doc_id", metadata.alias("metadata")), "doc_id").withColumn("content_hash", F.sha2("text", 256))
+    return made, failures

@@ -68,3 +68,13 @@ def generate(shown: DataFrame, queries: DataFrame, corpus: DataFrame, model: Mod
     citations = F.transform("claims", lambda c, k: F.struct(k.cast("int").alias("claim_index"), cited_chunks(c["passages"], F.col("chunk_ids")).alias("chunk_ids"), c["text"].alias("text")))
     failed = F.col("error").isNotNull()
     return made.select("query_id", F.when(failed, "").otherwise(F.coalesce("answer", F.lit(""))).alias("answer"), F.coalesce(~failed & F.col("refused"), F.lit(False)).alias("refused"), F.when(~failed, citations).alias("citations"), "error")
+
+
+def build_generator(name: str = "extractive", spec: str | None = None) -> Callable[[DataFrame, DataFrame, DataFrame], DataFrame]:
+    """A generator by name: "extractive", or "model", which is what ``spec`` (module:name) names, with its fallbacks."""
+    if name == "extractive":
+        return generate
+    if name == "model" and spec:
+        model = load(spec)
+        return lambda shown, queries, corpus: generate(shown, queries, corpus, model)
+    raise ValueError(f"unknown generator {name!r}; known: extractive, model with module:name")

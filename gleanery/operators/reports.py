@@ -76,6 +76,16 @@ def expected(actual: DataFrame, stated: DataFrame) -> DataFrame:
     return joined.select("name", "stated", "actual", F.coalesce(F.abs(F.col("actual") - F.col("stated")) <= F.col("tolerance"), F.lit(False)).alias("ok"))
 
 
+def markdown(table: DataFrame, order: Column) -> DataFrame:
+    """(line_no, line): a table as Markdown, its rows by ``order``; for reports, so small by nature."""
+    from pyspark.sql import Window
+
+    spark = table.sparkSession
+    cells = F.concat(F.lit("| "), F.array_join(F.array(*(F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("-")) for c in table.columns)), " | "), F.lit(" |"))
+    head = spark.createDataFrame([(0, "| " + " | ".join(table.columns) + " |"), (1, "|" + "---|" * len(table.columns))], "line_no int, line string")
+    return head.unionByName(table.select((F.row_number().over(Window.orderBy(order)) + 1).alias("line_no"), cells.alias("line")))
+
+
 RUN = "run_id string, label string, config string, dataset string, warnings array<string>, question_id string, metric string, value double"
 
 

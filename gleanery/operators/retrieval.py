@@ -372,6 +372,8 @@ def filtered(scored: DataFrame, filters: DataFrame, metadata: DataFrame, k: int)
     return top_k(kept.select("query_id", "chunk_id", "score"), k)
 
 
-def add_to_index(index: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks that the index does not know yet; repeats among the new ones are kept as they are."""
-    return chunks.join(index.select("chunk_id"), "chunk_id", "left_anti")
+def add_to_index(index: DataFrame, chunks: DataFrame, embedder=None) -> DataFrame:
+    """Chunks that the index does not know yet, with their vectors where there is an embedder (text to vector); repeats
+    among the new ones are kept as they are."""
+    fresh = chunks.join(index.select("chunk_id"), "chunk_id", "left_anti")
+    return fresh if embedder is None else fresh.withColumn("vector", embedder(F.col("text")))

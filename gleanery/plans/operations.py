@@ -348,3 +348,31 @@ def rerank_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of a reranking model without one: a single hit stays where it is."""
     found = hits(spark, sf_dir, 1)
     return plugins.rerank(found, asked(spark, sf_dir), chunks(spark, sf_dir), 1).select("query_id", "chunk_id", "rank")
+
+
+@query(f"""select chunk_id, sha256(regexp_replace("text", '</?(passage|system|instructions?)>', '[\\1]', 'gi')) as neutral_hash from {CHUNKS_SQL} where "text" is not null""")
+def text_neutralised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk with forged boundaries in square brackets, as a digest."""
+    return chunks(spark, sf_dir).filter("text is not null").select("chunk_id", F.sha2(T.neutralise_boundaries(F.col("text")), 256).alias("neutral_hash"))
+
+
+@query("select accession, sha256(html) as text_hash from raw_filings where accession is not null")
+def source_primary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through its bytes and back."""
+    pages = table(spark, sf_dir, "raw_filings").filter("accession is not null").select(F.col("accession").alias("url"), F.encode("html", "UTF-8").alias("body"))
+    return filings_index.primary_documents(pages).select(F.col("url").alias("accession"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query("select * from (select cast(0 as integer) as line_no, '| metric | group_name | quantile_pct |' as line union all select 1, '|---|---|---|' union all select cast(row_number() over (order by metric || '/' || group_name || '/' || lpad(cast(quantile_pct as varchar), 3, '0')) + 1 as integer), '| ' || metric || ' | ' || group_name || ' | ' || quantile_pct || ' |' from quantile_marks)")
+def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marks of percentiles as a Markdown table."""
+    order = F.concat_ws("/", "metric", "group_name", F.lpad(F.col("quantile_pct").cast("string"), 3, "0"))
+    return reports.markdown(table(spark, sf_dir, "quantile_marks").select("metric", "group_name", "quantile_pct"), order)
+
+
+@query()
+def parse_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of all pages with sections, tables and metadata, and the pages that failed."""
+    made, failures = parsing.parse_filings(table(spark, sf_dir, "raw_filings"))
+    good = made.select("doc_id", F.length("text").alias("n_chars"), F.coalesce(F.size("sections"), F.lit(0)).alias("n_sections"), F.size("doc_tables").alias("n_tables"), F.lit(None).cast("string").alias("problem"))
+    return good.unionByName(failures.select(F.col("accession").alias("doc_id"), F.lit(0).alias("n_chars"), F.lit(0).alias("n_sections"), F.lit(0).alias("n_tables"), "problem"))

@@ -309,7 +309,10 @@ def verify_groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("trace_id", "n_claims", F.round("groundedness", 6).alias("groundedness"))
 
 
-@query()
+@query(
+    f"""with {CLAIMS_SQL}, lacking as (select trace_id, string_agg(claim, ' | ' order by claim_no) as l, count(*) as n from v join f using (trace_id, claim_no) where not (figures_known and score >= 0.6) group by trace_id)
+select a.trace_id, case when l is null then a.answer else a.answer || chr(10) || chr(10) || 'Not supported by the cited passages: ' || l end as answer, cast(coalesce(n, 0) as integer) as n_unsupported from a left join lacking using (trace_id)"""
+)
 def verify_annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with a caveat that names their unsupported claims."""
     rows = answers(spark, sf_dir).filter("answer is not null").select("trace_id", "answer")

@@ -52,6 +52,11 @@ def fetch(wanted: DataFrame, responses: DataFrame, strict: bool = True) -> DataF
     return joined.withColumn("body", F.when(F.col("body").isNotNull(), F.col("body")).otherwise(F.raise_error(F.concat(F.lit("no recorded response for "), F.col("url"))).cast("binary")))
 
 
+def primary_documents(responses: DataFrame) -> DataFrame:
+    """(url, text): bodies as UTF-8, bytes that are none replaced by the replacement character."""
+    return responses.select("url", F.make_valid_utf8(F.col("body").cast("string")).alias("text"))
+
+
 def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of JSON lines with their place; blank lines and // comments are skipped.
 

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import answering, chunking, parsing, reports, security, serving
+from gleanery.operators import answering, chunking, judging, parsing, plugins, reports, security, serving
 from gleanery.operators import evaluation as E
 from gleanery.operators import retrieval as R
 from gleanery.operators.repeats import settled
 from gleanery.operators.tracing import Tracer
+from gleanery.sources import filings_index
 
 
 def test_tracer(spark):
@@ -151,6 +152,36 @@ def test_described_chunks(spark):
     assert all(r.section is None and r.company is None and not r.contains_table and r.chunker == "fixed" for r in made if r.doc_id == "e")
 
 
+def test_parsed_filings_and_failures(spark):
+    rows = [("<html><body><p>Item 1. Business</p><p>We sell paper.</p></body></html>", "C", 1, "10-K", 2020, "a-1"), (None, "C", 1, "10-K", 2020, "a-2"), ("<p>x</p>", "C", None, None, None, None)]
+    made, failures = parsing.parse_filings(spark.createDataFrame(rows, "html string, company string, cik long, form_type string, fiscal_year int, accession string"))
+    (doc,) = made.collect()
+    assert "We sell paper." in doc.text and doc.metadata["accession"] == "a-1" and len(doc.content_hash) == 64
+    assert {(r.accession, r.problem) for r in failures.collect()} == {("a-2", "lacks html"), (None, "lacks cik, accession, form_type")}
+
+
+def test_bodies_that_are_no_text(spark):
+    df = spark.createDataFrame([("u", bytearray(b"caf\xc3\xa9 \xff end")), ("v", None)], "url string, body binary")
+    assert {r.url: r.text for r in filings_index.primary_documents(df).collect()} == {"u": "caf\u00e9 \ufffd end", "v": None}
+
+
+def test_factories(spark, tmp_path):
+    assert judging.build_judge("lexical") is judging.lexical_judge and plugins.build_generator() is plugins.generate
+    assert judging.build_judge("custom", "gleanery.operators.judging:null_judge") is judging.null_judge
+    for make in (judging.build_judge, plugins.build_generator):
+        with pytest.raises(ValueError, match="known"):
+            make("other")
+    (tmp_path / "r.md").write_text("Be strict.\nAlways.")
+    text, version = judging.load_rubric(spark, str(tmp_path / "r.md"))
+    assert text == "Be strict.\nAlways." and version == judging.rubric_version(text)
+
+
+def test_markdown(spark):
+    df = spark.createDataFrame([("b", 2), ("a|c", None)], "name string, n int")
+    lines = [r.line for r in reports.markdown(df, F.col("name")).orderBy("line_no").collect()]
+    assert lines == ["| name | n |", "|---|---|", "| a\\|c | - |", "| b | 2 |"]
+
+
 def test_paired_ladder(spark):
     rows = [(s, f"rung {s}", f"q{k}", "m", float(s == 1) + 0.01 * k) for s in range(3) for k in range(30)]
     df = spark.createDataFrame(rows, "step int, label string, question_id string, metric string, value double")
