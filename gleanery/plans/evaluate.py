@@ -68,9 +68,11 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpointed(E.retrieval_metrics(hits(spark, sf_dir, 20), qrels(spark, sf_dir), questions(spark, sf_dir)))
 
 
-def hybrid_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = R.top_k(R.reciprocal_rank_fusion(hits(spark, sf_dir, R.FETCH_DEPTH), bucket_hits(spark, sf_dir, R.FETCH_DEPTH)), 20)
-    return checkpointed(E.retrieval_metrics(fused, qrels(spark, sf_dir), questions(spark, sf_dir)))
+def both_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Scores of lexical and of hybrid retrieval; the corpus is searched once for both, and read once by each."""
+    lexical, labels, asked = hits(spark, sf_dir, R.FETCH_DEPTH), qrels(spark, sf_dir), questions(spark, sf_dir)
+    fused = R.top_k(R.reciprocal_rank_fusion(lexical, bucket_hits(spark, sf_dir, R.FETCH_DEPTH)), 20)
+    return tuple(checkpointed(E.retrieval_metrics(found, labels, asked)) for found in (lexical.filter("rank <= 20"), fused))
 
 
 @query(f"with {LEXICAL_SQL} select question_id, cast(k as integer) as k, round(recall, 6) as recall, round(answer_recall, 6) as answer_recall, round(\"precision\", 6) as \"precision\", cast(hit_rate as double) as hit_rate, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg from sc")
@@ -123,7 +125,7 @@ select acc.metric, round(avg(val), 4) as delta, round(any_value(ci_low), 4) as c
 )
 def eval_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid against lexical retrieval, question by question."""
-    p = E.paired_bootstrap(E.long_form(bm25_scores(spark, sf_dir)), E.long_form(hybrid_scores(spark, sf_dir)))
+    p = E.paired_bootstrap(*map(E.long_form, both_scores(spark, sf_dir)))
     return p.select("metric", *[F.round(c, 4).alias(c) for c in ("delta", "ci_low", "ci_high")], "n_pairs", "n_dropped", "significant")
 
 
@@ -131,7 +133,7 @@ def eval_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""with {PAIRED_SQL} select metric, cast(count(*) as bigint) as n, round(stddev_samp(val), 4) as sd, round(1.96 * stddev_samp(val) / sqrt(count(*)), 4) as detectable, cast(case when stddev_samp(val) = 0 then 2 else floor(pow(1.96 * stddev_samp(val) / 0.02, 2)) + 1 end as bigint) as required_n from diffs group by metric having count(*) >= 2"""
 )
 def eval_paired_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = E.paired_power(E.long_form(bm25_scores(spark, sf_dir)), E.long_form(hybrid_scores(spark, sf_dir)))
+    p = E.paired_power(*map(E.long_form, both_scores(spark, sf_dir)))
     return p.select("metric", "n", F.round("sd", 4).alias("sd"), F.round("detectable", 4).alias("detectable"), "required_n")
 
 
@@ -143,7 +145,7 @@ select l.metric, round(b.mean, 4) as before, round(c.mean, 4) as after, case whe
 )
 def eval_regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     means = lambda s: E.long_form(s).groupBy("metric").agg(F.avg("value").alias("mean"))
-    g = E.gate(means(bm25_scores(spark, sf_dir)), means(hybrid_scores(spark, sf_dir)))
+    g = E.gate(*map(means, both_scores(spark, sf_dir)))
     return g.select("metric", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), "verdict")
 
 
