@@ -119,18 +119,18 @@ class BlockLabeller:
         grad = {"V": np.einsum("bth,btk->hk", s, dy), "v": dy.sum(axis=(0, 1))}
         ds = dy @ self.p["V"].T
         for d, part in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
-            dW, dU, dc = np.zeros_like(self.p["W" + d]), np.zeros_like(self.p["U" + d]), np.zeros_like(self.p["c" + d])
+            gates = np.zeros((*x.shape[:2], 4 * h), dtype=x.dtype)  # what reaches the gates; the weights get it at once
+            states = np.zeros((*x.shape[:2], h), dtype=x.dtype)
             dh, dcell = np.zeros((len(x), h), dtype=np.float32), np.zeros((len(x), h), dtype=np.float32)
             for t, k, i, f, o, g, before_h, before_c, tc in reversed(kept[d]):
                 dht = ds[:k, t, part] + dh[:k]
                 dct = dcell[:k] + dht * o * (1 - tc * tc)
-                da = np.concatenate([dct * g * i * (1 - i), dct * before_c * f * (1 - f), dht * tc * o * (1 - o), dct * i * (1 - g * g)], axis=1)
-                dW += x[:k, t].T @ da
-                dU += before_h.T @ da
-                dc += da.sum(axis=0)
+                gates[:k, t] = da = np.concatenate([dct * g * i * (1 - i), dct * before_c * f * (1 - f), dht * tc * o * (1 - o), dct * i * (1 - g * g)], axis=1)
+                states[:k, t] = before_h
                 dh[:k] = da @ self.p["U" + d].T
                 dcell[:k] = dct * f
-            grad |= {"W" + d: dW, "U" + d: dU, "c" + d: dc}
+            flat = gates.reshape(-1, 4 * h)
+            grad |= {"W" + d: x.reshape(-1, x.shape[2]).T @ flat, "U" + d: states.reshape(-1, h).T @ flat, "c" + d: flat.sum(axis=0)}
         return loss, grad
 
 
@@ -158,6 +158,15 @@ _FORMULAS = ["a^2 + b^2 = c^2", "v_{t} = \\frac{s_{t} - s_{0}}{t}", "y = \\sum_{
 _CELLS = "Tulips|Oak 40|Blue Door|north shore|Cats|Night Train fare|n/a|-|12|3,415|$7|$6,100|4.5%|(12)|+3|—|R & B|A/B|1931|FY 12|Total".split("|")
 
 
+@lru_cache(maxsize=1)
+def _words() -> list[str]:
+    """Words without a meaning, a fifth of them capitalised."""
+    r = random.Random(SEED)
+    syllable = lambda: r.choice(_ONSETS) + r.choice(_VOWELS) + r.choice(_CODAS)
+    words = ["".join(syllable() for _ in range(r.randint(1, 4))) for _ in range(6000)]
+    return [w.capitalize() if k % 5 == 0 else w for k, w in enumerate(words)]
+
+
 class _Writer:
     """Writes one synthetic document, a block a line, with the kind and markup of each."""
 
@@ -170,9 +179,7 @@ class _Writer:
 
     def word(self) -> str:
         """A word that means nothing, so that no word stands for markup."""
-        r = self.rng
-        out = "".join(r.choice(_ONSETS) + r.choice(_VOWELS) + r.choice(_CODAS) for _ in range(r.randint(1, 4)))
-        return out.capitalize() if r.random() < 0.2 else out
+        return self.rng.choice(_words())
 
     def amount(self) -> str:
         r = self.rng
@@ -343,7 +350,9 @@ def write_document(rng: random.Random) -> list[tuple[str, str, bool]]:
         else:
             f = rng.choice(_FORMULAS)
             if language == "html":
-                w.add(rng.choice(["<p>v<sub>0</sub> = (s &minus; t) / 2</p>", "<p>x<sup>2</sup> + y<sup>2</sup> &ge; 1</p>"]), "formula", True)
+                x, y, z = (rng.choice("abcfghnpqrsvxyzABDEKLNPQSTV") for _ in range(3))
+                low, sign = rng.choice(["0", "t", "i", "n", "max"]), rng.choice(["&minus;", "&times;", "+", "&plusmn;", "/"])
+                w.add(rng.choice([f"<p>{x}<sub>{low}</sub> = ({y} {sign} {z}) / {y}</p>", f"<p>{x}<sup>2</sup> + {y}<sup>2</sup> &ge; {z}</p>", f"<p>{x}<sub>{low}</sub> {sign} {y} = {z}<sub>{low}</sub></p>"]), "formula", True)
             elif language == "wiki":
                 w.add(f"<math>{f}</math>", "formula", True)
             elif language == "latex" and rng.random() < 0.5:

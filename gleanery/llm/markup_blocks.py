@@ -40,8 +40,8 @@ from gleanery.llm.words import WORD
 
 PATH_DIMS, WORD_DIMS, SIGN_DIMS, SHAPE_DIMS = 16, 16, 352, 15
 INPUTS = PATH_DIMS + WORD_DIMS + SIGN_DIMS + SHAPE_DIMS
-#: The score, a chance of markup of 12 %, from which a leaf counts as marked.
-FLAG = -2.0
+#: The score, a chance of markup of 5 %, from which a leaf counts as marked.
+FLAG = -3.0
 #: A sign is an entity, a run of one character that markup uses, or a number or dash before a blank at the start.
 _SIGN = re.compile(r"&(?:\#[0-9]{1,7}|\#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});|([<>&*_~`#=|{}\\^$%!\[\]])\1*|'{2,}|-{3,}|(?<!\S)[-+](?=\s)|\A\d{1,3}[.)](?=\s)".replace("\\#", "#"))
 _OPEN_CLOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>|```|\$\$|\\(begin|end)\{([A-Za-z*]+)\}|^\{\||^\|\}|\{\{Infobox|^\}\}")
