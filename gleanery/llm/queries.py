@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import contamination, markup_blocks, near_duplicates, packing, radix_percentiles, splitting, term_weights, textform, truncation
+from gleanery.operators.repeats import settled
 from gleanery.session import checkpointed, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +56,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_consistent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents and chunks in the consistent form."""
     documents = textform.consistent_texts(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.lit("documents").alias("table_name"), F.col("id").cast("string").alias("id"), "form")
-    chunks = textform.consistent_texts(table(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]), "chunk_id", "text").select(F.lit("chunks").alias("table_name"), "id", "form")
+    chunks = textform.consistent_texts(settled(table(spark, sf_dir, "chunks").select("chunk_id", "text"), "chunk_id", lambda same: same.dropDuplicates(["chunk_id"])), "chunk_id", "text").select(F.lit("chunks").alias("table_name"), "id", "form")
     return documents.unionByName(chunks)
 
 
