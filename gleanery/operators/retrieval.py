@@ -79,8 +79,9 @@ def _fits(wanted: tuple[list, list], companies: list, years: list) -> np.ndarray
     """Queries x chunks: whether the metadata of a chunk fits the filters of a query; what is missing is no mismatch."""
     fits = np.ones((len(wanted[0]), len(companies)), dtype=bool)
     for own, actual in zip(wanted, (companies, years)):
-        w, a = np.array(own, dtype=object)[:, None], np.array(actual, dtype=object)[None, :]
-        fits &= ((w == None) | (a == None) | (w == a)).astype(bool)  # noqa: E711
+        codes = {v: i for i, v in enumerate(dict.fromkeys(v for v in (*own, *actual) if v is not None))}
+        w, a = (np.array([-1 if v is None else codes[v] for v in values], dtype=np.int32) for values in (own, actual))
+        fits &= (w[:, None] == a[None, :]) | (w < 0)[:, None] | (a < 0)[None, :]
     return fits
 
 
@@ -95,44 +96,87 @@ def _described() -> list[Column]:
 
 
 class _Running:
-    """The k best hits of each query that a task has seen, by score to nine places, ties to the smaller id."""
+    """The k best hits of each query that a task has seen, by score to nine places, ties to the smaller id.
+
+    Hits that can still be among them wait, and are sorted with those held once there are as many as these.
+    """
 
     def __init__(self, n: int, k: int):
-        self.k = k
-        self.best: list[list[tuple[float, object, float]]] = [[] for _ in range(n)]
+        self.n, self.k = n, k
         self.least = np.full(n, -np.inf)  # the score that a hit must reach once there are k
-
-    def add(self, scores: np.ndarray, ids: list, possible: np.ndarray) -> None:
-        """Scores of queries x hits; hits that are not possible do not count."""
-        rounded = np.where(possible, np.round(scores, 9), -np.inf)
-        if not rounded.size:
+        self.names: list = []
+        # of the hits held and waiting: query, score to nine places, place of the id in names, score
+        self.hits: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, scores: np.ndarray, ids: list, possible: np.ndarray | None = None, first: int = 0) -> None:
+        """Scores of queries x hits, the queries from ``first`` on; hits that are not possible do not count."""
+        if not scores.size:
+            return
+        near = scores >= (self.least[first : first + len(scores)] - 1e-9)[:, None]  # what rounds to the least counts too
+        if possible is not None:
+            near &= possible
+        if scores.shape[1] > self.k and np.count_nonzero(near) > near.size // 8:
+            top = np.partition(np.where(near, scores, -np.inf), -self.k, axis=1)[:, -self.k]
+            near &= scores >= (top - 2e-9)[:, None]  # ties of the last place stay; the ids decide among them
+        q, j = np.nonzero(near)
+        if not len(q):
+            return
+        own = scores[q, j]
+        used, places = np.unique(j, return_inverse=True)
+        self.hits.append(((q + first).astype(np.int32), np.round(own, 9), places + len(self.names), own))
+        self.names += [ids[i] for i in used.tolist()]
+        self.waiting += len(q)
+        if self.waiting > max(self.n * self.k, 65_536):
+            self._settle()
+
+    def _settle(self) -> None:
+        if not self.waiting:
             return
-        top = np.partition(rounded, -self.k, axis=1)[:, -self.k] if rounded.shape[1] > self.k else np.full(len(rounded), -np.inf)
-        floor = np.maximum(self.least, top)
-        # floor keeps ties of the last place; the ids decide among them
-        for q in np.flatnonzero(rounded.max(axis=1) >= np.where(np.isneginf(self.least), -1e300, self.least)).tolist():
-            found = np.flatnonzero((rounded[q] >= floor[q]) & possible[q]).tolist()
-            merged = self.best[q] + [(-rounded[q, j], ids[j], float(scores[q, j])) for j in found]
-            merged.sort(key=lambda hit: hit[:2])
-            self.best[q] = merged[: self.k]
-            if len(self.best[q]) == self.k:
-                self.least[q] = -self.best[q][-1][0]
+        q, rounded, places, own = map(np.concatenate, zip(*self.hits))
+        order = np.empty(len(self.names), dtype=np.int64)
+        order[sorted(range(len(self.names)), key=lambda i: (self.names[i] is not None, self.names[i]))] = np.arange(len(self.names))
+        by = np.lexsort((order[places], -rounded, q))
+        q = q[by]
+        local = np.arange(len(q)) - np.searchsorted(q, q)
+        kept, last = local < self.k, local == self.k - 1
+        self.least[q[last]] = rounded[by[last]]
+        by = by[kept]
+        used, places = np.unique(places[by], return_inverse=True)
+        self.names = [self.names[i] for i in used.tolist()]
+        self.hits, self.waiting = [(q[kept], rounded[by], places, own[by])], 0
+
+    @property
+    def best(self) -> list[list[tuple[float, object, float]]]:
+        """Of each query (-score to nine places, id, score), best first."""
+        self._settle()
+        out: list[list] = [[] for _ in range(self.n)]
+        for hits in self.hits:
+            for q, rounded, place, own in zip(*(part.tolist() for part in hits)):
+                out[q].append((-rounded, self.names[place], own))
+        return out
 
     def rows(self, query_ids: list, kinds: tuple[str, str], fits: bool) -> pa.RecordBatch:
-        hits = [(q, hit) for q, own in zip(query_ids, self.best) for hit in own]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([q for q, _ in hits], pa_type(kinds[1])), pa.array([h[1] for _, h in hits], pa_type(kinds[0])), pa.array([h[2] for _, h in hits], pa.float64()), pa.array([fits] * len(hits), pa.bool_())],
-            names=["query_id", "chunk_id", "score", "fits"],
-        )
+        self._settle()
+        q, _, places, own = self.hits[0] if self.hits else [np.array([], dtype=np.int64)] * 4
+        ids = pa.array(query_ids, pa_type(kinds[1])).take(pa.array(q)), pa.array(self.names, pa_type(kinds[0])).take(pa.array(places))
+        return pa.RecordBatch.from_arrays([*ids, pa.array(own, pa.float64()), pa.array(np.full(len(q), fits))], names=["query_id", "chunk_id", "score", "fits"])
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | None = None, filters: DataFrame | None = None, block: int = 4096) -> DataFrame:
+#: Queries and hits of one matrix of scores in a task.
+MATRIX_QUERIES, MATRIX_HITS = 4096, 512
+#: Terms are added by a product of matrices where a batch would meet more cells of theirs than that, the commonest first.
+COMMON_CELLS, COMMON_TERMS = 1500, 1024
+
+
+def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | None = None, filters: DataFrame | None = None, block: int = 32_768) -> DataFrame:
     """(query_id, chunk_id, rank, score): the k best chunks of every query, as top_k(bm25(...)) gives them.
 
     The postings join of a common term with every query that has it grows with both sides. Here the queries are a
     stated set, taken in blocks of ``block``: a first pass counts the frequencies of their terms, summed in each task
-    before the shuffle; a second adds the weights of each term to a queries x chunks matrix, batch by batch. A task keeps
-    the k best of each query and gives them away once, at its end.
+    before the shuffle; a second joins the postings of a batch of chunks with the queries of each term and adds the
+    weights to a queries x chunks matrix, those of the commonest terms as a product of matrices. A task keeps the k best
+    of each query and gives them away once, at its end; no scored pair is shuffled.
 
     ``filters`` (query_id, company, fiscal_year) limits each query to the chunks of its metadata, as filtered() does:
     a query that no chunk with a positive score matches gets its unfiltered ranking.
@@ -167,24 +211,38 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
             n_chunks = counted.get(-1, 0)
             average = counted.get(-2, 0) / n_chunks if n_chunks else 0.0
         idf = np.zeros(len(known))
+        meets = np.zeros(len(known))
         for j, df in counted.items():
             if j >= 0:
                 idf[j] = np.log(1 + (n_chunks - df + 0.5) / (df + 0.5))
-        having: list[list] = [[] for _ in known]
-        for i, c in enumerate(query_terms):
-            for t, n in c.items():
-                having[known[t]].append((i, n))
-        having = [(np.array([i for i, _ in h]), np.array([n for _, n in h], dtype=float)) for h in having]
+                meets[j] = df / n_chunks * MATRIX_HITS
+        parts = []
+        for at in range(0, len(part), MATRIX_QUERIES):
+            having: dict[int, tuple[list, list]] = {}
+            for i, c in enumerate(query_terms[at : at + MATRIX_QUERIES]):
+                for t, n in c.items():
+                    own = having.setdefault(known[t], ([], []))
+                    own[0].append(i)
+                    own[1].append(n)
+            met = {j: len(own[0]) * meets[j] for j, own in having.items()}
+            common = sorted((j for j in met if met[j] > COMMON_CELLS), key=lambda j: (-met[j], j))[:COMMON_TERMS]
+            parts.append((at, min(MATRIX_QUERIES, len(part) - at), {j: (np.array(own), np.array(times, dtype=float)) for j, (own, times) in having.items()}, common))
         names = ([r.company for r in part], [r.year for r in part]) if filters is not None else None
-        shared = context.broadcast((ids, having, idf, average, names))
+        shared = context.broadcast((ids, parts, idf, average, names))
 
         def score(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary, shared=shared) -> Iterator[pa.RecordBatch]:
             places = vocabulary.value
-            ids, having, idf, average, names = shared.value
+            ids, parts, idf, average, names = shared.value
             running = _Running(len(ids), k), _Running(len(ids), k)
+            products = []
+            for _, size, having, common in parts:
+                product = np.zeros((size, len(common)))
+                for column, j in enumerate(common):
+                    product[having[j][0], column] = having[j][1]
+                products.append((product, frozenset(common)))
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):  # bounds the matrix
-                    batch = whole.slice(at, 512)
+                for at in range(0, whole.num_rows, MATRIX_HITS):  # bounds the matrix
+                    batch = whole.slice(at, MATRIX_HITS)
                     n = batch.num_rows
                     postings: dict[int, tuple[list, list]] = {}
                     lengths = np.zeros(n)
@@ -196,19 +254,30 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
                             chunks.append(c)
                             tfs.append(tf)
                     damping = K1 * (1 - B + B * (lengths / average if average else 1.0))
-                    scores = np.zeros((len(ids), n))
+                    weights = {}
                     for j, (chunks, tfs) in postings.items():
                         chunks, tfs = np.array(chunks), np.array(tfs, dtype=float)
-                        own, times = having[j]
-                        scores[own[:, None], chunks] += np.outer(times, idf[j] * tfs * (K1 + 1) / (tfs + damping[chunks]))
-                    scores *= np.array(batch.column(2).to_pylist(), dtype=bool)
+                        weights[j] = chunks, idf[j] * tfs * (K1 + 1) / (tfs + damping[chunks])
+                    allowed = np.array(batch.column(2).to_pylist(), dtype=bool)
                     chunk_ids = batch.column(0).to_pylist()
-                    if names is None:
-                        running[0].add(scores, chunk_ids, scores > 0)
-                    else:
-                        fits = _fits(names, batch.column(3).to_pylist(), batch.column(4).to_pylist())
-                        running[0].add(scores, chunk_ids, fits & (scores > 0))
-                        running[1].add(scores, chunk_ids, ~fits & (scores > 0))
+                    described = (batch.column(3).to_pylist(), batch.column(4).to_pylist()) if names is not None else None
+                    for (first, size, having, common), (product, by_product) in zip(parts, products):
+                        of_common = np.zeros((len(common), n))
+                        for row, j in enumerate(common):
+                            if j in weights:
+                                of_common[row, weights[j][0]] = weights[j][1]
+                        scores = product @ of_common
+                        for j, (chunks, own) in weights.items():
+                            if j in having and j not in by_product:
+                                asking, times = having[j]
+                                scores[asking[:, None], chunks] += np.outer(times, own)
+                        possible = (scores > 0) & allowed
+                        if names is None:
+                            running[0].add(scores, chunk_ids, possible, first)
+                        else:
+                            fits = _fits(tuple(own[first : first + size] for own in names), *described)
+                            running[0].add(scores, chunk_ids, fits & possible, first)
+                            running[1].add(scores, chunk_ids, ~fits & possible, first)
             yield running[0].rows(ids, kinds, True)
             if names is not None:
                 yield running[1].rows(ids, kinds, False)
@@ -268,7 +337,7 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filte
                     scores = matrix @ part.T
                     names = batch.column(0).to_pylist()
                     if wanted is None:
-                        running[0].add(scores, names, np.ones(scores.shape, dtype=bool))
+                        running[0].add(scores, names)
                     else:
                         fits = _fits(wanted, batch.column(2).to_pylist(), batch.column(3).to_pylist())
                         running[0].add(scores, names, fits)

@@ -79,6 +79,26 @@ def test_search_is_the_cut_join(spark, sf_dir):
     assert key(R.bm25_search(every, queries, 5, filters=filters)) == key(R.filtered(R.bm25(every, queries), filters, every, 5))
 
 
+def test_common_terms_and_blocks_of_queries(spark, monkeypatch):
+    """Terms by matrices and one by one, queries in several matrices, hits beyond one batch, ties."""
+    monkeypatch.setattr(R, "COMMON_CELLS", 10)
+    monkeypatch.setattr(R, "MATRIX_QUERIES", 7)
+    words = [f"w{k}" for k in range(12)]
+    every = spark.createDataFrame([(f"c{k:04}", " ".join(words[j] for j in range(12) if (k * (j + 3)) % (j + 2) == 0), "A" if k % 3 else None, 2000 + k % 2) for k in range(1300)], "chunk_id string, text string, company string, fiscal_year int").coalesce(2)
+    queries = asked(spark, *(f"{words[k % 12]} {words[(k * 5) % 12]} {words[(k * 7) % 11]}" for k in range(30)), "nothing")
+    key = lambda df: sorted((r.query_id, r["rank"], r.chunk_id, round(r.score, 6)) for r in df.collect())
+    assert key(R.bm25_search(every, queries, 4)) == key(R.top_k(R.bm25(every, queries), 4))
+    filters = queries.select("query_id", F.lit("a").alias("company"), (F.lit(2000) + F.col("query_id").cast("int") % 3).alias("fiscal_year"))
+    assert key(R.bm25_search(every, queries, 4, filters=filters)) == key(R.filtered(R.bm25(every, queries), filters, every, 4))
+
+
+def test_postings_are_joined_without_a_table_of_pairs(spark, sf_dir):
+    from gleanery.plans.catalogue import QUERIES
+
+    plan = QUERIES["bm25_postings_join"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [query_id" not in plan and "MapInArrow" in plan
+
+
 def test_filter_leaves_the_statistics(spark):
     full = {r.chunk_id: r.score for r in R.bm25(corpus(spark), asked(spark, "banana")).collect()}
     kept = {r.chunk_id: r.score for r in R.bm25(corpus(spark), asked(spark, "banana"), where=F.col("chunk_id") == "c2").collect()}
