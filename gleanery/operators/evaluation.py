@@ -129,46 +129,83 @@ def numbered(rows: DataFrame, group: str, key: str, name: str) -> DataFrame:
     return bucketed.withColumn("local", F.row_number().over(within) - 1).join(offsets, [group, "bucket"]).withColumn(name, F.col("local") + F.col("offset")).drop("bucket", "local", "offset")
 
 
-#: So many scored values are sent to every task at most; more of them are drawn by a join.
-BROADCAST_VALUES = 1_000_000
+#: So many scored values are sent to every task at once at most (8 bytes each); a metric with more is drawn by a join.
+BROADCAST_VALUES = 4_000_000
+#: Replicates whose draws one product of matrices adds up.
+REPLICATES_AT_ONCE = 16
+
+
+def _drawn_by_join(kept: DataFrame, resamples: int, salt: str) -> DataFrame:
+    places = numbered(kept, "metric", "question_id", "place").select("metric", "place", "value")
+    counts = places.groupBy("metric").agg(F.count("*").alias("n"))
+    draws = places.select("metric", "place").join(counts, "metric").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = draws.select("metric", "replicate", draw(F.col("replicate"), F.col("place"), F.col("n"), salt).alias("place"))
+    return drawn.join(places, ["metric", "place"]).groupBy("metric", "replicate").agg(F.avg("value").alias("mean"))
+
+
+def _drawn_in_tasks(kept: DataFrame, metrics: list[str], resamples: int, salt: str) -> DataFrame:
+    spark = kept.sparkSession
+    number = (F.array_position(F.array(*map(F.lit, metrics)), F.col("metric")) - 1).cast("int")
+    rows = kept.filter(F.col("metric").isin(*metrics)).select(number.alias("metric"), F.substring(F.md5("question_id"), 1, 2).alias("bucket"), "question_id", "value").toArrow()
+    rows = rows.sort_by([(c, "ascending") for c in ("metric", "bucket", "question_id", "value")])
+    own, every = rows.column("metric").to_numpy(), rows.column("value").to_numpy()
+    bounds = np.searchsorted(own, np.arange(len(metrics) + 1))
+    by_length: dict[int, list[int]] = {}
+    for m, n in enumerate(np.diff(bounds).tolist()):
+        by_length.setdefault(n, []).append(m)
+    # metrics of as many values share their draws
+    shared = spark.sparkContext.broadcast([([metrics[m] for m in same], np.stack([every[bounds[m] : bounds[m + 1]] for m in same], axis=1)) for same in by_length.values()])
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        places = [str(k).encode() for k in range(max(len(table) for _, table in known))]
+        for batch in batches:
+            numbers = batch.column(0).to_pylist()
+            for at in range(0, len(numbers), REPLICATES_AT_ONCE):
+                some = numbers[at : at + REPLICATES_AT_ONCE]
+                starts = [f"{salt}:{r}:".encode() for r in some]
+                codes = [np.frombuffer(b"".join([md5(start + k).digest()[:4] for k in places]), dtype=">u4").astype(np.int64) for start in starts]
+                names, replicates, means = [], [], []
+                for own, table in known:
+                    n = len(table)
+                    times = np.stack([np.bincount(c[:n] % n, minlength=n) for c in codes]).astype(float)
+                    found = times @ table / n
+                    found[np.abs(found) < 1e-14] = 0.0  # what is left of 0, whose parts are added up in another order
+                    names += own * len(some)
+                    replicates += np.repeat(some, len(own)).tolist()
+                    means.append(found.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(replicates, pa.int32()), pa.array(np.concatenate(means), pa.float64())], names=["metric", "replicate", "mean"])
+
+    tasks = max(1, min(resamples // 50, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(0, resamples, 1, tasks).mapInArrow(resample, "metric string, replicate int, mean double")
 
 
 def bootstrap_means(values: DataFrame, resamples: int, salt: str, broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
     """(metric, replicate, mean) of resamples with replacement of ``values`` (metric, question_id, value), NULLs dropped.
 
-    The draws depend on replicate and place alone. Up to ``broadcast_values`` values, counted before, the replicates are
-    spread over the tasks: a task makes the draws of a replicate once for all metrics and adds up their values, and one
-    row for each metric leaves it. Beyond that the draws are joined with the values by place.
+    The draws depend on replicate and place alone. Metrics are taken together up to ``broadcast_values`` values, counted
+    before, and the replicates are spread over the tasks: a task makes the draws of a replicate once for all metrics,
+    counts them by place and adds up the values as a product of matrices, and one row for each metric leaves it. The
+    draws of a metric with more values are joined with these by place.
     """
     kept = values.filter("value is not null")
-    if kept.limit(broadcast_values + 1).count() > broadcast_values:
-        places = numbered(kept, "metric", "question_id", "place").select("metric", "place", "value")
-        counts = places.groupBy("metric").agg(F.count("*").alias("n"))
-        draws = places.select("metric", "place").join(counts, "metric").withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        drawn = draws.select("metric", "replicate", draw(F.col("replicate"), F.col("place"), F.col("n"), salt).alias("place"))
-        return drawn.join(places, ["metric", "place"]).groupBy("metric", "replicate").agg(F.avg("value").alias("mean"))
-    spark = values.sparkSession
-    by_metric: dict[str, list] = {}
-    for r in kept.select("metric", "value", F.substring(F.md5("question_id"), 1, 2).alias("bucket"), "question_id").collect():
-        by_metric.setdefault(r.metric, []).append((r.bucket, r.question_id, r.value))
-    arrays = spark.sparkContext.broadcast({m: np.array([v for _, _, v in sorted(rows)]) for m, rows in by_metric.items()})
-    longest = max(map(len, by_metric.values()), default=0)
-
-    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = arrays.value
-        for batch in batches:
-            metrics, replicates, means = [], [], []
-            for r in batch.column(0).to_pylist():
-                start = f"{salt}:{r}:"
-                codes = np.array([int.from_bytes(md5(f"{start}{k}".encode()).digest()[:4], "big") for k in range(longest)], dtype=np.int64)
-                for metric, own in known.items():
-                    metrics.append(metric)
-                    replicates.append(r)
-                    means.append(float(own[codes[: len(own)] % len(own)].mean()))
-            yield pa.RecordBatch.from_arrays([pa.array(metrics, pa.string()), pa.array(replicates, pa.int32()), pa.array(means, pa.float64())], names=["metric", "replicate", "mean"])
-
-    tasks = max(1, min(resamples // 50, 4 * spark.sparkContext.defaultParallelism))
-    return spark.range(0, resamples, 1, tasks).mapInArrow(resample, "metric string, replicate int, mean double")
+    counts = {r.metric: r.n for r in kept.groupBy("metric").agg(F.count("*").alias("n")).orderBy("metric").collect()}  # a row for each metric
+    joined = [m for m, n in counts.items() if n > broadcast_values]
+    groups, held = [], broadcast_values + 1
+    for m, n in counts.items():
+        if n <= broadcast_values:
+            if held + n > broadcast_values:
+                groups.append([])
+                held = 0
+            groups[-1].append(m)
+            held += n
+    parts = [_drawn_in_tasks(kept, group, resamples, salt) for group in groups]
+    if joined or not parts:
+        parts.append(_drawn_by_join(kept.filter(F.col("metric").isin(*joined)), resamples, salt))
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.unionByName(part)
+    return made
 
 
 def bootstrap_interval(values: DataFrame, resamples: int = 10_000, confidence: float = 0.95, salt: str = "20260906") -> DataFrame:

@@ -68,11 +68,16 @@ def bm25(corpus: DataFrame, queries: DataFrame, where: Column | None = None) ->
     return scored.filter("score > 0")
 
 
-def _query_blocks(queries: DataFrame, block: int) -> Iterator[list]:
+def _query_blocks(queries: DataFrame, block: int, collect=DataFrame.collect) -> Iterator:
     """Rows of a stated set of queries, in blocks of about ``block``."""
     n = max(1, -(-queries.count() // block))
     for number in range(n):
-        yield queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number).collect() if n > 1 else queries.collect()
+        yield collect(queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == number) if n > 1 else queries)
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Two tasks a core at most, as every task gives away the k best hits of every query."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def _fits(wanted: tuple[list, list], companies: list, years: list) -> np.ndarray:
@@ -282,7 +287,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int, where: Column | N
             if names is not None:
                 yield running[1].rows(ids, kinds, False)
 
-        scored = rows.mapInArrow(score, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
+        scored = _gathered(rows).mapInArrow(score, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
         found = scored if found is None else found.unionByName(scored)
     if found is None:
         return top_k(rows.limit(0).select(F.lit(None).cast(kinds[1]).alias("query_id"), "chunk_id", F.lit(0.0).alias("score")), k)
@@ -303,7 +308,7 @@ def _tokens(text: str | None) -> list[str]:
     return [t for t in _TOKEN.findall(text.lower()) if t not in _STOP] if text else []
 
 
-def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filters: DataFrame | None = None) -> DataFrame:
+def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 16_384, filters: DataFrame | None = None) -> DataFrame:
     """Exhaustive cosine search: (query_id, chunk_id, rank, score).
 
     ``index`` has chunk_id and vector, ``queries`` query_id and vector, of one dimension. The queries are a stated set
@@ -316,43 +321,54 @@ def dense(index: DataFrame, queries: DataFrame, k: int, block: int = 4096, filte
     """
     kinds = index.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     context = index.sparkSession.sparkContext
-    rows = index.select("chunk_id", "vector", *(_described() if filters is not None else ())).filter("vector is not null")
+    rows = index.select("chunk_id", "vector", *(_described() if filters is not None else ()))
     asked = queries.select("query_id", "vector")
     if filters is not None:
         asked = asked.join(filters.select("query_id", *_described()), "query_id", "left")
     best = None
-    for part in _query_blocks(asked, block):
-        wanted = ([r.company for r in part], [r.year for r in part]) if filters is not None else None
-        shared = context.broadcast(([r.query_id for r in part], np.array([r.vector for r in part], dtype=np.float64), wanted))
+    for part in _query_blocks(asked, block, lambda df: df.toArrow()):  # as numbers, not as Python's objects
+        ids, matrix = part.column("query_id").to_pylist(), _matrix(part.column("vector").combine_chunks())
+        shared = context.broadcast((ids, matrix, (part.column("company").to_pylist(), part.column("year").to_pylist()) if filters is not None else None))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix, wanted = shared.value
             running = _Running(len(ids), k), _Running(len(ids), k)
             for whole in batches:
-                for at in range(0, whole.num_rows if len(ids) else 0, 512):  # bounds the matrix
-                    batch = whole.slice(at, 512)
-                    part = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, -1)
+                whole = whole.filter(whole.column(1).is_valid())
+                for at in range(0, whole.num_rows if len(ids) else 0, MATRIX_HITS):  # bounds the matrix
+                    batch = whole.slice(at, MATRIX_HITS)
+                    part = _matrix(batch.column(1))
                     if part.shape[1] != matrix.shape[1]:
                         raise ValueError(f"index of dimension {part.shape[1]}, queries of {matrix.shape[1]}")
-                    scores = matrix @ part.T
                     names = batch.column(0).to_pylist()
-                    if wanted is None:
-                        running[0].add(scores, names)
-                    else:
-                        fits = _fits(wanted, batch.column(2).to_pylist(), batch.column(3).to_pylist())
-                        running[0].add(scores, names, fits)
-                        running[1].add(scores, names, ~fits)
+                    described = (batch.column(2).to_pylist(), batch.column(3).to_pylist()) if wanted is not None else None
+                    for first in range(0, len(ids), MATRIX_QUERIES):
+                        scores = matrix[first : first + MATRIX_QUERIES] @ part.T
+                        if wanted is None:
+                            running[0].add(scores, names, None, first)
+                        else:
+                            fits = _fits(tuple(own[first : first + MATRIX_QUERIES] for own in wanted), *described)
+                            running[0].add(scores, names, fits, first)
+                            running[1].add(scores, names, ~fits, first)
             yield running[0].rows(ids, kinds, True)
             if wanted is not None:
                 yield running[1].rows(ids, kinds, False)
 
-        found = rows.mapInArrow(search, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
+        found = _gathered(rows).mapInArrow(search, f"query_id {kinds[1]}, chunk_id {kinds[0]}, score double, fits boolean")
         best = found if best is None else best.unionByName(found)
     if filters is not None:
         best = _best_fitting(best, k)
     return top_k(best.select("query_id", "chunk_id", "score"), k)
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one dimension as rows."""
+    lengths = np.unique(vectors.value_lengths().to_numpy(zero_copy_only=False))
+    if len(lengths) > 1 or vectors.null_count:
+        raise ValueError(f"vectors of dimensions {lengths.tolist()}")
+    return np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(vectors), int(lengths[0]) if len(lengths) else 0)
+
+
 def reciprocal_rank_fusion(*rankings: DataFrame, weights: tuple[float, ...] | None = None, k: int = RRF_K) -> DataFrame:
     """(query_id, chunk_id, score): sum of weight / (k + rank) over the rankings."""
     weights = weights or (1.0,) * len(rankings)

@@ -38,6 +38,21 @@ def test_metadata_filter_comes_before_the_cut(spark):
         assert {r.chunk_id for r in pipelines.retrieve(config, index, asked).collect()} == {"b1"}, config.label
 
 
+def test_a_sweep_searches_once(spark, sf_dir, monkeypatch):
+    """Rungs that share an index, queries and filters share their rankings, to the depth that the deepest one needs."""
+    made = []
+    for name in ("dense", "bm25_search"):
+        search = getattr(pipelines.retrieval, name)
+        monkeypatch.setattr(pipelines.retrieval, name, lambda index, asked, k, filters=None, name=name, search=search: made.append((name, k, filters is not None)) or search(index, asked, k, filters=filters))
+    documents, questions = registry.filings(spark, sf_dir), registry.questions(spark, sf_dir)
+    runs = list(pipelines.sweep(pipelines.RETRIEVAL_LADDER[:4], documents, questions))
+    assert sorted(made) == [("bm25_search", 50, False), ("dense", 5, False), ("dense", 50, False)]
+    alone = pipelines.evaluate(pipelines.RETRIEVAL_LADDER[1], pipelines.Indexes(documents), questions)
+    key = lambda run: sorted(map(tuple, run.scores.collect()), key=str)
+    assert key(runs[1]) == key(alone) and made[-1] == ("dense", 5, False)
+    assert alone.warnings == pipelines.evaluate(pipelines.RETRIEVAL_LADDER[1], pipelines.Indexes(documents), questions).warnings
+
+
 CASES = "question_id string, question string, gold_answer string, gold_chunks array<struct<chunk_id:string,relevance:int>>, gold_spans array<struct<doc_id:string,char_start:int,char_end:int,weight:double>>"
 
 
